@@ -8,11 +8,13 @@ verified once by their whole texts, the suffix filter first.
 
 Only components are asked for, so no group is expanded into all pairs:
 1. Each run of nodes that share a prefix shingle, in order of length, is streamed: a node is paired with the run's first
-   node and with the one before it. Pairs are verified; components of their links follow.
-2. What is left are pairs of nodes in the same run but in different components (runs of four or more). Rounds join one
-   node of each component in a run with the run's first component, until no round links anything; then every
-   remaining pair of nodes from different components is verified. A large group of near copies is one component after
-   the first step, so nothing of it is left.
+   node and with the one before it. Pairs are verified; components of their links follow. A large group of near copies
+   mostly is one component then.
+2. What is left are pairs of nodes in one run of four or more but in different components. Every node is put into its
+   ``GROUPS`` largest runs that hold several components. A group's texts are brought together once, in blocks of
+   ``MEMBERS`` and pairs of blocks where it is larger, and all its sets are intersected by an inverted index; of its
+   links, a forest is returned.
+3. The remaining pairs, of nodes with no group in common, are joined by prefix shingle, filtered, and verified singly.
 
 Texts move twice: once dealt by id, once for each pair to the pair's first node (dealt by node and salted, so that a
 node with many pairs is spread). Sets are recomputed from texts, which are smaller. Hashes have 64 bits: two different
@@ -40,6 +42,8 @@ WORDS, SHARE = 5, 75
 DEPTH, SLOTS, BLOCK = 2, 1 << 20, 1 << 16
 #: Pairs of one node that a task verifies at most.
 SPREAD = 500
+#: Groups of a node, least rows of a run that makes a group, and nodes of a block.
+GROUPS, LEAST_RUN, MEMBERS = 6, 8, 2000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "<u8")
 _hash = xxhash.xxh3_64_intdigest
 
@@ -120,12 +124,23 @@ def frequencies(docs: DataFrame, text: str) -> np.ndarray:
     """The count-min table over all texts: each task sums its part, blocks are summed, DEPTH x SLOTS counts return."""
 
     def count(batches):
-        table = np.zeros((DEPTH, SLOTS), np.uint32)
+        table, held, size = np.zeros((DEPTH, SLOTS), np.int64), [], 0
+
+        def put():
+            for k, x in enumerate(_slots(np.concatenate(held))):
+                table[k] += np.bincount(x.astype(np.int64), minlength=SLOTS)
+            held.clear()
+
         for (texts,) in rows_of(batches):
             for t in texts:
-                for k, s in enumerate(_slots(shingles(t))):
-                    np.add.at(table[k], s.astype(np.int64), np.uint32(1))
-        blocks = table.reshape(-1, BLOCK)
+                held.append(shingles(t))
+                size += len(held[-1])
+                if size > 4 * SLOTS:
+                    put()
+                    size = 0
+        if held:
+            put()
+        blocks = np.minimum(table, 2**32 - 1).astype(np.uint32).reshape(-1, BLOCK)
         for k in range(len(blocks)):
             if blocks[k].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blocks[k].tobytes()], pa.binary())], ["block", "counts"])
@@ -193,47 +208,72 @@ def first_pairs(entries: DataFrame) -> DataFrame:
     schema = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches):
-        # carried from batch to batch: the current run's token, first and last row, its size and, up to three, its rows
-        token, first, before, size, waiting, pairs = None, None, None, 0, [], set()
+        # carried from batch to batch: the rows of the last run while it has three or fewer, else its first and last row
+        pairs, empty = set(), tuple(np.empty(0, np.int64) for _ in range(4))
+        held, going = empty, None
+
+        def fresh(rows):
+            """Without rows that repeat the node before them in a run."""
+            t, v = rows[:2]
+            keep = np.ones(len(t), bool)
+            keep[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
+            return tuple(x[keep] for x in rows)
+
+        def pair(rows, i, j):
+            _, v, n, p = rows
+            ok = possible(n[i], p[i], n[j], p[j]) & (v[i] != v[j])
+            pairs.update(zip(np.minimum(v[i], v[j])[ok].tolist(), np.maximum(v[i], v[j])[ok].tolist(), strict=True))
+
+        def hot(rows):
+            t, v, n, p = rows
+            if len(t):
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(v), pa.nulls(len(t), pa.int64()), pa.array(n.astype(np.int32)), pa.array(p.astype(np.int32))], schema=schema)
+
+        def runs(rows, last):
+            """Pairs and rows of whole runs; the last run may go on unless ``last``."""
+            nonlocal held, going
+            rows = fresh(rows)
+            t = rows[0]
+            if not len(t):
+                return
+            starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            sizes = np.diff(np.append(starts, len(t)))
+            if not last:
+                if sizes[-1] > 3:
+                    going = tuple(x[[starts[-1], len(t) - 1]] for x in rows)
+                else:
+                    held, rows = tuple(x[starts[-1] :] for x in rows), tuple(x[: starts[-1]] for x in rows)
+                    starts, sizes = starts[:-1], sizes[:-1]
+            head = np.repeat(starts, sizes)
+            i = np.arange(len(head))
+            pair(rows, i[i > head] - 1, i[i > head])
+            pair(rows, head[i > head + 1], i[i > head + 1])
+            yield from hot(tuple(x[np.repeat(sizes > 3, sizes)] for x in rows))
 
         def spill():
-            yield from small_batches(schema, [(None, *sorted(x), None, None) for x in pairs], 20_000)
+            yield from small_batches(schema, [(None, *x, None, None) for x in pairs], 20_000)
             pairs.clear()
 
         for b in batches:
-            t, v, n, p = (c.to_numpy().astype(np.int64) for c in b.columns)
-            if not len(t):
-                continue
-            again = np.empty(len(t), bool)
-            again[0] = token is not None and t[0] == token and v[0] == before[0]
-            again[1:] = (t[1:] == t[:-1]) & (v[1:] == v[:-1])
-            t, v, n, p = (x[~again] for x in (t, v, n, p))
-            if not len(t):
-                continue
-            head = np.empty(len(t), bool)
-            head[0] = token is None or t[0] != token
-            head[1:] = t[1:] != t[:-1]
-            starts = np.unique(np.append(np.flatnonzero(head), 0))
-            ends = np.append(starts[1:], len(t))
-            # runs of one row that end in this batch have no pairs
-            inner = (ends - starts > 1) | (ends == len(t)) | ~head[starts]
-            hot = []
-            for s, e in zip(starts[inner].tolist(), ends[inner].tolist(), strict=True):
-                if head[s]:
-                    token, first, before, size, waiting = int(t[s]), (v[s], n[s], p[s]), None, 0, []
-                vs, ns, ps = (np.concatenate([np.array([] if before is None else [before[k]], np.int64), x[s:e]]) for k, x in enumerate((v, n, p)))
-                ok = possible(ns[1:], ps[1:], ns[:-1], ps[:-1])
-                pairs.update(zip(vs[:-1][ok].tolist(), vs[1:][ok].tolist(), strict=True))
-                ok = possible(ns[1:], ps[1:], np.full(len(ns) - 1, first[1]), np.full(len(ns) - 1, first[2])) & (vs[1:] != first[0])
-                pairs.update((int(first[0]), x) for x in vs[1:][ok].tolist())
-                rows = list(zip(v[s:e].tolist(), n[s:e].tolist(), p[s:e].tolist(), strict=True))
-                size, waiting, before = size + e - s, waiting + rows, (v[e - 1], n[e - 1], p[e - 1])
-                if size > 3:
-                    hot += [(token, x, None, y, z) for x, y, z in waiting]
-                    waiting = []
-            yield from small_batches(schema, hot, 20_000)
+            rows = tuple(c.to_numpy().astype(np.int64) for c in b.columns)
+            if going is not None and len(rows[0]):
+                k = int((rows[0] == going[0][0]).sum())
+                if k:
+                    part = fresh(tuple(np.append(g[1:], x[:k]) for g, x in zip(going, rows, strict=True)))
+                    i = np.arange(1, len(part[0]))
+                    pair(part, i - 1, i)
+                    both = tuple(np.append(g[:1], x[1:]) for g, x in zip(going, part, strict=True))
+                    pair(both, np.zeros(len(i), np.int64), i)
+                    yield from hot(tuple(x[1:] for x in part))
+                    going = tuple(np.array([g[0], x[-1]]) for g, x in zip(going, part, strict=True))
+                    rows = tuple(x[k:] for x in rows)
+                if len(rows[0]):
+                    going = None
+            before, held = held, empty
+            yield from runs(tuple(np.append(x, y) for x, y in zip(before, rows, strict=True)), False)
             if len(pairs) > 200_000:
                 yield from spill()
+        yield from runs(held, True)
         yield from spill()
 
     return entries.repartition("token").sortWithinPartitions("token", "n", "node").transform(arrow, run, "token long, a long, b long, n int, pos int")
@@ -325,29 +365,91 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     return rows.join(roots.select(F.col("v").alias("id"), "root"), "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
 
 
+def verify_groups(members: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Links (a, b) that join components within groups. members: (token, size, node, part, groups), groups sorted."""
+    blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    spread = members.select("token", "node", "part", "groups", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    sent = spread.join(reps, "node").join(docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text")), "rep")
+    sent = sent.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "part", "groups", "text")
+
+    def solve(key, rows):
+        known: dict[int, tuple] = {}
+        for own, node, part, groups, t in rows:
+            if node not in known and _node(s := shingles(t)) == node:
+                known[node] = (own, part, groups, s)
+        nodes = list(known)
+        n, sizes = len(nodes), np.array([len(known[v][3]) for v in nodes])
+        if n < 2:
+            return
+        owns, parts = (np.array([known[v][k] for v in nodes]) for k in (0, 1))
+        _, inverse = np.unique(np.concatenate([known[v][3] for v in nodes]), return_inverse=True)
+        holder = np.repeat(np.arange(n), sizes)
+        order = np.argsort(inverse, kind="stable")
+        posting, at = holder[order], np.concatenate([[0], np.cumsum(np.bincount(inverse))])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        values, counts = np.unique(parts, return_counts=True)
+        most = values[counts.argmax()]
+        root = {p: p for p in values.tolist()}
+
+        def top(p):
+            while root[p] != p:
+                root[p] = p = root[root[p]]
+            return p
+
+        for i in np.flatnonzero(parts != most).tolist():
+            shared = np.bincount(np.concatenate([posting[at[x] : at[x + 1]] for x in inverse[ends[i] : ends[i + 1]].tolist()]), minlength=n)
+            fit = ((100 + SHARE) * shared >= SHARE * (sizes + sizes[i])) & (parts != parts[i])
+            if key[1] != key[2]:
+                fit &= owns != owns[i]
+            for j in np.flatnonzero(fit).tolist():
+                # a pair belongs to the first group that it has in common
+                if min(set(known[nodes[i]][2]) & set(known[nodes[j]][2])) != key[0]:
+                    continue
+                a, b = top(int(parts[i])), top(int(parts[j]))
+                if a != b:
+                    root[a] = b
+                    yield tuple(sorted((nodes[i], nodes[j])))
+
+    def run(batches):
+        schema, key, held = pa.schema([("a", pa.int64()), ("b", pa.int64())]), None, []
+
+        def links():
+            nonlocal key, held
+            for token, low, high, *rest in rows_of(batches):
+                for k, row in zip(zip(token, low, high, strict=True), zip(*rest, strict=True), strict=True):
+                    if k != key:
+                        yield from solve(key, held)
+                        key, held = k, []
+                    held.append(row)
+            yield from solve(key, held)
+
+        yield from small_batches(schema, links())
+
+    return sent.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").transform(arrow, run, "a long, b long").distinct()
+
+
 def _rest(runs: DataFrame, tried: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """All links, with those between nodes of one run that the first step left in different components."""
-    last = False
-    while True:
-        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        names = runs.join(roots.select(F.col("v").alias("node"), "root"), "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("part"))
-        mixed = names.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("token", "low")
-        names = stored(names.join(mixed, "token"), "parts")
-        x, y = names.alias("x"), names.alias("y")
-        fits = possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-        if last:
-            pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") < F.col("y.part")) & fits)
-        else:
-            one = names.groupBy("token", "part", "low").agg(F.min(F.struct("n", "node", "pos")).alias("s")).select("token", "part", "low", "s.*")
-            lead = one.where("part = low").select("token", F.col("n").alias("n0"), F.col("node").alias("node0"), F.col("pos").alias("pos0"))
-            pairs = one.where("part != low").join(lead, "token").where(possible(F.col("n"), F.col("pos"), F.col("n0"), F.col("pos0")))
-            pairs = pairs.select(F.col("node").alias("xn"), F.col("node0").alias("yn"))
-        pairs = pairs.select(F.col("x.node").alias("xn"), F.col("y.node").alias("yn")) if last else pairs
-        pairs = pairs.select(F.least("xn", "yn").alias("a"), F.greatest("xn", "yn").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "tried")
-        new = stored(verify(pairs, reps, docs, id_col, text), "links")
-        drop_path(runs.sparkSession, names)
-        tried, links = tried.unionByName(pairs), links.unionByName(new)
-        if last:
-            return links
-        last = new.isEmpty()
+    edges = lambda x: x.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    def parted(rows: DataFrame, links: DataFrame) -> DataFrame:
+        roots = components(edges(links)).select(F.col("v").alias("node"), "root")
+        named = rows.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+        mixed = named.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("token", "size")
+        return named.join(mixed, "token")
+
+    names = stored(parted(runs, links), "parts")
+    largest = F.array_sort(F.collect_list(F.struct(-F.col("size"), "token")))
+    groups = names.where(F.col("size") >= LEAST_RUN).groupBy("node").agg(F.array_sort(F.transform(F.slice(largest, 1, GROUPS), lambda x: x["token"])).alias("groups"))
+    names = stored(names.join(groups, "node", "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<long>"))), "grouped")
+    members = names.where(F.array_contains("groups", F.col("token"))).select("token", "size", "node", "part", "groups")
+    new = stored(verify_groups(members, reps, docs, id_col, text), "links")
+    links = links.unionByName(new)
+    rest = parted(names.drop("part", "size"), links)
+    x, y = rest.alias("x"), rest.alias("y")
+    fits = possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.part") < F.col("y.part")) & fits & ~F.arrays_overlap("x.groups", "y.groups")
+    pairs = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+    return links.unionByName(stored(verify(pairs, reps, docs, id_col, text), "links"))

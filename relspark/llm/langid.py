@@ -1,8 +1,7 @@
 """Operator 7: language identification by a linear-chain conditional random field.
 
 Every word of a text gets a label. A word's emission is the sum of learned weights of its features (the word itself, as
-in a lexicon; prefixes and suffixes; character n-grams; capital and accent signs), hashed into a fixed table; learned
-transitions tie neighbouring labels. Forward-backward over the whole text gives each word's label probabilities, so
+in a lexicon; prefixes and suffixes; character n-grams; capital and accent signs); learned transitions tie neighbouring labels. Forward-backward over the whole text gives each word's label probabilities, so
 code-switched texts are labelled word by word; a text's language is the label with the largest sum of probabilities,
 its score the mean of them.
 
@@ -16,7 +15,6 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -25,23 +23,19 @@ from pyspark.sql import functions as F
 from .common import arrow
 
 
-#: Bounds of the training sample, and the number of weights for each label.
-TRAIN_ROWS, TRAIN_CHARS, TABLE, EPOCHS = 3000, 600, 1 << 16, 25
+#: Bounds of the training sample, and passes over it.
+TRAIN_ROWS, TRAIN_CHARS, EPOCHS = 3000, 600, 25
 #: Word positions that one forward-backward pass holds, and remembered words in a worker.
 CELLS, MEMO = 400_000, 300_000
 _words = re.compile(r"[^\W\d_]+").findall
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a word: lexicon, affixes, n-grams, shape."""
-    w = word.lower()
-    s = f"^{w[:40]}$"
+def features(word: str) -> list[str]:
+    """The features of a word between its boundary marks: its n-grams, affixes among them, and the word itself."""
+    s = f"^{word[:40].lower()}$"
     n = len(s)
-    named = ["w" + w, "c" + str(word[:1].isupper()), "a" + str(w.isascii())]
-    named += ["p" + w[:k] for k in (1, 2, 3)] + ["s" + w[-k:] for k in (1, 2, 3, 4)]
-    named += [s[k : k + 2] for k in range(n - 1)] + [s[k : k + 3] for k in range(n - 2)]
-    named += ["u" + c for c in set(w[:40])]
-    return [zlib.crc32(f.encode()) & (TABLE - 1) for f in named]
+    grams = [s[k : k + 2] for k in range(n - 1)] + [s[k : k + 3] for k in range(n - 2)]
+    return [*grams, s[:4], s[-4:], s[-5:], s, "A" if word[0].isupper() else "a", "0" if word.isascii() else "1"]
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False):
@@ -81,10 +75,17 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray,
 
 
 class Model:
-    """Labels, feature weights (table x labels), transitions and first-label weights."""
+    """Labels, the number of each feature, weights (features and a last row of zeros x labels), transitions and first-label weights."""
 
-    def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray, start: np.ndarray) -> None:
-        self.labels, self.weights, self.trans, self.start = labels, weights, trans, start
+    def __init__(self, labels: list[str], known: dict[str, int], weights: np.ndarray, trans: np.ndarray, start: np.ndarray) -> None:
+        self.labels, self.known, self.weights, self.trans, self.start = labels, known, weights, trans, start
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """The summed weights of each word's features; features that training didn't see weigh nothing."""
+        get, last = self.known.get, len(self.known)
+        found = [[get(f, last) for f in features(w)] for w in words]
+        firsts = np.cumsum([0, *map(len, found[:-1])])
+        return np.add.reduceat(self.weights[np.array([k for f in found for k in f], np.int64)], firsts)
 
 
 def fit(samples: list[tuple[str, list[str]]], epochs: int = EPOCHS, seed: int = 7) -> Model:
@@ -105,11 +106,13 @@ def fit(samples: list[tuple[str, list[str]]], epochs: int = EPOCHS, seed: int =
     for k, (x, y) in enumerate(flat):
         words[k, : len(x)], gold[k, : len(x)] = x, y
     inside = np.arange(lengths[0])[None] < lengths[:, None]
-    found = [features(w) for w in number]
+    known: dict[str, int] = {}
+    found = [[known.setdefault(f, len(known)) for f in features(w)] for w in number]
+    table = len(known)
     sizes = np.array(list(map(len, found)))
     idx = np.concatenate([np.array(f) for f in found])
     firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    weights, trans, start = np.zeros((TABLE, n)), np.zeros((n, n)), np.zeros(n)
+    weights, trans, start = np.zeros((table, n)), np.zeros((n, n)), np.zeros(n)
     square = [np.full_like(x, 1e-2) for x in (weights, trans, start)]
     true = np.zeros((len(number), n))
     np.add.at(true, (words[inside], gold[inside]), 1)
@@ -125,11 +128,12 @@ def fit(samples: list[tuple[str, list[str]]], epochs: int = EPOCHS, seed: int =
         gamma, pairs, first = forward_backward(scores, lengths, trans, start, True)
         expected = np.stack([np.bincount(words[inside], gamma[..., l][inside], len(number)) for l in range(n)], 1)
         by_word = np.repeat((true - expected) / total * 1000, sizes, 0)
-        grads = [np.stack([np.bincount(idx, by_word[:, l], TABLE) for l in range(n)], 1) - 1e-3 * weights, (true_trans - pairs) / total * 1000, (true_start - first) / len(flat)]
+        grads = [np.stack([np.bincount(idx, by_word[:, l], table) for l in range(n)], 1) - 1e-3 * weights, (true_trans - pairs) / total * 1000, (true_start - first) / len(flat)]
         for w, g, s in zip((weights, trans, start), grads, square, strict=True):
             s += g * g
             w += 0.3 * g / np.sqrt(s)
-    return Model(labels, weights.astype(np.float32), trans.astype(np.float32), start.astype(np.float32))
+    weights = np.concatenate([weights, np.zeros((1, n))])
+    return Model(labels, known, weights.astype(np.float32), trans.astype(np.float32), start.astype(np.float32))
 
 
 class Labeller:
@@ -145,12 +149,13 @@ class Labeller:
 
     def numbers(self, words: list[str]) -> np.ndarray:
         rows = self.rows
-        for w in {w for w in words if w not in rows}:
-            k = rows[w] = len(rows)
-            if k == len(self.emission):
+        if new := list({w for w in words if w not in rows}):
+            k = len(rows)
+            rows.update(zip(new, range(k, k + len(new)), strict=True))
+            while len(rows) > len(self.emission):
                 self.emission = np.concatenate([self.emission, np.zeros_like(self.emission)])
-            e = self.model.weights[features(w)].sum(0)
-            self.emission[k] = np.maximum(e - e.max(), -30)
+            e = self.model.emissions(new)
+            self.emission[k : k + len(new)] = np.maximum(e - e.max(1, keepdims=True), -30)
         return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
 
     def words(self, texts: list[list[str]]) -> list[np.ndarray]:
@@ -177,8 +182,7 @@ class Labeller:
                 self.reset()
             lengths = np.array([len(cut[k]) for k in part])
             ids = np.zeros((len(part), longest), np.int64)
-            for j, k in enumerate(part):
-                ids[j, : lengths[j]] = self.numbers(cut[k])
+            ids[np.arange(longest)[None] < lengths[:, None]] = self.numbers([w for k in part for w in cut[k]])
             gamma = forward_backward(self.emission[ids], lengths, self.model.trans, self.model.start)
             for j, k in enumerate(part):
                 out[k] = take(gamma[j], int(lengths[j]))
@@ -196,8 +200,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     n = F.char_length(text)
     piece = F.substring(F.col(text), (1 + F.pmod(F.xxhash64(F.lit("at"), id_col), F.greatest(n - chars, F.lit(1)))).cast("int"), F.lit(chars))
     sample = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col)).select(F.col(lang).alias("l"), piece.alias("t"), F.xxhash64(id_col, text).alias("h"))
-    found = [(r.l, ws) for r in sample.orderBy("h", "l").limit(rows).collect() if (ws := _words(r.t)[1:-1] or _words(r.t))]
-    return fit(found) if found else Model([], np.zeros((TABLE, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
+    share = min(1.0, 1.5 * rows / max(1, sample.count()))  # so that tasks don't send much more than is kept
+    sample = sample.where(F.pmod("h", F.lit(1 << 31)) < int(share * (1 << 31))).orderBy(F.pmod("h", F.lit(1 << 31)), "h", "l").limit(rows)
+    found = [(r.l, ws) for r in sample.collect() if (ws := _words(r.t)[1:-1] or _words(r.t))]
+    return fit(found) if found else Model([], {}, np.zeros((1, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
 
 
 _labellers: dict[str, Labeller] = {}

@@ -48,6 +48,7 @@ class Rules:
         for rank, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.pairs.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+        self.ranks = {p: rank << 20 | new for p, (rank, new) in self.pairs.items()}
         self.first = [self.vocab.get(c) for c in self.chars]
         self.last = [self.vocab.get(c + self.end) for c in self.chars]
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -78,16 +79,16 @@ class Rules:
         if data and self.end:
             ids[-1] = self.last[data[-1]]
         ids = [i for i in ids if i is not None]
-        pairs = self.pairs
-        while len(ids) > 1:
-            best = None
-            for k in range(len(ids) - 1):
-                found = pairs.get((ids[k], ids[k + 1]))
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at = found, k
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        get, none = self.ranks.get, 1 << 62
+        found = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while found and (best := min(found)) < none:
+            k = found.index(best)
+            ids[k : k + 2] = [best & 0xFFFFF]
+            del found[k]
+            if k:
+                found[k - 1] = get((ids[k - 1], ids[k]), none)
+            if k < len(found):
+                found[k] = get((ids[k], ids[k + 1]), none)
         return array("I", ids).tobytes()
 
     def merge_long(self, word: str) -> bytes:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, rules
-from .common import arrow, batch, mapped, rows_of
+from .common import arrow, batch, drop_path, mapped, rows_of, stored
 
 #: Words in the lexicon at most: the bound of what is collected and broadcast (a few MB).
 LEXICON_WORDS = 50_000
@@ -160,10 +160,23 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON_WORDS) -> bytes:
-    """The compiled lexicon of the corpus' most frequent words (ties by word); at most ``size`` words reach the driver."""
+    """The compiled lexicon of the corpus' most frequent words; at most ``size`` words reach the driver.
+
+    Counts fall into classes of an eighth of a power of two; the classes from the highest down that hold ``size`` words
+    at most are taken whole, so no task sends more than it holds of them.
+    """
     spec = rules(path)
-    top = word_counts(docs, path, text).where((F.col("n") >= LEAST_COUNT) & (F.length("word") <= LONGEST)).orderBy(F.desc("n"), "word").limit(size)
-    return compile_lexicon({r.word: spec.merge(r.word) for r in top.collect()})
+    counts = word_counts(docs, path, text).where((F.col("n") >= LEAST_COUNT) & (F.length("word") <= LONGEST))
+    counts = stored(counts.withColumn("class", F.floor(8 * F.log2("n")).cast("int")), "words")
+    least, total = None, 0
+    for r in counts.groupBy("class").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("class")).collect():
+        total += r.words
+        if total > size:
+            break
+        least = r["class"]
+    top = [] if least is None else counts.where(F.col("class") >= least).select("word").collect()
+    drop_path(docs.sparkSession, counts)
+    return compile_lexicon({r.word: spec.merge(r.word) for r in top})
 
 
 @cache

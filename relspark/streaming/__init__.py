@@ -1,0 +1 @@
+"""No streaming operators: the data model has none, its relations are finite sets."""

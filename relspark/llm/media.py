@@ -167,4 +167,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     store(docs, f"{folder}/shards", id_col, text).write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
     seen = measure(places(rows), f"{folder}/shards", samples)
-    return rows.select(id_col, "n_bytes", "digest").join(seen, "digest")
+    return rows.select(id_col, "n_bytes", "digest").join(seen, "digest").select(id_col, "n_bytes", *seen.columns)

@@ -52,10 +52,12 @@ CONTENT = frozenset("article content post entry story main".split())
 
 
 class _Open:
-    __slots__ = ("furniture", "holder", "name", "path")
+    """An open element: ``path`` names its place, ``block`` the place of the block that its text belongs to."""
 
-    def __init__(self, name: str, path: int, furniture: bool, holder: int) -> None:
-        self.name, self.path, self.furniture, self.holder = name, path, furniture, holder
+    __slots__ = ("block", "furniture", "holder", "name", "path")
+
+    def __init__(self, name: str, path: int, block: int, furniture: bool, holder: int) -> None:
+        self.name, self.path, self.block, self.furniture, self.holder = name, path, block, furniture, holder
 
 
 def parse(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int], list[tuple[int, int]]]:
@@ -64,7 +66,7 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int], list[
     A holder is an element that may hold the main text, as (rank, parent holder): rank 3 for an article, 2 for a main
     element, 1 for an element named as content; holder 0 is the page, rank 0.
     """
-    stack, open_names = [_Open("", 0, False, 0)], {"": 1}
+    stack, open_names = [_Open("", 0, 0, False, 0)], {"": 1}
     blocks, tags, holders = [], [], [(0, -1)]
     text: list[str] = []
 
@@ -74,7 +76,7 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int], list[
             text.clear()
             if s:
                 top = stack[-1]
-                blocks.append((s, top.path, top.furniture, top.holder))
+                blocks.append((s, top.block, top.furniture, top.holder))
 
     def pop() -> None:
         open_names[stack.pop().name] -= 1
@@ -90,10 +92,12 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int], list[
             flush()
         if m["close"]:
             if open_names.get(name):
-                flush()
-                while stack[-1].name != name:
+                depth = next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name)
+                # inline elements end within their block, unless they are furniture in it
+                if any(e.furniture != stack[depth - 1].furniture or e.name in BLOCK for e in stack[depth:]):
+                    flush()
+                while len(stack) > depth:
                     pop()
-                pop()
             continue
         if name in BLOCK and open_names.get("p") and name != "br":
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == "p" or stack[k].name in BLOCK), 0)
@@ -124,7 +128,9 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int], list[
         if rank and not furniture:
             holders.append((rank, holder))
             holder = len(holders) - 1
-        stack.append(_Open(name, path, furniture, holder))
+        if furniture != top.furniture:
+            flush()
+        stack.append(_Open(name, path, path if name in BLOCK else top.block, furniture, holder))
         open_names[name] = open_names.get(name, 0) + 1
     flush()
     return blocks, tags, holders

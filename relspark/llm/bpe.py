@@ -13,11 +13,14 @@ import unicodedata
 from array import array
 from functools import cache
 
+from .common import sole
+
 #: Unicode white space, as a character class (the pattern's \s).
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Characters whose class (letter, number, space, other) the standard library's \w and \d tell rightly, and that NFC keeps.
 PLAIN = re.compile("[^\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]")
-MEMO = 400_000
+#: Words that a worker remembers at most, in two generations.
+MEMO = 300_000
 
 
 def byte_chars() -> list[str]:
@@ -146,15 +149,20 @@ def rules(path: str) -> Rules:
 
 
 class _Memo(dict):
+    """Words and their ids. When the young generation is full it becomes the old one, from which words found again return."""
+
     def __init__(self, look, bound: int) -> None:
         super().__init__()
-        self.look, self.bound = look, bound
+        self.look, self.bound, self.old = look, bound // 2, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.bound:
-            self.clear()
-        v = self.look(word)
+        v = self.old.get(word)
+        if v is None:
+            v = self.look(word)
         if len(word) < 64:
+            if len(self) >= self.bound:
+                self.old = self.copy()
+                self.clear()
             self[word] = v
         return v
 
@@ -191,7 +199,6 @@ def library_unseen(path: str):
     return look
 
 
-@cache
 def library_encoder(path: str) -> Encoder:
     """Words cut by this module, each distinct word merged by the tokenizers library; one copy for each process."""
-    return Encoder(rules(path), unseen=library_unseen(path))
+    return sole(("library", path), lambda: Encoder(rules(path), unseen=library_unseen(path)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import mmap
 import os
 import posixpath
@@ -15,8 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, where the Python path doesn't have it already."""
+    """Make this package importable on the executors, where the Python path doesn't have it already.
+
+    Rows of an Arrow batch are set to 2000, if they have Spark's default, as rows here hold whole texts.
+    """
+    if spark.conf.get(ROWS) == "10000":
+        spark.conf.set(ROWS, "2000")
     root = Path(__file__).resolve().parents[2]
     context = spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_relspark_shipped", False):
@@ -90,6 +99,21 @@ def mapped(data: bytes) -> mmap.mmap:
         return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
 
+_sole: dict = {}
+
+
+def sole(key, make):
+    """What ``make`` gives, kept in this worker under ``key`` in the place of what was kept before.
+
+    Workers serve many operators; only the last one's memos stay, so their memory doesn't add up.
+    """
+    if key not in _sole:
+        _sole.clear()
+        gc.collect()
+        _sole[key] = make()
+    return _sole[key]
+
+
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:
     """Each batch as one list per column."""
     for b in batches:

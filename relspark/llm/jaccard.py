@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, drop_path, rows_of, small_batches, stored
+from .common import arrow, drop_path, rows_of, small_batches, sole, stored
 
 WORDS, SHARE = 5, 75
 #: The count-min table: rows and slots (4 bytes each), in blocks.
@@ -113,6 +113,7 @@ def sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        sole("jaccard", dict)  # what other operators remembered goes
         for b in batches:
             found = [shingles(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([_node(s) if len(s) else None for s in found], pa.int64())], ["id", "n_shingles", "node"])

@@ -20,13 +20,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow
+from .common import arrow, sole
 
 
 #: Bounds of the training sample, and passes over it.
-TRAIN_ROWS, TRAIN_CHARS, EPOCHS = 3000, 600, 25
+TRAIN_ROWS, TRAIN_CHARS, EPOCHS = 1500, 400, 25
 #: Word positions that one forward-backward pass holds, and remembered words in a worker.
-CELLS, MEMO = 400_000, 300_000
+CELLS, MEMO = 400_000, 200_000
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -112,9 +112,9 @@ def fit(samples: list[tuple[str, list[str]]], epochs: int = EPOCHS, seed: int =
     sizes = np.array(list(map(len, found)))
     idx = np.concatenate([np.array(f) for f in found])
     firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    weights, trans, start = np.zeros((table, n)), np.zeros((n, n)), np.zeros(n)
+    weights, trans, start = np.zeros((table, n), np.float32), np.zeros((n, n)), np.zeros(n)
     square = [np.full_like(x, 1e-2) for x in (weights, trans, start)]
-    true = np.zeros((len(number), n))
+    true = np.zeros((len(number), n), np.float32)
     np.add.at(true, (words[inside], gold[inside]), 1)
     true_trans = np.zeros((n, n))
     both = inside[:, 1:]
@@ -127,7 +127,7 @@ def fit(samples: list[tuple[str, list[str]]], epochs: int = EPOCHS, seed: int =
         scores -= scores.max(2, keepdims=True)
         gamma, pairs, first = forward_backward(scores, lengths, trans, start, True)
         expected = np.stack([np.bincount(words[inside], gamma[..., l][inside], len(number)) for l in range(n)], 1)
-        by_word = np.repeat((true - expected) / total * 1000, sizes, 0)
+        by_word = np.repeat(((true - expected) / total * 1000).astype(np.float32), sizes, 0)
         grads = [np.stack([np.bincount(idx, by_word[:, l], table) for l in range(n)], 1) - 1e-3 * weights, (true_trans - pairs) / total * 1000, (true_start - first) / len(flat)]
         for w, g, s in zip((weights, trans, start), grads, square, strict=True):
             s += g * g
@@ -206,9 +206,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     return fit(found) if found else Model([], {}, np.zeros((1, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
 
 
-_labellers: dict[str, Labeller] = {}
-
-
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (the id alone if None) with lang_pred and score of every row."""
     spark = docs.sparkSession
@@ -222,12 +219,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str =
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        if key not in _labellers:
-            _labellers.clear()
-            _labellers[key] = Labeller(shared.value)
+        labeller = sole(("language", key), lambda: Labeller(shared.value))
         schema = to_arrow_schema(out)
         for b in batches:
-            found = _labellers[key].texts(b.column(0).to_pylist())
+            found = [x for k in range(0, b.num_rows, 500) for x in labeller.texts(b.column(0).slice(k, 500).to_pylist())]
             extra = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(b.columns[1:], schema, strict=False)], *extra], schema=schema)
 

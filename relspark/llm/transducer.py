@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, rules
-from .common import arrow, batch, drop_path, mapped, rows_of, stored
+from .common import arrow, batch, drop_path, mapped, rows_of, sole, stored
 
 #: Words in the lexicon at most: the bound of what is collected and broadcast (a few MB).
 LEXICON_WORDS = 50_000
@@ -150,7 +150,7 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 for k, part in enumerate(cut.parts(t) if t else ()):
                     if k % 2 == 0:
                         found.update(cut.words(part))
-            if len(found) > 300_000:
+            if len(found) > 200_000:
                 yield batch(schema, list(found.items()))
                 found.clear()
         if found:
@@ -194,9 +194,6 @@ def decode(path: str, ids: bytes) -> bytes:
     return data
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """(id_col, ids array<int>, decoded string) of every row, by the transducer lexicon."""
     return _run(docs, path, id_col, text, lexicon_words, "ids array<int>, decoded string", lambda ids, out: (np.frombuffer(ids, "<u4").astype("i4"), out.decode()))
@@ -216,11 +213,8 @@ def _run(docs: DataFrame, path: str, id_col: str, text: str, lexicon_words: int,
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        key = (path, hashlib.sha256(block.value).digest())
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = Encoder(rules(path), lexicon=Lexicon(mapped(block.value)))
-        enc, schema = _encoders[key], to_arrow_schema(out)
+        key = ("lexicon", path, hashlib.sha256(block.value).digest())
+        enc, schema = sole(key, lambda: Encoder(rules(path), lexicon=Lexicon(mapped(block.value)))), to_arrow_schema(out)
         for keys, texts in rows_of(batches):
             rows = []
             for i, t in zip(keys, texts, strict=True):

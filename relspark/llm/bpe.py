@@ -20,7 +20,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: Characters whose class (letter, number, space, other) the standard library's \w and \d tell rightly, and that NFC keeps.
 PLAIN = re.compile("[^\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]")
 #: Words that a worker remembers at most, in two generations.
-MEMO = 300_000
+MEMO = 600_000
 
 
 def byte_chars() -> list[str]:

@@ -13,6 +13,7 @@ from ..operators import ALL, ANY, AVG, COUNT, MAX, MIN, SUM, Relation, dee, dum,
 from ..operators.aggregates import nested_avg, nested_max, nested_sum
 from ..sources import table, to_json
 from ..userdefined import UserType, macro
+from . import text_queries
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -45,11 +46,11 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | text_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | text_queries.oracle_sql()
 
 
 MONEY = "decimal(18,2)"

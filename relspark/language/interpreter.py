@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
@@ -27,7 +28,8 @@ from . import builtins
 from .syntax import parse_expression, parse_script
 from .values import Correlated, Frame, Val, default, literal, plain, selector, struct_type, text, type_of
 
-_DEEPEST = 150
+#: Calls within calls: of operators over values, and of operators expanded into a plan.
+_DEEPEST, _DEEPEST_PLAN = 500, 25
 
 
 class _Return(Exception):  # noqa: N818
@@ -72,6 +74,7 @@ class _Type:
 class Session:
     def __init__(self, spark: SparkSession, db: Database | None = None, lines: list[str] | None = None) -> None:
         """``lines``: what io.get_line reads. What scripts print is in ``output``."""
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * _DEEPEST))
         self.spark, self.db = spark, db or Database(spark)
         self.lines, self.output = list(lines or []), []
         self.scopes: list[dict[str, object]] = [{"current_db": Val(T.StringType(), self.db.name)}]
@@ -801,13 +804,14 @@ class Session:
     def enter(self, v: dict, args: list, name: str):
         if isinstance(v["body"], tuple) and v["body"][:1] == ("extern",):
             raise NotSupported(f"{name} is implemented outside the language")
-        if self._depth > _DEEPEST:
+        over_rows = any(isinstance(a, Val) and not a.known for a in args)
+        if self._depth > (_DEEPEST_PLAN if over_rows else _DEEPEST):
             raise NotSupported(f"{name} calls itself too deeply, or without end over rows")
         local = dict(zip([p for p, _ in v["params"]], args, strict=True))
         self.scopes.append(local)
         self._depth += 1
         try:
-            if any(isinstance(a, Val) and not a.known for a in args):
+            if over_rows:
                 return self.symbolic(v["body"])
             try:
                 for s in v["body"]:

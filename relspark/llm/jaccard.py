@@ -69,7 +69,11 @@ def shingles(text: str | None) -> np.ndarray:
     x = h[:m] * _ODD[0]
     for k in range(1, WORDS):
         x += h[k : k + m] * _ODD[k]
-    return np.unique(_mix(x))
+    x = _mix(x)
+    x.sort()
+    first = np.ones(m, bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x if first.all() else x[first]
 
 
 def _node(s: np.ndarray) -> int:
@@ -109,22 +113,13 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, n_shingles, node) of every row; node is null for empty sets."""
+    """Rows (id, n_shingles, node), node being null for empty sets, and each task's part of the count-min table as
+    (block, counts) for the texts that have an id; the columns of the other kind of row are null."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "n_shingles", "node", "block", "counts"]
 
     def run(batches):
         sole("jaccard", dict)  # what other operators remembered goes
-        for b in batches:
-            found = [shingles(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([_node(s) if len(s) else None for s in found], pa.int64())], ["id", "n_shingles", "node"])
-
-    return docs.select(id_col, text).transform(arrow, run, f"id {kind}, n_shingles long, node long")
-
-
-def frequencies(docs: DataFrame, text: str) -> np.ndarray:
-    """The count-min table over all texts: each task sums its part, blocks are summed, DEPTH x SLOTS counts return."""
-
-    def count(batches):
         table, held, size = np.zeros((DEPTH, SLOTS), np.int64), [], 0
 
         def put():
@@ -132,19 +127,32 @@ def frequencies(docs: DataFrame, text: str) -> np.ndarray:
                 table[k] += np.bincount(x.astype(np.int64), minlength=SLOTS)
             held.clear()
 
-        for (texts,) in rows_of(batches):
-            for t in texts:
-                held.append(shingles(t))
-                size += len(held[-1])
-                if size > 4 * SLOTS:
-                    put()
-                    size = 0
+        ids = None
+        for b in batches:
+            ids, sizes, nodes = b.column(0), [], []
+            for i, t in zip(ids.to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = shingles(t)
+                sizes.append(len(s))
+                nodes.append(_node(s) if len(s) else None)
+                if i is not None and len(s):
+                    held.append(s)
+                    size += len(s)
+                    if size > 4 * SLOTS:
+                        put()
+                        size = 0
+            n = len(sizes)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if held:
             put()
         blocks = np.minimum(table, 2**32 - 1).astype(np.uint32).reshape(-1, BLOCK)
-        for k in range(len(blocks)):
-            if blocks[k].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blocks[k].tobytes()], pa.binary())], ["block", "counts"])
+        for k in np.flatnonzero(blocks.any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([blocks[k].tobytes()], pa.binary())], names)
+
+    return docs.select(id_col, text).transform(arrow, run, f"id {kind}, n_shingles long, node long, block int, counts binary")
+
+
+def frequencies(parts: DataFrame) -> np.ndarray:
+    """The count-min table over all texts, from the (block, counts) that tasks made: DEPTH x SLOTS counts return."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -154,8 +162,7 @@ def frequencies(docs: DataFrame, text: str) -> np.ndarray:
         for k, t in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(t, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["block", "counts"])
 
-    part = docs.select(text).transform(arrow, count, "block int, counts binary")
-    whole = part.repartition("block").transform(arrow, add, "block int, counts binary")
+    whole = parts.repartition("block").transform(arrow, add, "block int, counts binary")
     out = np.zeros((DEPTH * SLOTS // BLOCK, BLOCK), np.uint32)
     for r in whole.collect():
         out[r.block] = np.frombuffer(r.counts, np.uint32)
@@ -350,10 +357,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """(id_col, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
     with _swept(spark):
-        rows = stored(sets(docs, id_col, text), "sets")
+        made = stored(sets(docs, id_col, text), "sets")
+        rows = made.where("block IS NULL").select("id", "n_shingles", "node")
         known = docs.where(F.col(id_col).isNotNull())
         reps = stored(rows.where("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep")), "reps")
-        table = spark.sparkContext.broadcast(frequencies(known, text))
+        table = spark.sparkContext.broadcast(frequencies(made.where("block IS NOT NULL").select("block", "counts")))
         found = stored(first_pairs(prefixes(known, text, table)), "pairs")
         first = stored(found.where("token IS NULL").select("a", "b").distinct(), "tried")
         links = stored(verify(first, reps, known, id_col, text), "links")

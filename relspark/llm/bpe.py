@@ -19,6 +19,8 @@ from .common import sole
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Characters whose class (letter, number, space, other) the standard library's \w and \d tell rightly, and that NFC keeps.
 PLAIN = re.compile("[^\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]")
+#: The letters among plain characters and what they become in lower case; their only digits are 0 to 9.
+LETTERS = "A-Za-z\xaa\xb5\xbaÀ-ÖØ-öø-ʯⱥⱦ"
 #: Words that a worker remembers at most, in two generations.
 MEMO = 600_000
 
@@ -57,9 +59,9 @@ class Rules:
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         cut = "'(?:s|t|re|ve|m|ll|d)"
         if self.lower:
-            self._plain = re.compile(rf"{cut}|[^\W\d_]+|\d|(?:[^{SPACE}\w]|_)+").findall
+            self._plain = re.compile(rf"{cut}|[{LETTERS}]+|[0-9]|[^{SPACE}{LETTERS}0-9]+").findall
         else:
-            self._plain = re.compile(rf"{cut}| ?[^\W\d_]+| ?\d+| ?(?:[^{SPACE}\w]|_)+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
+            self._plain = re.compile(rf" ?[{LETTERS}]+|{cut}| ?[0-9]+| ?[^{SPACE}{LETTERS}0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
 
     def _full(self, text: str) -> list[str]:
         return _full_pattern(self.lower)(text)
@@ -156,7 +158,7 @@ class _Memo(dict):
         self.look, self.bound, self.old = look, bound // 2, {}
 
     def __missing__(self, word: str) -> bytes:
-        v = self.old.get(word)
+        v = self.old.pop(word, None)
         if v is None:
             v = self.look(word)
         if len(word) < 64:

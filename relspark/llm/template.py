@@ -32,9 +32,10 @@ LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 3, 0.5, 3
 #: A text run is furniture if the template has it on this share of pages (within an article: of at least so many pages).
 FIXED_SHARE, ARTICLE_SHARE, ARTICLE_PAGES = 0.8, 0.95, 8
 
+#: A quoted value may be of any length; a quote that nothing closes ends with its tag, at the next < or >.
 _TOKEN = re.compile(
     r"(?is)<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|object|svg|math|canvas|audio|video|select|button|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+)>|<[!?/][^<>]*>|[^<]+|<"
+    r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+(?:[\"'][^<>]*+)?)>|<[!?/][^<>]*>|[^<]+|<"
 )
 _ATTR = re.compile(r"(?i)\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z]+")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -202,6 +203,17 @@ def test_op1(spark):
     assert rows(template.extract(df.where("false"))) == []
 
 
+def test_long_attribute_values():
+    for q in "\"'":
+        page = f"<body><p>before</p><img src={q}data:{'A' * 9000}{q}><div data-x={q}{'<b>' * 3000}{q} class='advert'>buy</div><p>after</p></body>"
+        assert template.main_text(page) == "before after"
+    assert template.main_text("<body><div class='a>one</div><p>two</p>") == "one two"
+    start = time.process_time()
+    template.parse("<a href=\"x' " * 40_000)
+    template.parse("<a b='" + "<a c=\"'" * 40_000)
+    assert time.process_time() - start < 20
+
+
 def test_deep_and_broken_pages():
     assert template.main_text("<div>" * 5000 + "x" + "</span>" * 100) == "x"
     assert template.main_text("a < b <!-- open comment") == "a < b"

@@ -6,7 +6,7 @@ the host's pages, are equal. Vectors are compared by two sums over pages of a ha
 shuffle add up, so that no host's pages ever meet. A class is valid if it is found on ``LEAST_PAGES`` pages and
 ``LEAST_SHARE`` of the host's, and holds ``LEAST_TOKENS`` tokens or a tag; paths nest the valid classes into the host's
 template. What the template doesn't fix are its slots, and their texts are extracted: text runs that the template fixes
-on nearly every page (``FIXED_SHARE``) are furniture, as are slots under navigation, headers, footers, asides, forms,
+on nearly every page (``FIXED_SHARE``) are furniture unless they are most of the host's text (near copies), as are slots under navigation, headers, footers, asides, forms,
 scripts and elements whose class or id names a menu, sidebar, notice, advert or comment. Of the slots left, those under
 the article (or the main element, or the element named as content, or else the body) make up the main text.
 
@@ -31,6 +31,9 @@ from .common import arrow, rows_of, small_batches, stored
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 3, 0.5, 3
 #: A text run is furniture if the template has it on this share of pages (within an article: of at least so many pages).
 FIXED_SHARE, ARTICLE_SHARE, ARTICLE_PAGES = 0.8, 0.95, 8
+#: A host whose fixed runs make up more than this share of all characters of its articles (of the texts of its pages without
+#: one) serves copies of one article: what they share is text, not furniture.
+COPIED_ARTICLE, COPIED_PAGE = 0.5, 0.8
 
 #: A quoted value may be of any length; a quote that nothing closes ends with its tag, at the next < or >.
 _TOKEN = re.compile(
@@ -141,11 +144,8 @@ def _run(path: int, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\n{text}") >> 1
 
 
-def main_text(page: str | None, fixed: frozenset[int] = frozenset(), fixed_inside: frozenset[int] = frozenset()) -> str:
-    """The main text of a page; ``fixed`` are text runs of its host's template, ``fixed_inside`` those also within articles."""
-    if not page:
-        return ""
-    blocks, _, holders = parse(page)
+def _main(blocks: list[tuple[str, int, bool, int]], holders: list[tuple[int, int]]) -> tuple[list[tuple[str, int, bool, int]], int]:
+    """The blocks of the holder that holds the main text, and its rank."""
     free = [b for b in blocks if not b[2]]
     size = [0] * len(holders)
     for s, _, _, h in free:
@@ -159,15 +159,26 @@ def main_text(page: str | None, fixed: frozenset[int] = frozenset(), fixed_insid
             h = holders[h][1]
         return h == best
 
-    drop = fixed_inside if holders[best][0] >= 2 else fixed
-    inside = [b for b in free if within(b[3])]
+    return [b for b in free if within(b[3])], holders[best][0]
+
+
+def main_text(page: str | None, fixed: frozenset[int] = frozenset(), fixed_inside: frozenset[int] = frozenset()) -> str:
+    """The main text of a page; ``fixed`` are text runs of its host's template, ``fixed_inside`` those also within articles."""
+    if not page:
+        return ""
+    blocks, _, holders = parse(page)
+    inside, rank = _main(blocks, holders)
+    drop = fixed_inside if rank >= 2 else fixed
     kept = [s for s, path, _, _ in inside if not drop or _run(path, s) not in drop]
     return " ".join(kept or [s for s, *_ in inside])
 
 
 def occurrences(pages: DataFrame, id_col: str, url: str, html: str) -> DataFrame:
-    """(host, token, tag, a, b, pages, total): a host's tokens with their vectors' sums, summed in tasks first."""
-    schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("tag", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("pages", pa.int64())])
+    """(host, token, tag, a, b, pages, inside, loose): a host's tokens with their vectors' sums, summed in tasks first.
+
+    inside and loose: characters of a run in main texts that are articles, and in others; token 0 has those of all runs.
+    """
+    schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("tag", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("pages", pa.int64()), ("inside", pa.int64()), ("loose", pa.int64())])
 
     def run(batches):
         held: dict[tuple, list[int]] = {}
@@ -175,26 +186,32 @@ def occurrences(pages: DataFrame, id_col: str, url: str, html: str) -> DataFrame
             for host, i, u, text in zip(hosts, ids, urls, texts, strict=True):
                 if not text:
                     continue
-                blocks, tags, _ = parse(text)
+                blocks, tags, holders = parse(text)
                 counts: dict[tuple[int, bool], int] = {(0, True): 1}
                 for t in tags:
                     counts[t, True] = counts.get((t, True), 0) + 1
                 for s, path, _, _ in blocks:
                     key = (_run(path, s), False)
                     counts[key] = counts.get(key, 0) + 1
+                main, rank = _main(blocks, holders)
+                chars: dict[tuple[int, bool], int] = {(0, True): sum(len(b[0]) for b in main)}
+                for s, path, _, _ in main:
+                    key = (_run(path, s), False)
+                    chars[key] = chars.get(key, 0) + len(s)
                 for (token, tag), n in counts.items():
                     x = xxhash.xxh3_64_intdigest(f"{i} {u} {n}")
-                    sums = held.setdefault((host, token, tag), [0, 0, 0])
+                    sums = held.setdefault((host, token, tag), [0, 0, 0, 0, 0])
                     sums[0] += x & 0x7FFFFFFF
                     sums[1] += x >> 33
                     sums[2] += 1
+                    sums[3 if rank >= 2 else 4] += chars.get((token, tag), 0)
             if len(held) > 200_000:
                 yield from small_batches(schema, [(*k, *v) for k, v in held.items()], 10_000)
                 held.clear()
         yield from small_batches(schema, [(*k, *v) for k, v in held.items()], 10_000)
 
-    rows = pages.select(_host(url).alias("host"), id_col, url, html).transform(arrow, run, "host string, token long, tag boolean, a long, b long, pages long")
-    return rows.where("host != ''").groupBy("host", "token", "tag").agg(*[F.sum(c).alias(c) for c in ("a", "b", "pages")])
+    rows = pages.select(_host(url).alias("host"), id_col, url, html).transform(arrow, run, "host string, token long, tag boolean, a long, b long, pages long, inside long, loose long")
+    return rows.where("host != ''").groupBy("host", "token", "tag").agg(*[F.sum(c).alias(c) for c in ("a", "b", "pages", "inside", "loose")])
 
 
 def _host(url: str):
@@ -204,15 +221,21 @@ def _host(url: str):
 def templates(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(host, slots, fixed, fixed_inside): the paths and the text runs of each host's template."""
     tokens = occurrences(pages, id_col, url, html)
-    hosts = tokens.where("token = 0").select("host", F.col("pages").alias("all"))
+    hosts = tokens.where("token = 0").select("host", F.col("pages").alias("all"), F.col("inside").alias("all_inside"), F.col("loose").alias("all_loose"))
     common = tokens.where("token != 0").join(hosts, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("all")))
-    item = F.struct("token", "tag", (F.col("pages") / F.col("all")).alias("share"))
-    classes = common.groupBy("host", "all", "a", "b").agg(F.collect_list(item).alias("items"), F.max("tag").alias("tags"))
-    valid = classes.where((F.size("items") >= LEAST_TOKENS) | F.col("tags")).groupBy("host", "all").agg(F.flatten(F.collect_list("items")).alias("items"))
-    runs = lambda share: F.transform(F.filter("items", lambda x: ~x["tag"] & (x["share"] >= share)), lambda x: x["token"])
+    all_ = ["all", "all_inside", "all_loose"]
+    item = F.struct("token", "tag", (F.col("pages") / F.col("all")).alias("share"), "inside", "loose")
+    classes = common.groupBy("host", *all_, "a", "b").agg(F.collect_list(item).alias("items"), F.max("tag").alias("tags"))
+    valid = classes.where((F.size("items") >= LEAST_TOKENS) | F.col("tags")).groupBy("host", *all_).agg(F.flatten(F.collect_list("items")).alias("items"))
+    fixed = lambda share: F.filter("items", lambda x: ~x["tag"] & (x["share"] >= share))
+
+    def runs(share: float, where: str, most: float):
+        held = F.aggregate(fixed(share), F.lit(0).cast("long"), lambda n, x: n + x[where])
+        return F.when(held <= most * F.col(f"all_{where}"), F.transform(fixed(share), lambda x: x["token"])).otherwise(F.array().cast("array<long>"))
+
     slots = F.transform(F.filter("items", lambda x: x["tag"]), lambda x: x["token"])
-    inside = F.when(F.col("all") >= ARTICLE_PAGES, runs(ARTICLE_SHARE)).otherwise(F.array().cast("array<long>"))
-    return valid.select("host", slots.alias("slots"), runs(FIXED_SHARE).alias("fixed"), inside.alias("fixed_inside"))
+    inside = F.when(F.col("all") >= ARTICLE_PAGES, runs(ARTICLE_SHARE, "inside", COPIED_ARTICLE)).otherwise(F.array().cast("array<long>"))
+    return valid.select("host", slots.alias("slots"), runs(FIXED_SHARE, "loose", COPIED_PAGE).alias("fixed"), inside.alias("fixed_inside"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -214,6 +214,16 @@ def test_long_attribute_values():
     assert time.process_time() - start < 20
 
 
+def test_near_copies_of_an_article_stay_whole(spark):
+    shared = [f"Shared paragraph {j} of the one article that this host serves again and again." for j in range(4)]
+    body = lambda k: [*shared[:2], f"Only on page {k}.", *shared[2:]]
+    wrap = {"c": "<article>{}</article>", "d": "<div><span>Menu</span></div><div>{}</div>"}
+    pages = [(k, f"http://{h}.example/{k}", f"<body><nav>Home</nav>{w.format(''.join(f'<p>{s}</p>' for s in body(k)))}</body>") for h, w in wrap.items() for k in range(20)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for r in template.extract(df).collect():
+        assert " ".join(body(r.page_id)) in r.text
+
+
 def test_deep_and_broken_pages():
     assert template.main_text("<div>" * 5000 + "x" + "</span>" * 100) == "x"
     assert template.main_text("a < b <!-- open comment") == "a < b"

@@ -1,19 +1,19 @@
 """Operator 2: personal data and information-theoretic sanitisation, in DataFrame functions only.
 
 Patterns find the base spans of each whole text: mail addresses, IP addresses, card and phone numbers. Each is a
-mention of a protected entity. Words within ``NEAR`` separators of a mention are terms that may disclose it. Over the whole
-corpus, with N texts, df(e) and df(t) texts with the entity and the term and j texts where they stand together, the
-term reveals log2(N j / (df(e) df(t))) bits of the entity's log2(N / df(e)); where that share reaches ``DISCLOSES`` and the
-pair is seen in two or more different contexts, the term's mentions beside the entity are spans as well, and
-sanitising generalises them (terms with digits) or removes them.
+mention of a protected entity. All words of a text outside its base spans are terms that may disclose its entities. Over the
+whole corpus, with N texts, df(e) and df(t) texts with the entity and the term and j texts with both, the term reveals
+log2(N j / (df(e) df(t))) bits of the entity's log2(N / df(e)); where that share reaches ``DISCLOSES`` and the term is seen
+between different words (``NEAR`` on each side) in two or more of these texts, so that copies tell nothing, all the term's
+mentions in the texts with the entity are spans as well, and sanitising generalises them (terms with digits) or removes them.
 
-No text is shuffled: mentions and word counts are. Defined cases: a null or empty text has no spans; repeated and null
+Only texts with base spans are stored; of those, texts with an entity of two or more texts are cut into terms. Defined cases: a null or empty text has no spans; repeated and null
 ids stay as they are; overlapping spans are replaced as one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -60,27 +60,11 @@ def _entity(kind: int, s: Column) -> Column:
     return F.concat(F.lit(KINDS[kind] + ":"), F.lower(s) if kind < 2 else _digits(s))
 
 
-def _terms(context: Column, base: Column) -> Column:
-    """(term, start, end) of each word of a context that starts at ``base``."""
-
-    def located(words: Column) -> Column:
-        def one(w: Column, i: Column) -> Column:
-            before = F.slice(words, F.lit(1), i)
-            core = F.regexp_extract(w, TERM, 0)
-            start = base + F.char_length(F.array_join(before, " ")) + F.when(i > 0, 1).otherwise(0) + F.instr(w, core) - 1
-            return F.struct(F.lower(core).alias("term"), start.cast("int").alias("start"), (start + F.char_length(core)).cast("int").alias("end"))
-
-        return F.filter(F.transform(words, one), lambda t: t["term"].rlike("\\p{L}"))
-
-    return F.get(F.transform(F.array(F.split(context, " ", -1)), located), F.lit(0))
-
-
 SPAN = "struct<kind:int,start:int,end:int>"
-MENTION = "struct<entity:string,context:bigint,term:string,start:int,end:int>"
 
 
 def _found(kind: int, text: Column) -> Column:
-    """(spans, mentions) of one kind: pieces between matches give the places, their ends the contexts."""
+    """(spans, entities) of one kind: pieces between matches give the places."""
     pattern = PATTERNS[kind]
 
     def of(cut: Column) -> Column:
@@ -95,29 +79,24 @@ def _found(kind: int, text: Column) -> Column:
         def located(at: Column) -> Column:
             def one(m: Column, i: Column) -> Column:
                 start, end = F.get(at, i), (F.get(at, i) + F.char_length(m)).cast("int")
-                left = F.substring_index(F.translate(F.get(pieces, i), SPACES, "     "), " ", -(NEAR + 1))
-                right = F.substring_index(F.translate(F.get(pieces, i + 1), SPACES, "     "), " ", NEAR + 1)
-                terms = F.concat(_terms(left, start - F.char_length(left)), _terms(right, end))
-                context = F.xxhash64(left, right)
-                mentions = F.transform(terms, lambda t: F.struct(_entity(kind, m).alias("entity"), context.alias("context"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))
-                return F.struct(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end")).alias("span"), mentions.alias("near"), _holds(kind, m).alias("holds"))
+                return F.struct(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end")).alias("span"), _entity(kind, m).alias("entity"), _holds(kind, m).alias("holds"))
 
             good = F.filter(F.transform(matches, one), lambda x: x["holds"])
-            return F.get(F.transform(F.array(good), lambda g: F.struct(F.transform(g, lambda x: x["span"]).alias("spans"), F.flatten(F.transform(g, lambda x: x["near"])).alias("near"))), F.lit(0))
+            return F.get(F.transform(F.array(good), lambda g: F.struct(F.transform(g, lambda x: x["span"]).alias("spans"), F.array_distinct(F.transform(g, lambda x: x["entity"])).alias("entities"))), F.lit(0))
 
         return F.get(F.transform(F.array(starts), located), F.lit(0))
 
     cut = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"))
-    none = F.struct(F.array().cast(f"array<{SPAN}>").alias("spans"), F.array().cast(f"array<{MENTION}>").alias("near"))
+    none = F.struct(F.array().cast(f"array<{SPAN}>").alias("spans"), F.array().cast("array<string>").alias("entities"))
     run = F.get(F.transform(F.filter(F.array(cut), lambda c: F.size(c["m"]) > 0), of), F.lit(0))
     return F.when(text.rlike(HINTS[kind]), F.coalesce(run, none)).otherwise(none)
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns as ``doc``, with ``spans`` (base spans by kind, then start) and ``near`` (terms beside each mention)."""
+    """All columns as ``doc``, with ``spans`` (base spans by kind, then start) and ``entities`` (the distinct ones mentioned)."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[_found(k, body).alias(f"k{k}") for k in range(4)])
-    return rows.select("doc", F.concat(*[F.col(f"k{k}.spans") for k in range(4)]).alias("spans"), F.concat(*[F.col(f"k{k}.near") for k in range(4)]).alias("near"))
+    return rows.select("doc", F.concat(*[F.col(f"k{k}.spans") for k in range(4)]).alias("spans"), F.concat(*[F.col(f"k{k}.entities") for k in range(4)]).alias("entities"))
 
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -127,31 +106,44 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def disclosing(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, term) pairs whose disclosure reaches the threshold. ``found``: row, near."""
+    """(entity, term) pairs whose disclosure reaches the threshold. ``found``: row, entities, blank.
+
+    Terms are reduced to one a text, and terms of too many texts to reach an entity's threshold go, before they are paired.
+    """
     n = F.lit(float(docs.count()))
-    beside = found.select("row", F.inline("near"))
-    entities = beside.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
-    pairs = beside.groupBy("entity", "term", "row").agg(F.min("context").alias("context")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("j"), F.min("context").alias("a"), F.max("context").alias("b"))
+    mentions = found.select("row", F.explode("entities").alias("entity"))
+    entities = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("df_e")).where((F.col("df_e") >= CONTEXTS) & (F.col("df_e") < n))
+    mentions = mentions.join(entities, "entity")
+    around = lambda w: F.transform(w, lambda t, i: F.struct(t.alias("term"), F.xxhash64(F.slice(w, F.greatest(i - NEAR, F.lit(0)) + 1, F.least(i, F.lit(NEAR)) + 1 + NEAR)).alias("context")))
+    words = F.regexp_extract_all(F.lower("blank"), F.lit(TERM), 0)
+    terms = found.join(mentions.select("row").distinct(), "row", "left_semi").select("row", F.inline(F.get(F.transform(F.array(words), around), F.lit(0)))).where(F.col("term").rlike("\\p{L}"))
+    terms = terms.groupBy("row", "term").agg(F.min("context").alias("context")).join(term_counts(docs, text).where(F.col("df_t") >= CONTEXTS), "term")
+    # j is at most df_e: a term of more texts than this can't reach the threshold
+    near = terms.join(mentions, "row").where(F.col("df_t") <= 1.000001 * F.pow(n, 1 - DISCLOSES) * F.pow("df_e", F.lit(DISCLOSES)))
+    pairs = near.groupBy("entity", "term", "df_e", "df_t").agg(F.count(F.lit(1)).alias("j"), F.min("context").alias("a"), F.max("context").alias("b"))
     pairs = pairs.where((F.col("a") != F.col("b")) & (F.col("j") >= CONTEXTS))
-    counts = term_counts(docs, text).join(pairs.select("term").distinct(), "term")
-    known = pairs.join(entities, "entity").join(counts, "term")
     bits = F.log2(n * F.col("j") / (F.col("df_e") * F.col("df_t")))
-    return known.where((F.col("df_e") < n) & (bits >= DISCLOSES * F.log2(n / F.col("df_e")))).select("entity", "term")
+    return pairs.where(bits >= DISCLOSES * F.log2(n / F.col("df_e"))).select("entity", "term")
 
 
 def _extra(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(row, more): the spans of disclosing terms of each row."""
-    beside = found.select("row", F.inline("near")).join(pairs, ["entity", "term"])
-    span = F.struct(F.lit(4).alias("kind"), "start", "end")
-    return beside.select("row", span.alias("s")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("more"))
+    """(row, more): the spans of all mentions of each row's disclosing terms."""
+    sought = found.select("row", F.explode("entities").alias("entity")).join(pairs, "entity").groupBy("row").agg(F.collect_set("term").alias("sought"))
+    cut = F.arrays_zip(F.split("blank", TERM, -1).alias("gap"), F.regexp_extract_all("blank", F.lit(TERM), 0).alias("word"))
+    words = found.join(sought, "row").select("row", "sought", F.posexplode(cut).alias("at", "x")).select("row", "sought", "at", "x.gap", "x.word")
+    end = F.sum(F.char_length("gap") + F.coalesce(F.char_length("word"), F.lit(0))).over(Window.partitionBy("row").orderBy("at"))
+    words = words.withColumn("end", end.cast("int")).where(F.array_contains("sought", F.lower("word")))
+    span = F.struct(F.lit(4).alias("kind"), (F.col("end") - F.char_length("word")).cast("int").alias("start"), "end")
+    return words.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("more"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, base, spans): base spans, and all spans with those of the disclosing terms, by kind, then start."""
-    rows = detect(docs, text).select(F.col(f"doc.`{id_col}`").alias(id_col), F.monotonically_increasing_id().alias("row"), "spans", "near")
+    body = F.when(F.size("spans") > 0, blanked(F.col(f"doc.`{text}`"), F.col("spans")))
+    rows = detect(docs, text).select(F.col(f"doc.`{id_col}`").alias(id_col), F.monotonically_increasing_id().alias("row"), "spans", "entities", body.alias("blank"))
     rows = stored(rows, "pii-found")
-    near = rows.where(F.size("near") > 0).select("row", "near")
-    more = _extra(near, disclosing(near, docs, text))
+    held = rows.where(F.size("spans") > 0).select("row", "entities", "blank")
+    more = _extra(held, disclosing(held, docs, text))
     rows = rows.select(id_col, "row", F.col("spans").alias("base"))
     return rows.join(more, "row", "left").select(id_col, "base", F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>"))).alias("spans"))
 
@@ -162,15 +154,29 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def replaced(text: Column, spans: Column) -> Column:
-    """The text with each span, or run of overlapping spans, replaced by its kind's name in brackets."""
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks in the place of each span."""
+    return replaced(text, spans, lambda s, at: F.repeat(F.lit(" "), s["end"] - F.greatest(at, s["start"])))
+
+
+def _named(s: Column, word: Column) -> Column:
+    return F.when(s["kind"] < 4, F.concat(F.lit("["), F.upper(F.get(F.array(*map(F.lit, KINDS)), s["kind"])), F.lit("]"))).when(word.rlike("[0-9]"), F.lit("[CODE]")).otherwise(F.lit("[TERM]"))
+
+
+def replaced(text: Column, spans: Column, blank=None) -> Column:
+    """The text with each span, or run of overlapping spans, replaced by its kind's name in brackets.
+
+    With ``blank``, by what that gives for a span and the end of those before; the rest of an overlapping span too.
+    """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def add(a: Column, s: Column) -> Column:
         word = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        tag = F.when(s["kind"] < 4, F.concat(F.lit("["), F.upper(F.get(F.array(*map(F.lit, KINDS)), s["kind"])), F.lit("]"))).when(word.rlike("[0-9]"), F.lit("[CODE]")).otherwise(F.lit("[TERM]"))
-        out = F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), tag)).otherwise(a["out"])
+        if blank is None:
+            out = F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), _named(s, word))).otherwise(a["out"])
+        else:
+            out = F.concat(a["out"], F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), blank(s, a["at"]))
         return F.struct(out.alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
 
     return F.aggregate(ordered, first, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
@@ -184,11 +190,11 @@ def sanitise(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars
     columns = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
     found = detect(docs, text)
     clean = found.where(F.size("spans") == 0).select(*columns)
-    held = stored(found.where(F.size("spans") > 0).select("doc", F.monotonically_increasing_id().alias("row"), "spans", "near"), "pii-held")
-    near = held.where(F.size("near") > 0).select("row", "near")
-    more = _extra(near, disclosing(near, docs, text))
+    held = stored(found.where(F.size("spans") > 0).select("doc", F.monotonically_increasing_id().alias("row"), "spans", "entities"), "pii-held")
+    found = held.select("row", "entities", blanked(F.col(f"doc.`{text}`"), F.col("spans")).alias("blank"))
+    more = _extra(found, disclosing(found, docs, text))
     body = F.col(f"doc.`{text}`")
-    done = held.drop("near").join(more, "row", "left").select("doc", replaced(body, F.concat("spans", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))).alias("__text"))
+    done = held.drop("entities").join(more, "row", "left").select("doc", replaced(body, F.concat("spans", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))).alias("__text"))
     new = {text: F.col("__text")}
     if n_chars in docs.columns:
         new[n_chars] = F.char_length("__text").cast(docs.schema[n_chars].dataType)

@@ -270,6 +270,19 @@ def test_op2_disclosing_terms(spark):
     assert done[3].text == fill[3]
 
 
+def test_op2_terms_anywhere_in_the_text(spark):
+    fill = [f"common words of many texts number{k} here with a and of other things that stand in between" for k in range(60)]
+    told = ["Quark said. Common words of many texts, here (Quark!) with other things that stand in between; mail zq@lab.example now", "zq@lab.example and many other things that stand in between the words of common texts: O'Quark, then 😀Quark"]
+    copies = ["just once uniqueword and common words of many texts with cc@lab.example here"] * 3
+    texts = fill + told + copies
+    df = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    want = {60 + k: {m.span() for m in re.finditer(r"(?<!')\bQuark", t)} for k, t in enumerate(told)}
+    found = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == 4} for r in pii.find(df).collect()}
+    assert found == {k: want.get(k, set()) for k in range(len(texts))}
+    done = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert done[60] == told[0].replace("Quark", "[TERM]").replace("zq@lab.example", "[EMAIL]") and done[3] == fill[3]
+
+
 # op8
 
 

@@ -8,7 +8,8 @@ its score the mean of them.
 Training takes a bounded sample (``TRAIN_ROWS`` labelled rows of least hash, ``TRAIN_CHARS`` characters from a hashed
 place of each), joined into sequences that switch between languages, and maximises the likelihood by Adagrad. Defined
 cases: a text that is null or has no letter is ``und`` with score 0; without labelled rows everything is ``und``;
-words are runs of letters, very long texts are labelled whole; an empty table gives an empty result.
+words are runs of letters, those of more than ``LONG`` are successive positions of ``LONG`` letters each, so that text
+without spaces is labelled letter for letter; very long texts are labelled whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,15 +28,28 @@ from .common import arrow, sole
 TRAIN_ROWS, TRAIN_CHARS, EPOCHS = 1500, 400, 25
 #: Word positions that one forward-backward pass holds, and remembered words in a worker.
 CELLS, MEMO = 400_000, 200_000
-_words = re.compile(r"[^\W\d_]+").findall
+#: Letters of one position, and words whose features are held at once.
+LONG, BLOCK = 40, 20_000
+_runs = re.compile(r"[^\W\d_]+").findall
+
+
+def _words(text: str) -> list[str]:
+    """The words of a text. A longer run than ``LONG`` is cut: a hyphen marks the cut ends, and a later piece repeats the two letters before it."""
+    runs = _runs(text)
+    if not runs or max(map(len, runs)) <= LONG:
+        return runs
+    return [p for r in runs for p in ([r] if len(r) <= LONG else [("-" if k else "") + r[max(0, k - 2) : k + LONG] + ("-" if k + LONG < len(r) else "") for k in range(0, len(r), LONG)])]
 
 
 def features(word: str) -> list[str]:
     """The features of a word between its boundary marks: its n-grams, affixes among them, and the word itself."""
-    s = f"^{word[:40].lower()}$"
+    body, later, cut = word.strip("-"), word[0] == "-", word[-1] == "-"
+    s = ("" if later else "^") + body.lower() + ("" if cut else "$")
     n = len(s)
-    grams = [s[k : k + 2] for k in range(n - 1)] + [s[k : k + 3] for k in range(n - 2)]
-    return [*grams, s[:4], s[-4:], s[-5:], s, "A" if word[0].isupper() else "a", "0" if word.isascii() else "1"]
+    grams = [s[k : k + 2] for k in range(later, n - 1)] + [s[k : k + 3] for k in range(n - 2)]
+    ends = ([] if later else [s[:4]]) + ([] if cut else [s[-4:], s[-5:]])
+    return [*grams, *ends, s, "A" if body[0].isupper() else "a", "0" if body.isascii() else "1"]
+
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False):
@@ -83,9 +97,13 @@ class Model:
     def emissions(self, words: list[str]) -> np.ndarray:
         """The summed weights of each word's features; features that training didn't see weigh nothing."""
         get, last = self.known.get, len(self.known)
-        found = [[get(f, last) for f in features(w)] for w in words]
-        firsts = np.cumsum([0, *map(len, found[:-1])])
-        return np.add.reduceat(self.weights[np.array([k for f in found for k in f], np.int64)], firsts)
+        out = []
+        for at in range(0, len(words), BLOCK):
+            found = [[get(f, last) for f in features(w)] for w in words[at : at + BLOCK]]
+            firsts = np.cumsum([0, *map(len, found[:-1])])
+            out.append(np.add.reduceat(self.weights[np.array([k for f in found for k in f], np.int64)], firsts))
+        return np.concatenate(out)
+
 
 
 def fit(samples: list[tuple[str, list[str]]], epochs: int = EPOCHS, seed: int = 7) -> Model:
@@ -165,7 +183,7 @@ class Labeller:
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(label, score) of each text."""
         cut = [_words(t) if t else [] for t in texts]
-        cut = [ws if ws and any(map(str.isalpha, ws)) else [] for ws in cut]
+        cut = [ws if ws and any(w.strip("-").isalpha() for w in ws) else [] for ws in cut]
         sums = self._run(cut, lambda g, n: g[:n].sum(0, dtype=np.float64) / n)
         return [("und", 0.0) if s is None else (self.model.labels[int(s.argmax())], float(min(1.0, max(0.0, s.max())))) for s in sums]
 

@@ -344,6 +344,19 @@ def test_op7(spark, odd, none):
     assert labels[:8] == ["en"] * 8 and labels[-8:] == ["de"] * 8
 
 
+def test_text_without_spaces_counts_whole():
+    model = langid.fit([("a", ["abab", "baab", "abba"] * 30), ("z", ["zyzy", "yzzy", "zyyz"] * 30)])
+    run = "".join(random.Random(3).choices(["ab", "ba"], k=20) + random.Random(4).choices(["zy", "yz"], k=400))
+    label, score = langid.Labeller(model).texts([run])[0]
+    assert label == "z" and score > 0.9
+    for text in (run, "Ab" * 20, "é" * 41, "ab" * 100 + " zy"):
+        grams = lambda s, n: [s[k : k + n] for k in range(len(s) - n + 1)]
+        want = [g for r in text.split() for n in (2, 3) for g in grams(f"^{r.lower()}$", n)]
+        got = [f for w in langid._words(text) for f in langid.features(w)]
+        assert all(got.count(g) >= want.count(g) for g in set(want))
+    assert langid.features("Abc") == ["^a", "ab", "bc", "c$", "^ab", "abc", "bc$", "^abc", "abc$", "^abc$", "^abc$", "A", "0"]
+
+
 # op9
 
 

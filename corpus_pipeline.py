@@ -14,14 +14,14 @@ from relspark.llm import jaccard, langid, packing, pii, quality
 from relspark.llm.common import stored
 from relspark.llm.queries import tokenizer
 
-#: A text whose best language has a smaller mean probability is rejected.
+#: A text whose words have a smaller mean probability, each of its own best language, is rejected.
 LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known with a score of ``LEAST_SCORE`` or more."""
+    """Documents whose words' languages are known with a confidence of ``LEAST_SCORE`` or more, in one language or several."""
     found = langid.identify(docs, langid.train(docs), keep=docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("confidence") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

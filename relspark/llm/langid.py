@@ -3,7 +3,7 @@
 Every word of a text gets a label. A word's emission is the sum of learned weights of its features (the word itself, as
 in a lexicon; prefixes and suffixes; character n-grams; capital and accent signs); learned transitions tie neighbouring labels. Forward-backward over the whole text gives each word's label probabilities, so
 code-switched texts are labelled word by word; a text's language is the label with the largest sum of probabilities,
-its score the mean of them.
+its score the mean of them, and its confidence the mean of each word's largest probability, whatever its label.
 
 Training takes a bounded sample (``TRAIN_ROWS`` labelled rows of least hash, ``TRAIN_CHARS`` characters from a hashed
 place of each), joined into sequences that switch between languages, and maximises the likelihood by Adagrad. Defined
@@ -180,12 +180,13 @@ class Labeller:
         """Label probabilities of each word, for each list of words."""
         return self._run(texts, lambda g, n: g[:n])
 
-    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(label, score) of each text."""
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(label, score, confidence) of each text."""
         cut = [_words(t) if t else [] for t in texts]
         cut = [ws if ws and any(w.strip("-").isalpha() for w in ws) else [] for ws in cut]
-        sums = self._run(cut, lambda g, n: g[:n].sum(0, dtype=np.float64) / n)
-        return [("und", 0.0) if s is None else (self.model.labels[int(s.argmax())], float(min(1.0, max(0.0, s.max())))) for s in sums]
+        sums = self._run(cut, lambda g, n: (g[:n].sum(0, dtype=np.float64) / n, g[:n].max(1).mean(dtype=np.float64)))
+        unit = lambda x: float(min(1.0, max(0.0, x)))
+        return [("und", 0.0, 0.0) if s is None else (self.model.labels[int(s[0].argmax())], unit(s[0].max()), unit(s[1])) for s in sums]
 
     def _run(self, cut: list[list[str]], take) -> list:
         out: list = [None] * len(cut)
@@ -225,13 +226,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (the id alone if None) with lang_pred and score of every row."""
+    """``keep`` columns (the id alone if None) with lang_pred, score and confidence of every row."""
     spark = docs.sparkSession
     shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     keep = [id_col] if keep is None else keep
     names = [f"__k{k}" for k in range(len(keep))]
     source = docs.select(F.col(text).alias("__text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)])
-    out = source.drop("__text").withColumns({"__lang": F.lit("").cast("string"), "__score": F.lit(0.0)}).schema
+    out = source.drop("__text").withColumns({"__lang": F.lit("").cast("string"), "__score": F.lit(0.0), "__confidence": F.lit(0.0)}).schema
 
     def run(batches):
         import pyarrow as pa
@@ -241,10 +242,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str =
         schema = to_arrow_schema(out)
         for b in batches:
             found = [x for k in range(0, b.num_rows, 500) for x in labeller.texts(b.column(0).slice(k, 500).to_pylist())]
-            extra = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            extra = [pa.array([x[0] for x in found], pa.string()), *[pa.array([x[k] for x in found], pa.float64()) for k in (1, 2)]]
             yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(b.columns[1:], schema, strict=False)], *extra], schema=schema)
 
     done = source.transform(arrow, run, out)
-    return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__confidence").alias("confidence"))
 
 

@@ -347,7 +347,7 @@ def test_op7(spark, odd, none):
 def test_text_without_spaces_counts_whole():
     model = langid.fit([("a", ["abab", "baab", "abba"] * 30), ("z", ["zyzy", "yzzy", "zyyz"] * 30)])
     run = "".join(random.Random(3).choices(["ab", "ba"], k=20) + random.Random(4).choices(["zy", "yz"], k=400))
-    label, score = langid.Labeller(model).texts([run])[0]
+    label, score, _ = langid.Labeller(model).texts([run])[0]
     assert label == "z" and score > 0.9
     for text in (run, "Ab" * 20, "é" * 41, "ab" * 100 + " zy"):
         grams = lambda s, n: [s[k : k + n] for k in range(len(s) - n + 1)]
@@ -439,6 +439,19 @@ def test_pipeline(spark):
     assert {p.doc_id for p in pieces} == set(ids)
 
 
+def test_code_switched_documents_stay(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by_lang = {r.lang: r.text.split()[:60] for r in docs.where("lang IS NOT NULL AND n_chars > 2000").dropDuplicates(["lang"]).collect()}
+    assert len(by_lang) >= 3
+    mixed = spark.createDataFrame([(-1, " ".join(w for ws in by_lang.values() for w in ws), None, "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = langid.identify(mixed, langid.train(docs)).first()
+    assert found.score < cp.LEAST_SCORE < 0.9 < found.confidence
+    both = docs.select(*mixed.columns).unionByName(mixed)
+    assert cp.language(spark, both, "").where("doc_id = -1").count() == 1
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd, none):
     import corpus_pipeline as cp
 

@@ -34,6 +34,10 @@ POLICIES: dict[str, list[str]] = {
     "v2": [name for name, _ in RULES],
 }
 CURRENT = "v2"
+#: few_distinct_words compares a text's vocabulary, which grows slower than the text, so it fails long clean texts by length
+#: alone. Where documents are kept or rejected, its place is taken by the same share over windows of so many words.
+SCALE = 1000
+FEW_IN_WINDOWS = "5 * n_window_words < n_words"
 
 
 def let(value: Column, body) -> Column:
@@ -73,6 +77,7 @@ def measured(text: Column) -> Column:
             long(F.size(words)).alias("n_words"),
             long(repeated_words(F.transform(words, lambda w: F.xxhash64(w)))).alias("n_repeat_words"),
             long(F.size(F.array_distinct(words))).alias("n_distinct_words"),
+            F.when(F.size(words) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(SCALE)), F.lit(0).cast("long"), lambda n, k: n + F.size(F.array_distinct(F.slice(words, k, F.lit(SCALE)))))).otherwise(F.lit(0).cast("long")).alias("n_window_words"),
         ]
 
     words = F.filter(F.split(body, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
@@ -87,7 +92,7 @@ def measured(text: Column) -> Column:
     return F.struct(let(words, lambda w: F.struct(*of_words(w))).alias("w"), let(lines, of_lines).alias("l"), *plain)
 
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_letters"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_window_words", "n_letters"]
 
 
 def mask(rules: list[str]) -> int:
@@ -99,7 +104,7 @@ def mask(rules: list[str]) -> int:
 def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all if None) as ``doc``, the measurements, and ``failed``: bit k is set where rule k fails."""
     keep = docs.columns if keep is None else keep
-    at = {"n_words": "w", "n_repeat_words": "w", "n_distinct_words": "w", "n_dup_lines": "l", "n_lines": "l"}
+    at = {"n_words": "w", "n_repeat_words": "w", "n_distinct_words": "w", "n_window_words": "w", "n_dup_lines": "l", "n_lines": "l"}
     doc = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc")
     rows = docs.select(doc, measured(F.col(f"`{text}`")).alias("m")).select("doc", *[(F.col(f"m.{at[c]}.{c}") if c in at else F.col(f"m.{c}")).alias(c) for c in MEASURES])
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, rule) in enumerate(RULES)]
@@ -114,6 +119,13 @@ def passes(policy: str = CURRENT) -> Column:
     return F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy])).cast("long")) == 0
 
 
+def accepted(policy: str = CURRENT) -> Column:
+    """Whether a ledger row passes the policy with few_distinct_words, if it is a rule of it, judged by windows of ``SCALE`` words."""
+    rules = POLICIES[policy]
+    rest = F.col("failed").bitwiseAND(F.lit(mask([r for r in rules if r != "few_distinct_words"])).cast("long")) == 0
+    return rest & ~F.expr(FEW_IN_WINDOWS) if "few_distinct_words" in rules else rest
+
+
 def ablation(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     """For each rule of a policy: documents it rejects, and those that no other of its rules rejects.
 

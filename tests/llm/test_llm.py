@@ -439,6 +439,21 @@ def test_pipeline(spark):
     assert {p.doc_id for p in pieces} == set(ids)
 
 
+def test_long_clean_documents_stay(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    clean, junk = " ".join(rng.choices(vocabulary, k=20_000)), " ".join(rng.choices(vocabulary[:100], k=20_000))
+    docs = spark.createDataFrame([(1, clean), (2, junk), (3, " ".join(vocabulary[:30])), (4, " ".join(rng.choices(vocabulary[:4], k=60)))], "doc_id long, text string")
+    led = {r.doc.doc_id: r for r in quality.ledger(docs).collect()}
+    for k, t in ((1, clean), (2, junk)):
+        ws = t.split()
+        assert led[k].n_window_words == sum(len(set(ws[i : i + quality.SCALE])) for i in range(0, len(ws), quality.SCALE))
+    assert 5 * led[1].n_distinct_words < led[1].n_words
+    assert {r.doc_id for r in cp.rules(spark, docs, "").collect()} == {1, 3}
+
+
 def test_code_switched_documents_stay(spark):
     import corpus_pipeline as cp
 

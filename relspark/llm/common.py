@@ -47,10 +47,13 @@ def arrow(df: DataFrame, function, schema) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (local mode, tests) is a temporary folder made and set for this session.
+    Only where that setting is unset in local mode (tests) is a temporary folder made and set for this session; on a
+    cluster it must be set, as executors don't see the driver's own folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="relspark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -75,9 +78,13 @@ def drop_path(spark: SparkSession, df: DataFrame) -> None:
     for f in df.inputFiles()[:1]:
         folder = posixpath.dirname(f)
         if folder.startswith(("file:", "hdfs:", "s3", "gs:", "abfs")) or folder.startswith("/"):
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder below the shared one that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def file_system(uri: str):

@@ -1,24 +1,31 @@
 """Operator 9: n-gram Jaccard join by rare-first prefix filtering, and the components of its links.
 
-A document's set holds the hashes of its distinct shingles of five words. Documents with equal sets are one node. Over
-all texts, a count-min table of fixed size gives each shingle's frequency; in each set the shingles are ordered by it,
-the rarest first, ties by hash. Two sets of Jaccard similarity t or more share a shingle in the first n - ceil(t n) + 1
-of each, so only these prefixes are dealt out by shingle. Pairs pass the length filter and the positional filter, and are
-verified once by their whole texts, the suffix filter first.
+A document's set holds the hashes of its distinct shingles of five words. Documents with equal sets are one node. In each
+set the shingles are ordered by how many sets hold them, the rarest first, ties by hash. Two sets of Jaccard similarity t
+or more share a shingle in the first n - ceil(t n) + 1 of each, so only these prefixes are dealt out by shingle; a shingle
+that no other set holds leads nowhere and isn't dealt out at all. Pairs pass the length filter and the positional filter,
+and are verified once by their whole texts, the suffix filter first.
+
+How many sets hold a shingle is counted without sending sets about. Texts are read once: their sets are written to the
+shared folder in chunks of some ``CHUNK`` shingles. Each chunk sends its distinct shingles, sorted, as 32-bit remainders
+to one of as many buckets as keep some ``BUCKET`` shingles each, whatever the size of the corpus, and a bucket answers
+with one byte a shingle in the same order. Two shingles of a bucket with the same remainder (about one in a thousand
+shingles meets one) count as one shingle that is more frequent, which costs time and never a link. Copies count once in a chunk.
 
 Only components are asked for, so no group is expanded into all pairs:
-1. Each run of nodes that share a prefix shingle, in order of length, is streamed: a node is paired with the run's first
-   node and with the one before it. Pairs are verified; components of their links follow. A large group of near copies
-   mostly is one component then.
-2. What is left are pairs of nodes in one run of four or more but in different components. Every node is put into its
-   ``GROUPS`` largest runs that hold several components. A group's texts are brought together once, in blocks of
-   ``MEMBERS`` and pairs of blocks where it is larger, and all its sets are intersected by an inverted index; of its
-   links, a forest is returned.
-3. The remaining pairs, of nodes with no group in common, are joined by prefix shingle, filtered, and verified singly.
-
-Texts move twice: once dealt by id, once for each pair to the pair's first node (dealt by node and salted, so that a
-node with many pairs is spread). Sets are recomputed from texts, which are smaller. Hashes have 64 bits: two different
-shingles, or sets, are taken for the same with a chance of about 2^-64 for each pair compared.
+1. Prefix rows are dealt by ranges of (shingle, length, node), so that a hot shingle spreads over tasks. Each run of nodes
+   that share a shingle is streamed: a node is paired with the run's first node and with the one before it. Pairs are
+   verified; components of their links follow. A large group of near copies mostly is one component then.
+2. What is left are pairs of nodes in one run (of four or more, or cut by a range's end) but in different components.
+   Every node is put into its ``GROUPS`` largest runs that hold several components. A group's texts are brought together
+   once, in blocks of some ``MEMBERS`` shingles and pairs of blocks where it is larger, and all its sets are intersected
+   by an inverted index; of its links, a forest is returned.
+3. The remaining pairs, of nodes with no group in common, are joined by shingle and class of length (only neighbouring
+   classes can link), filtered, and verified singly.
+
+Candidates name nodes by 64 bits, sets are equal if 128 bits are: two nodes of one name cost a verification and are never
+merged. Texts move once for each pair to the pair's first node (dealt by document and salted, so that one with many
+pairs is spread). Two different shingles are taken for the same with a chance of about 2^-64 for each pair compared.
 
 Defined cases: null and empty texts have no shingles and no links; with one to four words, the whole sequence is the
 only shingle; a row with a null id has a null component; rows that share an id are one vertex; an empty table gives an
@@ -28,22 +35,26 @@ empty result.
 from __future__ import annotations
 
 import contextlib
+import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, drop_path, rows_of, small_batches, sole, stored
+from .common import arrow, delete, drop_path, file_system, rows_of, scratch, small_batches, sole, stored
 
 WORDS, SHARE = 5, 75
-#: The count-min table: rows and slots (4 bytes each), in blocks.
-DEPTH, SLOTS, BLOCK = 2, 1 << 20, 1 << 16
+#: Shingles of a chunk and of a bucket, more or less. On executors of 3 GB these serve some TB; rows between them number
+#: chunks times buckets, so a larger corpus wants both larger, in proportion to the executors' memory.
+CHUNK, BUCKET = 1 << 21, 1 << 22
 #: Pairs of one node that a task verifies at most.
 SPREAD = 500
-#: Groups of a node, least rows of a run that makes a group, and nodes of a block.
-GROUPS, LEAST_RUN, MEMBERS = 6, 8, 2000
+#: Groups of a node, least rows of a run that makes a group, and shingles of a block.
+GROUPS, LEAST_RUN, MEMBERS = 6, 8, 1 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "<u8")
 _hash = xxhash.xxh3_64_intdigest
 
@@ -76,14 +87,9 @@ def shingles(text: str | None) -> np.ndarray:
     return x if first.all() else x[first]
 
 
-def _node(s: np.ndarray) -> int:
-    """The signed 64-bit name of a set."""
-    v = xxhash.xxh3_64_intdigest(s.tobytes(), 1)
-    return v - (1 << 64) if v >> 63 else v
-
-
-def _slots(s: np.ndarray) -> list[np.ndarray]:
-    return [(s >> np.uint64(20 * k)) & np.uint64(SLOTS - 1) for k in range(DEPTH)]
+def _name(s: np.ndarray) -> tuple[int, int]:
+    """The 128-bit name of a set, as two signed numbers: the node, and what tells nodes of one number apart."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(s.tobytes(), 1))
 
 
 def least_overlap(a: int, b: int) -> int:
@@ -112,91 +118,157 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return int((b[at] == a).sum()) >= need
 
 
-def sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Rows (id, n_shingles, node), node being null for empty sets, and each task's part of the count-min table as
-    (block, counts) for the texts that have an id; the columns of the other kind of row are null."""
+def write_sets(docs: DataFrame, id_col: str, text: str, folder: str) -> DataFrame:
+    """Rows (id, n_shingles, node, more), node being null for empty sets, and a row (chunk, size) for each chunk of sets
+    written to ``folder``, size being its distinct shingles; the columns of the other kind of row are null.
+
+    A chunk file holds the number of its sets and of their shingles, the sets' nodes and sizes, and their shingles."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "n_shingles", "node", "block", "counts"]
+    names = ["id", "n_shingles", "node", "more", "chunk", "size"]
 
     def run(batches):
         sole("jaccard", dict)  # what other operators remembered goes
-        table, held, size = np.zeros((DEPTH, SLOTS), np.int64), [], 0
-
-        def put():
-            for k, x in enumerate(_slots(np.concatenate(held))):
-                table[k] += np.bincount(x.astype(np.int64), minlength=SLOTS)
+        fs, base = file_system(folder)
+        seen, held, size = set(), [], 0
+
+        def put(ids_type):
+            nonlocal size
+            name = uuid.uuid4().hex
+            tokens = np.concatenate([s for _, s in held])
+            fs.create_dir(base, recursive=True)
+            with fs.open_output_stream(f"{base}/{name}") as f:
+                f.write(struct.pack("<QQ", len(held), len(tokens)))
+                f.write(np.array([v for v, _ in held], "<i8").tobytes())
+                f.write(np.array([len(s) for _, s in held], "<i8").tobytes())
+                f.write(tokens.tobytes())
+            tokens.sort()
+            distinct = 1 + int((tokens[1:] != tokens[:-1]).sum())
+            seen.clear()
             held.clear()
+            size = 0
+            empty = [pa.nulls(1, t) for t in (ids_type, pa.int64(), pa.int64(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*empty, pa.array([name]), pa.array([distinct], pa.int64())], names)
 
         ids = None
         for b in batches:
-            ids, sizes, nodes = b.column(0), [], []
-            for i, t in zip(ids.to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, sizes, first, second = b.column(0), [], [], []
+            for known, t in zip(ids.is_valid().to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(t)
+                name = _name(s) if len(s) else (None, None)
                 sizes.append(len(s))
-                nodes.append(_node(s) if len(s) else None)
-                if i is not None and len(s):
-                    held.append(s)
+                first.append(name[0])
+                second.append(name[1])
+                if known and len(s) and name not in seen:
+                    seen.add(name)
+                    held.append((name[0], s))
                     size += len(s)
-                    if size > 4 * SLOTS:
-                        put()
-                        size = 0
+                    if size >= CHUNK:
+                        yield put(ids.type)
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (sizes, first, second)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names)
         if held:
-            put()
-        blocks = np.minimum(table, 2**32 - 1).astype(np.uint32).reshape(-1, BLOCK)
-        for k in np.flatnonzero(blocks.any(1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([blocks[k].tobytes()], pa.binary())], names)
-
-    return docs.select(id_col, text).transform(arrow, run, f"id {kind}, n_shingles long, node long, block int, counts binary")
-
-
-def frequencies(parts: DataFrame) -> np.ndarray:
-    """The count-min table over all texts, from the (block, counts) that tasks made: DEPTH x SLOTS counts return."""
+            yield put(ids.type)
+
+    return docs.select(id_col, text).transform(arrow, run, f"id {kind}, n_shingles long, node long, more long, chunk string, size long")
+
+
+def _read_sets(fs, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes, sizes and shingles of a chunk."""
+    with fs.open_input_file(path) as f:
+        data = f.read()
+    k, n = struct.unpack_from("<QQ", data)
+    return np.frombuffer(data, "<i8", k, 16), np.frombuffer(data, "<i8", k, 16 + 8 * k), np.frombuffer(data, "<u8", n, 16 + 16 * k)
+
+
+def _class(counts: np.ndarray) -> np.ndarray:
+    """A byte for each count, growing with it; 0 for 1."""
+    return np.minimum(8 * np.log2(counts), 255).astype(np.uint8)
+
+
+def frequencies(chunks: DataFrame, folder: str, bits: int, tasks: int) -> DataFrame:
+    """(chunk, bucket, classes): for each chunk's distinct shingles, in order, the class of the number of sets that hold them."""
+
+    def ask(batches):
+        fs, base = file_system(folder)
+        for (names,) in rows_of(batches):
+            for name in names:
+                tokens, counts = np.unique(_read_sets(fs, f"{base}/{name}")[2], return_counts=True)
+                rest = ((tokens >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+                counts = np.minimum(counts, 255).astype(np.uint8)
+                bucket = (tokens >> np.uint64(32) >> np.uint64(32 - bits)).astype(np.int64)
+                starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                ends = np.append(starts[1:], len(tokens))
+                for k in range(0, len(starts), 1000):
+                    part = list(zip(starts[k : k + 1000].tolist(), ends[k : k + 1000].tolist(), strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(part)), pa.array(bucket[starts[k : k + 1000]], pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in part], pa.binary()) for x in (rest, counts))],
+                        ["chunk", "bucket", "rest", "counts"],
+                    )
+
+    def answer(batches):
+        key, held = None, []
+
+        def solve():
+            rest = np.concatenate([np.frombuffer(r, "<u4") for _, r, _ in held])
+            _, at = np.unique(rest, return_inverse=True)
+            total = np.bincount(at, np.frombuffer(b"".join(c for *_, c in held), np.uint8))
+            found, k = _class(total)[at], 0
+            for chunk, r, _ in held:
+                n = len(r) // 4
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([key], pa.int32()), pa.array([found[k : k + n].tobytes()], pa.binary())], ["chunk", "bucket", "classes"])
+                k += n
+            held.clear()
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for blocks, counts in rows_of(batches):
-            for k, c in zip(blocks, counts, strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(c, np.uint32).astype(np.uint64)
-        for k, t in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(t, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["block", "counts"])
+        for rows in rows_of(batches):
+            for chunk, bucket, rest, counts in zip(*rows, strict=True):
+                if bucket != key:
+                    if held:
+                        yield from solve()
+                    key = bucket
+                held.append((chunk, rest, counts))
+        if held:
+            yield from solve()
 
-    whole = parts.repartition("block").transform(arrow, add, "block int, counts binary")
-    out = np.zeros((DEPTH * SLOTS // BLOCK, BLOCK), np.uint32)
-    for r in whole.collect():
-        out[r.block] = np.frombuffer(r.counts, np.uint32)
-    return out.reshape(DEPTH, SLOTS)
+    asked = chunks.select("chunk").repartition(tasks).transform(arrow, ask, "chunk string, bucket int, rest binary, counts binary")
+    return asked.repartition(2 << bits, "bucket").sortWithinPartitions("bucket").transform(arrow, answer, "chunk string, bucket int, classes binary")
 
 
-def prefixes(docs: DataFrame, text: str, table) -> DataFrame:
-    """(token, node, n, pos) for each prefix shingle of each set."""
+def prefixes(answers: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """(token, node, n, pos) for each prefix shingle of each set that other sets hold, too."""
     names = ["token", "node", "n", "pos"]
 
+    def rows(name, held, fs, base):
+        nodes, sizes, tokens = _read_sets(fs, f"{base}/{name}")
+        _, at = np.unique(tokens, return_inverse=True)
+        often = np.frombuffer(b"".join(held), np.uint8)[at]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        # shingles are sorted within a set, and the sort is stable: ties are by hash
+        order = np.argsort(owner << 8 | often, kind="stable")
+        pos = np.arange(len(tokens)) - starts[owner]
+        need = sizes - -(-SHARE * sizes // 100) + 1
+        fit = (pos < need[owner]) & (often[order] > 0)
+        owner = owner[fit]
+        cols = [tokens[order[fit]].view(np.int64), nodes[owner], sizes[owner].astype(np.int32), pos[fit].astype(np.int32)]
+        for k in range(0, len(owner), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in cols], names)
+
     def run(batches):
-        counts = table.value
-        for (texts,) in rows_of(batches):
-            seen, tokens, nodes, ns, poss = set(), [], [], [], []
-            for t in texts:
-                s = shingles(t)
-                n = len(s)
-                if not n or (node := _node(s)) in seen:
-                    continue
-                seen.add(node)
-                often = np.minimum.reduce([counts[k][x.astype(np.int64)] for k, x in enumerate(_slots(s))])
-                m = n - (-(-SHARE * n // 100)) + 1
-                order = np.lexsort((s, often))[:m]
-                pos = np.flatnonzero(often[order] > 1)
-                tokens.append(s[order[pos]])
-                nodes.append(np.full(len(pos), node, np.int64))
-                ns.append(np.full(len(pos), n, np.int32))
-                poss.append(pos.astype(np.int32))
-            if tokens:
-                cols = [np.concatenate(tokens).view(np.int64), *map(np.concatenate, (nodes, ns, poss))]
-                for k in range(0, len(cols[0]), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in cols], names)
-
-    return docs.select(text).transform(arrow, run, "token long, node long, n int, pos int")
+        fs, base = file_system(folder)
+        key, held = None, []
+        for cols in rows_of(batches):
+            for chunk, classes in zip(*cols, strict=True):
+                if chunk != key:
+                    if held:
+                        yield from rows(key, held, fs, base)
+                    key, held = chunk, []
+                held.append(classes)
+        if held:
+            yield from rows(key, held, fs, base)
+
+    dealt = answers.repartition(tasks, "chunk").sortWithinPartitions("chunk", "bucket").select("chunk", "classes")
+    return dealt.transform(arrow, run, "token long, node long, n int, pos int")
 
 
 def possible(n1, p1, n2, p2):
@@ -211,14 +283,16 @@ def possible(n1, p1, n2, p2):
 def first_pairs(entries: DataFrame) -> DataFrame:
     """Stream the runs of equal tokens: pairs with the run's first and previous node, and the rows of runs of four or more.
 
-    Rows of the result: (token, a, b, n, pos); pairs have a null token, rows of runs a null b.
+    Tasks hold ranges of (token, n, node); the rows of a task's first and last run, which other tasks may share, are given
+    too. Rows of the result: (token, seg, a, b, n, pos); pairs have a null token, rows of runs a null b, and seg is the task.
     """
-    schema = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    schema = pa.schema([("token", pa.int64()), ("seg", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches):
         # carried from batch to batch: the rows of the last run while it has three or fewer, else its first and last row
         pairs, empty = set(), tuple(np.empty(0, np.int64) for _ in range(4))
-        held, going = empty, None
+        held, going, opening = empty, None, True
+        seg = TaskContext.get().partitionId()
 
         def fresh(rows):
             """Without rows that repeat the node before them in a run."""
@@ -235,31 +309,37 @@ def first_pairs(entries: DataFrame) -> DataFrame:
         def hot(rows):
             t, v, n, p = rows
             if len(t):
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(v), pa.nulls(len(t), pa.int64()), pa.array(n.astype(np.int32)), pa.array(p.astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), seg, np.int32)), pa.array(v), pa.nulls(len(t), pa.int64()), pa.array(n.astype(np.int32)), pa.array(p.astype(np.int32))], schema=schema)
 
         def runs(rows, last):
             """Pairs and rows of whole runs; the last run may go on unless ``last``."""
-            nonlocal held, going
+            nonlocal held, going, opening
             rows = fresh(rows)
             t = rows[0]
             if not len(t):
                 return
             starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
             sizes = np.diff(np.append(starts, len(t)))
+            given = sizes > 3
+            given[0] |= opening
+            given[-1] |= last
             if not last:
                 if sizes[-1] > 3:
                     going = tuple(x[[starts[-1], len(t) - 1]] for x in rows)
                 else:
                     held, rows = tuple(x[starts[-1] :] for x in rows), tuple(x[: starts[-1]] for x in rows)
-                    starts, sizes = starts[:-1], sizes[:-1]
+                    starts, sizes, given = starts[:-1], sizes[:-1], given[:-1]
+            if not len(starts):
+                return
+            opening = False
             head = np.repeat(starts, sizes)
             i = np.arange(len(head))
             pair(rows, i[i > head] - 1, i[i > head])
             pair(rows, head[i > head + 1], i[i > head + 1])
-            yield from hot(tuple(x[np.repeat(sizes > 3, sizes)] for x in rows))
+            yield from hot(tuple(x[np.repeat(given, sizes)] for x in rows))
 
         def spill():
-            yield from small_batches(schema, [(None, *x, None, None) for x in pairs], 20_000)
+            yield from small_batches(schema, [(None, None, *x, None, None) for x in pairs], 20_000)
             pairs.clear()
 
         for b in batches:
@@ -284,38 +364,54 @@ def first_pairs(entries: DataFrame) -> DataFrame:
         yield from runs(held, True)
         yield from spill()
 
-    return entries.repartition("token").sortWithinPartitions("token", "n", "node").transform(arrow, run, "token long, a long, b long, n int, pos int")
+    order = ["token", "n", "node"]
+    return entries.repartitionByRange(*order).sortWithinPartitions(*order).transform(arrow, run, "token long, seg int, a long, b long, n int, pos int")
 
 
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """The links (a, b) among pairs of nodes, verified by whole texts; reps: (node, rep), rep being a document's id."""
-    load = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("load")).select("a", F.ceil(F.col("load") / SPREAD).cast("int").alias("salts"))
-    right = pairs.join(load, "a").select(F.col("b").alias("node"), F.col("a").alias("to"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
-    left = load.select(F.col("a").alias("node"), F.col("a").alias("to"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    need = left.unionByName(right).join(reps, "node")
+    """The links (u, v) of documents among pairs (a, b) of nodes, verified by whole texts; reps: (node, more, rep), rep being a document's id."""
+    kind = reps.schema["rep"].dataType.simpleString()
+    load = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("load")).select(F.col("a").alias("node"), F.ceil(F.col("load") / SPREAD).cast("int").alias("salts"))
+    load = load.join(reps, "node").select("node", "more", F.col("rep").alias("to"), "salts")
+    dealt = pairs.join(load.select(F.col("node").alias("a"), "to", "salts"), "a").select(F.col("b").alias("node"), "to", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
+    right = dealt.join(reps, "node").select("to", "salt", "role", "node", "more", "rep")
+    left = load.select("to", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "node", "more", F.col("to").alias("rep"))
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text"))
-    sent = need.join(texts, "rep").select("to", "salt", "role", "node", "text")
+    sent = left.unionByName(right).join(texts, "rep")
 
     def run(batches):
-        key, base = None, None
-        for to, salt, role, node, text in rows_of(batches):
+        key, base = None, {}
+        for to, salt, role, node, more, rep, text in rows_of(batches):
             found = []
             for k in range(len(to)):
                 if (to[k], salt[k]) != key:
-                    key, base = (to[k], salt[k]), None
-                if role[k] == 0 and base is not None:
+                    key, base = (to[k], salt[k]), {}
+                name = (node[k], more[k])
+                if role[k] == 0 and name in base:
                     continue
                 s = shingles(text[k])
-                if _node(s) != node[k]:  # another row with the same id
+                if not len(s) or _name(s) != name:  # another row with the same id
                     continue
                 if role[k] == 0:
-                    base = s
-                elif base is not None and linked(base, s):
-                    found.append((to[k], node[k]))
+                    base[name] = s
+                elif any(linked(x, s) for x in base.values()):
+                    found.append((to[k], rep[k]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+                yield batch_of(found, id_type)
+
+    id_type = _arrow_type(reps, "rep")
+    sent = sent.select("to", "salt", "role", "node", "more", "rep", "text")
+    return sent.repartition("to", "salt").sortWithinPartitions("to", "salt", "role").transform(arrow, run, f"u {kind}, v {kind}").distinct()
+
+
+def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
 
-    return sent.repartition("to", "salt").sortWithinPartitions("to", "salt", "role").transform(arrow, run, "a long, b long").distinct()
+
+def batch_of(links: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], kind) for i in (0, 1)], ["u", "v"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -356,50 +452,66 @@ def _swept(spark: SparkSession):
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
+    folder, passing = scratch(spark, "chunks"), []
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        passing.append(stored(df, name))
+        return passing[-1]
+
     with _swept(spark):
-        made = stored(sets(docs, id_col, text), "sets")
-        rows = made.where("block IS NULL").select("id", "n_shingles", "node")
+        made = stored(write_sets(docs, id_col, text, folder), "sets")
+        rows = made.where("chunk IS NULL").select("id", "n_shingles", "node", "more")
         known = docs.where(F.col(id_col).isNotNull())
-        reps = stored(rows.where("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep")), "reps")
-        table = spark.sparkContext.broadcast(frequencies(made.where("block IS NOT NULL").select("block", "counts")))
-        found = stored(first_pairs(prefixes(known, text, table)), "pairs")
-        first = stored(found.where("token IS NULL").select("a", "b").distinct(), "tried")
-        links = stored(verify(first, reps, known, id_col, text), "links")
-        runs = found.where("token IS NOT NULL").select("token", F.col("a").alias("node"), "n", "pos")
-        links = _rest(runs, first, links, reps, known, id_col, text)
-        named = links.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("u")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
-        shared = rows.where("node IS NOT NULL AND id IS NOT NULL").join(reps, "node").where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-        roots = components(named.unionByName(shared))
-    # a vertex is an id: rows of equal sets are joined by their first id, rows that share an id are one vertex
-    return rows.join(roots.select(F.col("v").alias("id"), "root"), "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
-
-
-def verify_groups(members: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Links (a, b) that join components within groups. members: (token, size, node, part, groups), groups sorted."""
-    blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
+        vertices = rows.where("node IS NOT NULL AND id IS NOT NULL")
+        reps = stored(vertices.groupBy("node", "more").agg(F.min("id").alias("rep")), "reps")
+        chunks = made.where("chunk IS NOT NULL").select("chunk", "size")
+        n, total = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        bits, tasks = max(0, (total // BUCKET).bit_length()), max(1, min(n, 16 * spark.sparkContext.defaultParallelism))
+        entries = held(prefixes(frequencies(chunks, folder, bits, tasks), folder, 3 * tasks), "prefixes")
+        delete(spark, folder)
+        found = held(first_pairs(entries), "pairs")
+        first = held(found.where("token IS NULL").select("a", "b").distinct(), "tried")
+        links = held(verify(first, reps, known, id_col, text), "links")
+        runs = found.where("token IS NOT NULL").select("token", "seg", F.col("a").alias("node"), "n", "pos")
+        links = _rest(runs, first, links, reps, known, id_col, text, held)
+        # an id that several sets have ties them together
+        torn = vertices.groupBy("id").agg(F.min(F.struct("node", "more")).alias("low"), F.max(F.struct("node", "more")).alias("high")).where("low != high").select("id")
+        ties = vertices.join(torn, "id").join(reps, ["node", "more"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
+        roots = components(links.unionByName(ties))
+        for df in passing:
+            drop_path(spark, df)
+    named = reps.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("node", "more", F.coalesce("root", "rep").alias("root"))
+    by_id = vertices.join(named, ["node", "more"]).groupBy("id").agg(F.min("root").alias("root"))
+    return rows.join(by_id, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
+
+
+def verify_groups(members: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Links (u, v) that join components within groups. members: (token, weight, node, more, rep, part, groups), groups sorted."""
+    kind, id_type = members.schema["rep"].dataType.simpleString(), _arrow_type(members, "rep")
+    blocks = F.ceil(F.col("weight") / MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = members.select("token", "node", "part", "groups", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    sent = spread.join(reps, "node").join(docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text")), "rep")
-    sent = sent.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "part", "groups", "text")
+    spread = members.select("token", "node", "more", "rep", "part", "groups", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    sent = spread.join(docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text")), "rep")
+    sent = sent.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "more", "rep", "part", "groups", "text")
 
     def solve(key, rows):
-        known: dict[int, tuple] = {}
-        for own, node, part, groups, t in rows:
-            if node not in known and _node(s := shingles(t)) == node:
-                known[node] = (own, part, groups, s)
+        known: dict[tuple, tuple] = {}
+        for own, node, more, rep, part, groups, t in rows:
+            if (node, more) not in known and len(s := shingles(t)) and _name(s) == (node, more):
+                known[node, more] = (own, part, groups, s, rep)
         nodes = list(known)
         n, sizes = len(nodes), np.array([len(known[v][3]) for v in nodes])
         if n < 2:
             return
-        owns, parts = (np.array([known[v][k] for v in nodes]) for k in (0, 1))
+        owns, number = np.array([known[v][0] for v in nodes]), {}
+        parts = np.array([number.setdefault(known[v][1], len(number)) for v in nodes])
         _, inverse = np.unique(np.concatenate([known[v][3] for v in nodes]), return_inverse=True)
         holder = np.repeat(np.arange(n), sizes)
         order = np.argsort(inverse, kind="stable")
         posting, at = holder[order], np.concatenate([[0], np.cumsum(np.bincount(inverse))])
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        values, counts = np.unique(parts, return_counts=True)
-        most = values[counts.argmax()]
-        root = {p: p for p in values.tolist()}
+        most = np.bincount(parts).argmax()
+        root = list(range(len(number)))
 
         def top(p):
             while root[p] != p:
@@ -418,47 +530,46 @@ def verify_groups(members: DataFrame, reps: DataFrame, docs: DataFrame, id_col:
                 a, b = top(int(parts[i])), top(int(parts[j]))
                 if a != b:
                     root[a] = b
-                    yield tuple(sorted((nodes[i], nodes[j])))
+                    yield known[nodes[i]][4], known[nodes[j]][4]
 
     def run(batches):
-        schema, key, held = pa.schema([("a", pa.int64()), ("b", pa.int64())]), None, []
+        key, held = None, []
+        for token, low, high, *rest in rows_of(batches):
+            for k, row in zip(zip(token, low, high, strict=True), zip(*rest, strict=True), strict=True):
+                if k != key:
+                    if links := list(solve(key, held)):
+                        yield batch_of(links, id_type)
+                    key, held = k, []
+                held.append(row)
+        if links := list(solve(key, held)):
+            yield batch_of(links, id_type)
 
-        def links():
-            nonlocal key, held
-            for token, low, high, *rest in rows_of(batches):
-                for k, row in zip(zip(token, low, high, strict=True), zip(*rest, strict=True), strict=True):
-                    if k != key:
-                        yield from solve(key, held)
-                        key, held = k, []
-                    held.append(row)
-            yield from solve(key, held)
+    return sent.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").transform(arrow, run, f"u {kind}, v {kind}").distinct()
 
-        yield from small_batches(schema, links())
 
-    return sent.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").transform(arrow, run, "a long, b long").distinct()
-
-
-def _rest(runs: DataFrame, tried: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def _rest(runs: DataFrame, tried: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text: str, held) -> DataFrame:
     """All links, with those between nodes of one run that the first step left in different components."""
-    edges = lambda x: x.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     def parted(rows: DataFrame, links: DataFrame) -> DataFrame:
-        roots = components(edges(links)).select(F.col("v").alias("node"), "root")
-        named = rows.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-        mixed = named.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("token", "size")
-        return named.join(mixed, "token")
-
-    names = stored(parted(runs, links), "parts")
+        """Rows of the runs that hold several components; a run's rows stay in the segments that it was read in."""
+        roots = components(links).select(F.col("v").alias("rep"), "root")
+        named = rows.join(roots, "rep", "left").withColumn("part", F.coalesce("root", "rep")).drop("root")
+        segs = named.groupBy("token", "seg").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("part").alias("low"), F.max("part").alias("high"))
+        whole = segs.groupBy("token").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.min("low").alias("low"), F.max("high").alias("high"))
+        mixed = whole.where("low != high").select("token", "size", "weight")
+        return named.join(segs.select("token", "seg").join(mixed, "token"), ["token", "seg"])
+
+    names = held(parted(runs.join(reps, "node"), links), "parts")
     largest = F.array_sort(F.collect_list(F.struct(-F.col("size"), "token")))
     groups = names.where(F.col("size") >= LEAST_RUN).groupBy("node").agg(F.array_sort(F.transform(F.slice(largest, 1, GROUPS), lambda x: x["token"])).alias("groups"))
-    names = stored(names.join(groups, "node", "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<long>"))), "grouped")
-    members = names.where(F.array_contains("groups", F.col("token"))).select("token", "size", "node", "part", "groups")
-    new = stored(verify_groups(members, reps, docs, id_col, text), "links")
-    links = links.unionByName(new)
-    rest = parted(names.drop("part", "size"), links)
-    x, y = rest.alias("x"), rest.alias("y")
+    names = held(names.join(groups, "node", "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<long>"))), "grouped")
+    members = names.where(F.array_contains("groups", F.col("token"))).select("token", "weight", "node", "more", "rep", "part", "groups")
+    links = links.unionByName(held(verify_groups(members, docs, id_col, text), "links"))
+    # two sets that link have lengths of a ratio of at most 4 to 3, so their classes are the same or neighbours
+    rest = parted(names.drop("part", "size", "weight"), links).withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.34))).cast("int"))
+    x, y = rest.alias("x"), rest.withColumn("class", F.explode(F.array(F.col("class") - 1, "class", F.col("class") + 1))).alias("y")
     fits = possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.part") < F.col("y.part")) & fits & ~F.arrays_overlap("x.groups", "y.groups")
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.part") < F.col("y.part")) & fits & ~F.arrays_overlap("x.groups", "y.groups")
     pairs = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-    return links.unionByName(stored(verify(pairs, reps, docs, id_col, text), "links"))
+    pairs = held(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+    return links.unionByName(held(verify(pairs, reps, docs, id_col, text), "links"))

@@ -380,11 +380,14 @@ def brute(texts):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("least", "members"), [(8, 2000), (2, 4)])
+@pytest.mark.parametrize(("least", "members"), [(8, 1 << 20), (2, 300)])
 def test_op9(spark, monkeypatch, least, members):
     """Chains of near copies near the threshold, hot passages, exact copies; also with tiny groups and blocks."""
     monkeypatch.setattr(jaccard, "LEAST_RUN", least)
     monkeypatch.setattr(jaccard, "MEMBERS", members)
+    if least == 2:
+        monkeypatch.setattr(jaccard, "CHUNK", 500)
+        monkeypatch.setattr(jaccard, "BUCKET", 200)
     rng = random.Random(7)
     words = [f"w{k}" for k in range(400)]
     first = rng.choices(words, k=60)

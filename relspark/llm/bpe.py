@@ -1,15 +1,15 @@
 """Byte-pair encoding, exactly as the public tokenizer files define it.
 
 ``Rules`` reads a tokenizer file: vocabulary, merges, special tokens, normalisation and word pattern.
-``Encoder`` encodes texts by words: each distinct word is looked up once and remembered in a bounded memo.
-A word is looked up first in a :class:`~relspark.llm.transducer.Lexicon`, if there is one, and else by ``unseen``.
+``Encoder`` encodes texts by words: each distinct word is merged once and remembered in a bounded memo.
+Texts of plain characters are cut here; what else Unicode has is cut by the tokenizers library's own normaliser and
+pre-tokeniser, so that every code point is of the class that it has there.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from array import array
 from functools import cache
 
@@ -63,18 +63,16 @@ class Rules:
         else:
             self._plain = re.compile(rf" ?[{LETTERS}]+|{cut}| ?[0-9]+| ?[^{SPACE}{LETTERS}0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
 
-    def _full(self, text: str) -> list[str]:
-        return _full_pattern(self.lower)(text)
-
     def parts(self, text: str) -> list[str]:
         """The text cut at special tokens, which stay as parts of their own at odd places."""
         return self._split.split(text) if self._split and "<|" in text else [text]
 
     def words(self, text: str) -> list[str]:
         if PLAIN.search(text):
+            cut = _library(self.path)
             if self.lower:
-                text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-            return self._full(text)
+                text = cut.normalizer.normalize_str(text)
+            return [text[a:b] for _, (a, b) in cut.pre_tokenizer.pre_tokenize_str(text)]
         return self._plain(text.lower() if self.lower else text)
 
     def merge(self, word: str) -> bytes:
@@ -135,13 +133,11 @@ class Rules:
 
 
 @cache
-def _full_pattern(lower: bool):
-    import regex
+def _library(path: str):
+    """The tokenizers library's reading of the file: its tables say what is a letter, a number, white space and lower case."""
+    from tokenizers import Tokenizer
 
-    cut = "'(?:s|t|re|ve|m|ll|d)"
-    if lower:
-        return regex.compile(rf"{cut}|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+").findall
-    return regex.compile(rf"{cut}| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
+    return Tokenizer.from_file(path)
 
 
 @cache
@@ -170,12 +166,11 @@ class _Memo(dict):
 
 
 class Encoder:
-    """Texts to ids. ``lexicon(word)`` may give ids or None; ``unseen(word)`` must give them."""
+    """Texts to ids. ``unseen(word)`` must give a word's ids, if not merged here."""
 
-    def __init__(self, spec: Rules, lexicon=None, unseen=None, bound: int = MEMO) -> None:
+    def __init__(self, spec: Rules, unseen=None, bound: int = MEMO) -> None:
         self.rules = spec
-        unseen = unseen or (lambda w: spec.merge(w) if len(w) < 48 else spec.merge_long(w))
-        self.memo = _Memo((lambda w: unseen(w) if (v := lexicon(w)) is None else v) if lexicon else unseen, bound)
+        self.memo = _Memo(unseen or (lambda w: spec.merge(w) if len(w) < 48 else spec.merge_long(w)), bound)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -190,9 +185,7 @@ class Encoder:
 
 def library_unseen(path: str):
     """Ids of one word by the tokenizers library's own BPE model."""
-    from tokenizers import Tokenizer
-
-    model, chars = Tokenizer.from_file(path).model, byte_chars()
+    model, chars = _library(path).model, byte_chars()
 
     def look(word: str) -> bytes:
         shown = word if word.isascii() and word.isalpha() else "".join([chars[b] for b in word.encode()])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import mmap
 import os
 import posixpath
@@ -13,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -98,11 +100,22 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def mapped(data: bytes) -> mmap.mmap:
-    """``data`` as a read-only memory map over an unlinked file: pages can be evicted, nothing stays on disk."""
-    with tempfile.TemporaryFile() as f:
-        f.write(data or b"\0")
-        f.flush()
+def share(spark: SparkSession, data: bytes) -> str:
+    """Send ``data`` to every executor as a file, once, however many of its workers map it; its name for :func:`mapped`."""
+    name = f"relspark-{hashlib.sha256(data).hexdigest()[:32]}.bin"
+    context = spark.sparkContext
+    known = context.__dict__.setdefault("_relspark_files", set())
+    if name not in known:
+        path = Path(tempfile.mkdtemp(prefix="relspark-")) / name
+        path.write_bytes(data)
+        context.addFile(str(path))
+        known.add(name)
+    return name
+
+
+def mapped(name: str) -> mmap.mmap:
+    """A shared file as a read-only memory map: an executor's workers have its pages in common, and they can be evicted."""
+    with open(SparkFiles.get(name), "rb") as f:
         return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
 

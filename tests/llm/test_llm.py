@@ -1,5 +1,6 @@
 """Each training-data operator against brute force or an exact round trip, and on nulls, empty tables, ties, repeats."""
 
+import functools
 import hashlib
 import itertools
 import random
@@ -40,6 +41,7 @@ def rows(df):
 # op3, op5, op10: encoding
 
 
+@functools.cache
 def library(name):
     from tokenizers import Tokenizer
 
@@ -53,13 +55,14 @@ TEXT = st.text(st.sampled_from("aBé Σσ\n\t'sS1½中_.!😀<|\u00a0\u0301"), m
 @given(TEXT)
 def test_encoding_equals_the_library(text):
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        want = _libraries.setdefault(name, library(name)).encode(text, add_special_tokens=False).ids
+        want = library(name).encode(text, add_special_tokens=False).ids
         path = queries.tokenizer(name)
-        for enc in (_encoders.setdefault(name, bpe.Encoder(bpe.rules(path))), bpe.library_encoder(path)):
+        if name not in _encoders:
+            _encoders[name] = (bpe.Encoder(bpe.rules(path)), bpe.Encoder(bpe.rules(path), unseen=bpe.library_unseen(path)))
+        for enc in _encoders[name]:
             assert np.frombuffer(enc(text), "<u4").tolist() == want
 
 
-_libraries: dict = {}
 _encoders: dict = {}
 
 
@@ -73,12 +76,34 @@ def test_long_words_merge_alike():
 
 def test_lexicon_is_minimal_and_exact():
     words = {w: bytes([k, 0, 0, 0]) for k, w in enumerate(["taps", "tops", "tap", "top", "été", "a"])}
-    lex = transducer.Lexicon(transducer.mapped(transducer.compile_lexicon(words)))
-    assert all(lex(w) == v for w, v in words.items())
-    assert lex("ta") is None and lex("tapsx") is None and lex("") is None
+    lex = transducer.Lexicon(transducer.compile_lexicon(words))
+    assert lex.look(list(words)) == list(words.values())
+    assert lex.look(["ta", "tapsx", "", "zz", "t\xe9"]) == [None] * 5 and lex.look([]) == []
     suffixes = {frozenset(w[len(p) :] for w in words if w.startswith(p)) for word in words for p in (word[:k] for k in range(len(word) + 1)) if word.isascii()}
     assert lex.states <= len(suffixes) + 5
-    assert transducer.Lexicon(transducer.mapped(transducer.compile_lexicon({})))("a") is None
+    assert transducer.Lexicon(transducer.compile_lexicon({})).look(["a"]) == [None]
+
+
+def test_all_words_go_through_the_lexicon(monkeypatch):
+    monkeypatch.setattr(transducer, "TOGETHER", 30)
+    spec = bpe.rules(queries.tokenizer("byte_bpe_50k.json"))
+    lex = transducer.Lexicon(transducer.compile_lexicon({w: spec.merge(w) for w in ("the", " cat", " sat")}))
+    enc, tok = transducer.LexiconEncoder(spec, lex), library("byte_bpe_50k.json")
+    texts = ["the cat sat", None, "", "the dog<|endoftext|> sat", "the cat " * 20, "中文 cat"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.texts(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert enc.seen[1] >= 6 and not {"the", " cat", " sat"} & set(enc.merged)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_code_point_as_in_the_library(name):
+    tok, spec = library(name), bpe.rules(queries.tokenizer(name))
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    plain = [c for c in every if not bpe.PLAIN.search(c)]
+    shape = "a{0}B {0}1{0} !{0} {0}".format
+    texts = [shape(c) for c in plain] + ["\n".join(map(shape, every[k : k + 200])) for k in range(0, len(every), 200)]
+    enc = bpe.Encoder(spec)
+    wrong = [t for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(enc(t), "<u4").tolist() != e.ids]
+    assert wrong == []
 
 
 def test_op3(spark, odd, none):
@@ -92,17 +117,57 @@ def test_op3(spark, odd, none):
     assert {r.doc_id: r.decoded for r in transducer.encode(odd.where("doc_id = 3"), path).collect()} == {3: odd.where("doc_id = 3").first().text}
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 5)), min_size=1, max_size=9))
-def test_cuts_are_the_cheapest(gaps):
-    pos, cost = list(itertools.accumulate(g for g, _ in gaps)), [c for _, c in gaps]
-    window = 12
-    best = {0: 0}
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 5)), min_size=1, max_size=60), st.integers(1, 20))
+def test_cuts_are_the_cheapest(gaps, together):
+    pos, cost, window = list(itertools.accumulate(g for g, _ in gaps)), [c for _, c in gaps], 12
+    best, end = {0: 0}, pos[-1]
     for j, p in enumerate(pos):
         best[p] = min(best[q] + window - (p - q) + cost[j] for q in [0, *pos[:j]] if p - q <= window)
-    cuts = packing.best_cuts(pos, cost, window)
-    total = sum(window - (b - a) + cost[pos.index(b)] for a, b in zip([0, *cuts], cuts, strict=False))
-    assert cuts[-1] == pos[-1] and total == best[pos[-1]]
+    want = min(best[q] + packing.last_cuts(end - q, window)[0] for q in [0, *pos[:-1]] if end - q <= window)
+    programme, cuts = packing.Programme(window), []
+    for k in range(0, len(pos), together):
+        programme.add(pos[k : k + together], cost[k : k + together])
+        cuts += programme.common()
+    cuts += programme.close()
+    assert cuts[-1] == end and cuts == sorted(set(cuts))
+    last = next(k for k in range(len(cuts)) if sum(packing.last_cuts(end - (cuts[k - 1] if k else 0), window)[1]) <= window and [0, *cuts][k:] == [0, *cuts][k : k + 1] + list(itertools.accumulate([[0, *cuts][k] + packing.last_cuts(end - [0, *cuts][k], window)[1][0], *packing.last_cuts(end - [0, *cuts][k], window)[1][1:]])))
+    before = [0, *cuts[:last]]
+    total = sum(window - (b - a) + cost[pos.index(b)] for a, b in itertools.pairwise(before))
+    assert total + packing.last_cuts(end - before[-1], window)[0] == want
+
+
+def test_last_window():
+    assert packing.last_cuts(2048) == (0, [2048]) and packing.last_cuts(1024) == (0, [1024]) and packing.last_cuts(2000) == (48, [2000])
+    assert packing.last_cuts(1025) == (packing.INNER_CUT, [1024, 1])
+
+
+def test_cuts_lie_at_ends_of_sentences(spark):
+    path = queries.tokenizer("byte_bpe_50k.json")
+    closes = packing._ends_sentence(path)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    pieces = packing.pack(docs, path).collect()
+    by_sequence: dict = {}
+    for p in pieces:
+        by_sequence.setdefault(p.sequence_id, []).append(p)
+    order = sorted(by_sequence)
+    sizes = [sum(p.length for p in by_sequence[k]) for k in order]
+    padding = sum(0 if n & n - 1 == 0 else 2048 - n for n in sizes)
+    assert padding < 0.02 * sum(sizes)
+    long = inner = 0
+    for k in order[:-10]:
+        p = by_sequence[k][-1]
+        if p.start + p.length < p.doc_tokens and not closes[p.ids[-1]]:
+            inner += 1
+    by_doc: dict = {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append(p)
+    for held in by_doc.values():
+        ids = np.concatenate([p.ids for p in sorted(held, key=lambda p: p.start)])
+        ends = np.append(np.flatnonzero(closes[ids]) + 1, len(ids))
+        gaps = np.diff(ends, prepend=0)
+        long += int((gaps[gaps > 2048] // 2048 + 1).sum())
+    assert inner <= long
 
 
 def test_op5(spark, odd, none):
@@ -181,11 +246,50 @@ def test_op4(spark, none):
 
 
 def test_collisions_are_confirmed(monkeypatch):
-    monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda _: 5)
-    rules = urls.DigestRules(*urls.compile_rules([("block", "a.com", "/x"), ("allow", "b.com", "/x")]))
+    monkeypatch.setattr(urls, "_digest", lambda _: 5)
+    rules = urls.DigestRules(urls.compile_rules([("block", "a.com", "/x"), ("allow", "b.com", "/x")]))
     assert rules.judge(["http://b.com/xy", "http://c.com/x"]) == [("b.com", "/xy", "b.com/x", "allow"), ("c.com", "/x", None, "allow")]
 
 
+def test_rules_from_a_table(spark, monkeypatch):
+    rng = random.Random(6)
+    name = lambda n: "".join(rng.choices("ab", k=n))
+    rules = [(rng.choice(["allow", "block"]), ".".join(name(2) for _ in range(rng.randint(1, 3))), "/" + name(rng.randint(0, 4))) for _ in range(300)]
+    hosts = [".".join(name(2) for _ in range(3)) for _ in range(9)]
+    pages = [(k, f"x://{'.'.join(name(2) for _ in range(rng.randint(1, 5)))}/{name(rng.randint(0, 6))}", "h", "r") for k in range(400)]
+    pages += [(None, None, "h", "r"), (7, "x://" + "a." * 100_000 + rules[0][1] + rules[0][2], "h", "r"), (7, "x://é.Ab/%20?x", "h", "r"), (7, "", "h", "r")]
+    df = spark.createDataFrame(pages, "page_id long, url string, host string, rule string").repartition(3)
+    table = spark.createDataFrame([*rules, (None, "a", "b")], "verdict string, host string, path string")
+
+    def brute(url):
+        host, path = urls.host_and_path(url)
+        fits = [(len(h + p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if fits:
+            best = max(fits)
+            return host, path, best[2], best[3]
+        return host, path, None, "block" if any(host == h or host.endswith("." + h) for h in hosts) else "allow"
+
+    want = sorted(((i or 0, *brute(u)) for i, u, *_ in pages), key=str)
+    for limit in (urls.LIMIT, 0):
+        monkeypatch.setattr(urls, "LIMIT", limit)
+        start = time.process_time()
+        found = urls.judge_urls(df, table, hosts)
+        assert found.columns == ["page_id", "host", "path", "rule", "verdict"]
+        assert sorted(((r[0] or 0, *r[1:]) for r in rows(found)), key=str) == want
+        assert rows(urls.judge_urls(df.where("false"), table)) == []
+        assert {r.verdict for r in urls.judge_urls(df, table.where("false")).collect()} == {"allow"}
+        assert time.process_time() - start < 60
+
+
+def test_a_million_rules():
+    rules = [("block" if k % 2 else "allow", f"h{k % 1000}.example{k}.com", f"/p{k}") for k in range(1_000_000)]
+    found = urls.DigestRules(urls.compile_rules(rules))
+    start = time.process_time()
+    judged = found.judge([f"http://www.h{k % 1000}.example{k}.com/p{k}/x" for k in range(0, 1_000_000, 50)])
+    assert [v for *_, v in judged] == ["allow"] * 20_000 and judged[3][2] == "h150.example150.com/p150"
+    assert time.process_time() - start < 20
+
+
 # op1
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><header class="site">Site</header><nav><ul><li><a href="/">Home</a></ul></nav>

@@ -2,8 +2,9 @@
 
 Frequent words of the corpus are compiled, with their id outputs, into the smallest deterministic acyclic automaton:
 equal suffixes share states. Each arc carries the number of words that sort before it, so that the sum along a path is
-the word's rank, and the rank leads to its ids. Every worker memory-maps the compiled form. Words that the lexicon
-does not hold are merged exactly by rank.
+the word's rank, and the rank leads to its ids. Executors get the compiled form as a file, which their workers map. All
+distinct words of some texts walk the automaton together, a byte at a step, so every word of every text is looked up in
+it first; the words that it does not hold are merged exactly by rank, and only these are remembered.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text; special-token strings inside a text
 become their id; rows with repeated or null ids stay as they are; an empty table gives an empty result.
@@ -22,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, rules
-from .common import arrow, batch, drop_path, mapped, rows_of, sole, stored
+from .common import arrow, batch, drop_path, mapped, rows_of, share, sole, stored
 
-#: Words in the lexicon at most: the bound of what is collected and broadcast (a few MB).
+#: Words in the lexicon at most: the bound of what is collected and sent (a few MB).
 LEXICON_WORDS = 50_000
-#: A word must be found this often to count as frequent, and be no longer than this.
+#: A word must be found this often to count as frequent, and be no longer than this (the bound of what a word takes).
 LEAST_COUNT, LONGEST = 2, 40
+#: Characters of the texts whose words are looked up together.
+TOGETHER = 4_000_000
 
 
 class _State:
@@ -106,37 +109,91 @@ def compile_lexicon(entries: dict[str, bytes]) -> bytes:
 
 
 class Lexicon:
-    """A compiled lexicon in memory-mapped form: word to ids, or None."""
+    """A compiled lexicon over mapped memory."""
 
     def __init__(self, memory) -> None:
         magic, self.root, *sizes = struct.unpack_from("<4sI7Q", memory)
         assert magic == b"DAWG"
-        view, at, parts = memoryview(memory), struct.calcsize("<4sI7Q"), []
-        for n in sizes:
-            parts.append((at, at + n))
+        parts, at = [], struct.calcsize("<4sI7Q")
+        for n, kind in zip(sizes, ("<u4", "<u4", "<u4", "<u4", "u1", "u1", "u1"), strict=True):
+            parts.append(np.frombuffer(memory, kind, n // np.dtype(kind).itemsize, at))
             at += n
-        ints = [view[a:b].cast("I") for a, b in parts[:4]]
-        self.first, self.targets, self.skips, self.ends = ints
-        self.ids, self.finals = view[slice(*parts[4])], view[slice(*parts[6])]
-        self.labels_at = parts[5][0]
-        self.find = memory.find
+        first, self.targets, self.skips, self.ends, ids, labels, self.finals = parts
+        self.ids = memoryview(ids)
         self.states = len(self.finals)
-
-    def __call__(self, word: str) -> bytes | None:
-        state, rank = self.root, 0
-        first, at, find = self.first, self.labels_at, self.find
-        data = word.encode()
-        for k in range(len(data)):
-            low = at + first[state]
-            arc = find(data[k : k + 1], low, at + first[state + 1])
-            if arc < 0:
-                return None
-            arc -= at
-            rank += self.skips[arc]
-            state = self.targets[arc]
-        if not self.finals[state]:
-            return None
-        return bytes(self.ids[4 * self.ends[rank] : 4 * self.ends[rank + 1]])
+        # arcs lie in the order of (state, label)
+        self.arcs = np.repeat(np.arange(self.states, dtype=np.int64) << 8, np.diff(first)) | labels
+
+    def look(self, words: list[str]) -> list[bytes | None]:
+        """The ids of each word, or None: all words take one step at a time."""
+        if not len(self.arcs):
+            return [None] * len(words)
+        data = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        text = np.frombuffer(b"".join(data), np.uint8)
+        at = np.cumsum(sizes) - sizes
+        state, rank = np.full(len(data), self.root, np.int64), np.zeros(len(data), np.int64)
+        found = np.full(len(data), -1, np.int64)
+        alive = np.flatnonzero(sizes > 0)
+        step = 0
+        while len(alive):
+            wanted = state[alive] << 8 | text[at[alive] + step]
+            arc = np.minimum(np.searchsorted(self.arcs, wanted), len(self.arcs) - 1)
+            there = self.arcs[arc] == wanted
+            alive, arc = alive[there], arc[there]
+            rank[alive] += self.skips[arc]
+            state[alive] = self.targets[arc]
+            step += 1
+            done = sizes[alive] == step
+            whole = alive[done]
+            whole = whole[self.finals[state[whole]] == 1]
+            found[whole] = rank[whole]
+            alive = alive[~done]
+        hit = found >= 0
+        low, high = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+        low[hit], high[hit] = 4 * self.ends[found[hit]].astype(np.int64), 4 * self.ends[found[hit] + 1].astype(np.int64)
+        ids = self.ids
+        return [bytes(ids[a:b]) if k else None for k, a, b in zip(hit.tolist(), low.tolist(), high.tolist(), strict=True)]
+
+
+class LexiconEncoder:
+    """Texts to ids by a lexicon; ``seen`` counts the distinct words looked up in it and those that it held."""
+
+    def __init__(self, spec, lexicon: Lexicon) -> None:
+        self.rules, self.lexicon, self.merged = spec, lexicon, Encoder(spec).memo
+        self.special = {s: i.to_bytes(4, "little") for s, i in spec.special.items()}
+        self.seen = [0, 0]
+
+    def _cut(self, text: str) -> list[str]:
+        if "<|" not in text:
+            return self.rules.words(text)
+        # no word is like a special token: words don't mix letters and signs
+        return [w for k, part in enumerate(self.rules.parts(text)) for w in ([part] if k % 2 else self.rules.words(part))]
+
+    def texts(self, texts: list[str | None]):
+        """The ids of each text, in order."""
+        at = 0
+        while at < len(texts):
+            cut, chars = [], 0
+            while at < len(texts) and chars < TOGETHER:
+                t = texts[at]
+                cut.append(self._cut(t) if t else [])
+                chars += len(t or "")
+                at += 1
+            words = list(set().union(*cut).difference(self.special))
+            found = self.lexicon.look(words)
+            table = dict(zip(words, found, strict=True))
+            self.seen[0] += len(words)
+            self.seen[1] += len(words) - found.count(None)
+            if None in found:
+                merged = self.merged
+                for w, v in zip(words, found, strict=True):
+                    if v is None:
+                        table[w] = merged[w]
+            table.update(self.special)
+            get = table.__getitem__
+            for ws in cut:
+                yield b"".join(map(get, ws))
 
 
 def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -206,20 +263,16 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "tex
 
 def _run(docs: DataFrame, path: str, id_col: str, text: str, lexicon_words: int, columns: str, made) -> DataFrame:
     spark = docs.sparkSession
-    block = spark.sparkContext.broadcast(build_lexicon(docs, path, text, lexicon_words))
+    name = share(spark, build_lexicon(docs, path, text, lexicon_words))
     kind = docs.schema[id_col].dataType.simpleString()
     out = spark.createDataFrame([], f"`{id_col}` {kind}, {columns}").schema
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        key = ("lexicon", path, hashlib.sha256(block.value).digest())
-        enc, schema = sole(key, lambda: Encoder(rules(path), lexicon=Lexicon(mapped(block.value)))), to_arrow_schema(out)
+        enc = sole(("lexicon", path, name), lambda: LexiconEncoder(rules(path), Lexicon(mapped(name))))
+        schema = to_arrow_schema(out)
         for keys, texts in rows_of(batches):
-            rows = []
-            for i, t in zip(keys, texts, strict=True):
-                ids = enc(t)
-                rows.append((i, *made(ids, decode(path, ids))))
-            yield batch(schema, rows)
+            yield batch(schema, [(i, *made(ids, decode(path, ids))) for i, ids in zip(keys, enc.texts(texts), strict=True)])
 
     return docs.select(id_col, text).transform(arrow, run, out)

@@ -1,15 +1,17 @@
 """Operator 5: order-preserving packing by dynamic programming with a monotone queue.
 
 The token streams of a partition's documents, in the order of its rows, are joined and cut into windows of at most
-``window`` tokens. Cuts lie at document ends (free), sentence ends (a small penalty) or, only inside a sentence longer
-than ``grain`` tokens, at every ``grain``-th token (a larger penalty). With f(i) the least cost of what lies before
-boundary i at position p(i), f(j) = penalty(j) + min over p(j) - p(i) <= window of f(i) + window - (p(j) - p(i)); as
-f(i) + p(i) alone decides, a queue of increasing values yields each minimum in constant time. The last window of a
-block is cut freely into powers of two, which need no padding.
-
-No shuffle: a partition's rows are packed where they are read, in blocks of at most ``BLOCK`` tokens and one document
-more, so memory is bounded by the longest text. A sequence's id is made of the partition's number and a counter; a
-task that runs again gives the same rows. Defined cases: a null or empty text is the end token alone; ids may be null
+``window`` tokens. Cuts lie at document ends (free) or sentence ends (a small penalty); only a sentence longer than the
+window itself is cut inside, at every ``GRAIN``-th token, for the penalty of truncation. With f(i) the least cost of what
+lies before boundary i at position p(i), f(j) = penalty(j) + min over p(j) - p(i) <= window of f(i) + window - (p(j) - p(i));
+as f(i) + p(i) alone decides, a queue of increasing values yields each minimum in constant time. The partition's last
+window is the only one that may be left with much padding: there, the programme weighs the padding against cutting the
+rest into powers of two, which need none, each cut for the penalty of truncation.
+
+The programme runs over the whole partition, and gives out the cuts that all windows still open have in common, so the
+cuts are the best of the partition while little more than some windows is held. No shuffle: rows are packed where they
+are read, so the cuts depend on how the input is split. A sequence's id is made of the partition's number and a counter;
+a task that runs again gives the same rows. Defined cases: a null or empty text is the end token alone; ids may be null
 or repeated; an empty table gives an empty result.
 """
 
@@ -28,9 +30,11 @@ from .bpe import library_encoder, rules
 from .common import arrow, rows_of, small_batches
 
 WINDOW, END = 2048, 1
-#: Costs of a cut, in padding tokens, and the distance of cuts inside sentences that have no other boundary.
-SENTENCE_CUT, INNER_CUT, GRAIN = 4, 12, 32
-BLOCK = 400_000
+#: Costs of a cut, in padding tokens, at a sentence's end and inside a sentence, and the distance of cuts inside those
+#: sentences that are longer than a window.
+SENTENCE_CUT, INNER_CUT, GRAIN = 4, 64, 64
+#: Tokens that are handed to the programme together.
+TOGETHER = 1 << 16
 
 
 @cache
@@ -43,11 +47,12 @@ def _ends_sentence(path: str) -> np.ndarray:
     return out
 
 
-def boundaries(sentence_ends: np.ndarray, document_ends: np.ndarray, grain: int = GRAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted positions where a window may end, with their penalties; gaps over ``grain`` get inner cuts."""
+def boundaries(sentence_ends: np.ndarray, document_ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted positions where a window may end, with their penalties; sentences longer than ``window`` get inner cuts."""
+    grain = min(GRAIN, window)
     at = np.union1d(sentence_ends, document_ends)
     gaps = np.diff(at, prepend=0)
-    long = np.flatnonzero(gaps > grain)
+    long = np.flatnonzero(gaps > window)
     inner = [np.arange(at[k] - gaps[k] + grain, at[k], grain) for k in long]
     inner = np.concatenate(inner) if inner else np.empty(0, at.dtype)
     pos = np.concatenate([at, inner])
@@ -56,38 +61,79 @@ def boundaries(sentence_ends: np.ndarray, document_ends: np.ndarray, grain: int
     return pos[order], cost[order]
 
 
-def best_cuts(pos: list[int], cost: list[int], window: int = WINDOW) -> list[int]:
-    """The ends of the windows of least padding plus penalties; ``pos`` has no gap over ``window``."""
-    p, total, back = [0, *pos], [0], [0]
-    queue: deque[int] = deque([0])
-    for j in range(1, len(p)):
-        low = p[j] - window
-        while p[queue[0]] < low:
-            queue.popleft()
-        i = queue[0]
-        f = total[i] + window - p[j] + p[i] + cost[j - 1]
-        total.append(f)
-        back.append(i)
-        f += p[j]
-        while queue and total[queue[-1]] + p[queue[-1]] >= f:
-            queue.pop()
-        queue.append(j)
-    cuts, j = [], len(p) - 1
-    while j:
-        cuts.append(p[j])
-        j = back[j]
-    return cuts[::-1]
-
-
-def without_padding(cuts: list[int], window: int = WINDOW) -> list[int]:
-    """The last window cut into powers of two."""
-    if not cuts:
+def last_cuts(n: int, window: int = WINDOW) -> tuple[int, list[int]]:
+    """The least cost of a last window of ``n`` tokens, and the sizes of its parts: one, padded, or powers of two."""
+    powers = [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
+    whole = window - n if len(powers) > 1 else 0
+    return min((whole, [n]), (INNER_CUT * (len(powers) - 1), powers))
+
+
+class Programme:
+    """The dynamic programme over a stream of boundaries; no gap between them may be longer than the window."""
+
+    def __init__(self, window: int = WINDOW) -> None:
+        self.window = window
+        # of boundaries not given out yet, the last one given out first: position, least cost, boundary before
+        self.pos, self.total, self.back = [0], [0], [0]
+        self.first = 0
+        self.queue: deque[int] = deque([0])
+
+    def add(self, pos: list[int], cost: list[int]) -> None:
+        p, total, back, queue, window, first = self.pos, self.total, self.back, self.queue, self.window, self.first
+        for at, c in zip(pos, cost, strict=True):
+            low = at - window
+            while p[queue[0] - first] < low:
+                queue.popleft()
+            i = queue[0]
+            f = total[i - first] + window - at + p[i - first] + c
+            j = first + len(p)
+            p.append(at)
+            total.append(f)
+            back.append(i)
+            f += at
+            while queue and total[queue[-1] - first] + p[queue[-1] - first] >= f:
+                queue.pop()
+            queue.append(j)
+
+    def open(self) -> list[int]:
+        """The boundaries that a window may still begin at."""
+        low, k = self.pos[-1] - self.window, len(self.pos) - 1
+        while k and self.pos[k - 1] >= low:
+            k -= 1
+        return list(range(self.first + k, self.first + len(self.pos)))
+
+    def _chain(self, i: int) -> list[int]:
+        cuts = []
+        while i > self.first:
+            cuts.append(self.pos[i - self.first])
+            i = self.back[i - self.first]
+        return cuts[::-1]
+
+    def common(self) -> list[int]:
+        """The cuts that all open windows have in common; they are given out once."""
+        heads = set(self.open())
+        while len(heads) > 1:
+            top = max(heads)
+            heads.remove(top)
+            heads.add(self.back[top - self.first])
+        (i,) = heads
+        cuts = self._chain(i)
+        k = i - self.first
+        del self.pos[:k], self.total[:k], self.back[:k]
+        self.first = i
+        return cuts
+
+    def close(self) -> list[int]:
+        """The rest of the cuts: the last window ends at the last boundary, whole or in powers of two."""
+        end = self.pos[-1]
+        if len(self.pos) == 1:
+            return []
+        _, i, parts = min((self.total[i - self.first] + cost, i, parts) for i in self.open() if self.pos[i - self.first] < end for cost, parts in [last_cuts(end - self.pos[i - self.first], self.window)])
+        cuts, at = self._chain(i), self.pos[i - self.first]
+        for n in parts:
+            at += n
+            cuts.append(at)
         return cuts
-    out, at = cuts[:-1], cuts[-2] if len(cuts) > 1 else 0
-    while at < cuts[-1]:
-        at += min(window, 1 << ((cuts[-1] - at).bit_length() - 1))
-        out.append(at)
-    return out
 
 
 PIECE = "start long, length long, {ids}, doc_tokens long, sequence_id long, offset long"
@@ -105,37 +151,46 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
         enc, closes = library_encoder(path), _ends_sentence(path)
         finish, counter = int(end_id).to_bytes(4, "little"), [(TaskContext.get().partitionId()) << 36]
 
-        def flush(held):
-            ids = np.frombuffer(b"".join(d for _, d in held), "<u4")
-            ends = np.cumsum([len(d) // 4 for _, d in held])
-            pos, cost = boundaries(np.flatnonzero(closes[ids]) + 1, ends, min(GRAIN, window))
-            cuts = without_padding(best_cuts(pos.tolist(), cost.tolist(), window), window)
-            doc, first, a = 0, 0, 0
+        def pieces(held, cuts, at):
+            """The pieces up to the last cut; documents that end before it leave ``held``."""
             for b in cuts:
-                at = a
+                a = at
                 while at < b:
-                    last = int(ends[doc])
-                    stop = min(b, last)
-                    piece = ids[at:stop]
-                    yield (held[doc][0], at - first, stop - at, piece.astype("i4") if with_ids else zlib.crc32(piece), last - first, counter[0], at - a)
+                    key, ids, first = held[0]
+                    stop = min(b, first + len(ids))
+                    piece = ids[at - first : stop - first]
+                    yield (key, at - first, stop - at, piece.astype("i4") if with_ids else zlib.crc32(piece), len(ids), counter[0], at - a)
                     at = stop
-                    if at == last:
-                        doc, first = doc + 1, last
+                    if at == first + len(ids):
+                        held.popleft()
                 counter[0] += 1
-                a = b
 
         def rows():
-            held, n = [], 0
+            held, new, at, size, done = deque(), [], 0, 0, 0
+            programme = Programme(window)
+
+            def feed():
+                ids = np.concatenate([x for _, x, _ in new])
+                pos, cost = boundaries(np.flatnonzero(closes[ids]) + 1, np.cumsum([len(x) for _, x, _ in new]), window)
+                programme.add((pos + (at - size)).tolist(), cost.tolist())
+                held.extend(new)
+                new.clear()
+
             for keys, texts in rows_of(batches):
                 for k, t in zip(keys, texts, strict=True):
-                    data = enc(t) + finish
-                    held.append((k, data))
-                    n += len(data) // 4
-                    if n >= BLOCK:
-                        yield from flush(held)
-                        held, n = [], 0
-            if held:
-                yield from flush(held)
+                    ids = np.frombuffer(enc(t) + finish, "<u4")
+                    new.append((k, ids, at))
+                    at += len(ids)
+                    size += len(ids)
+                    if size >= TOGETHER:
+                        feed()
+                        size = 0
+                        if cuts := programme.common():
+                            yield from pieces(held, cuts, done)
+                            done = cuts[-1]
+            if new:
+                feed()
+            yield from pieces(held, programme.close(), done)
 
         yield from small_batches(pa.schema(to_arrow_schema(out)), rows())
 

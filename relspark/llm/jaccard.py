@@ -4,10 +4,10 @@ A document's set holds the hashes of its distinct shingles of five words. Docume
 set the shingles are ordered by how many sets hold them, the rarest first, ties by hash. Two sets of Jaccard similarity t
 or more share a shingle in the first n - ceil(t n) + 1 of each, so only these prefixes are dealt out by shingle; a shingle
 that no other set holds leads nowhere and isn't dealt out at all. Pairs pass the length filter and the positional filter,
-and are verified once by their whole texts, the suffix filter first.
+and are verified once by their whole sets, the suffix filter first.
 
-How many sets hold a shingle is counted without sending sets about. Texts are read once: their sets are written to the
-shared folder in chunks of some ``CHUNK`` shingles. Each chunk sends its distinct shingles, sorted, as 32-bit remainders
+Texts are read once, and never moved: their sets are written to the shared folder in chunks of some ``CHUNK`` shingles,
+and later steps take the sets that they verify from there. How many sets hold a shingle is counted without sending sets about. Each chunk sends its distinct shingles, sorted, as 32-bit remainders
 to one of as many buckets as keep some ``BUCKET`` shingles each, whatever the size of the corpus, and a bucket answers
 with one byte a shingle in the same order. Two shingles of a bucket with the same remainder (about one in a thousand
 shingles meets one) count as one shingle that is more frequent, which costs time and never a link. Copies count once in a chunk.
@@ -17,15 +17,14 @@ Only components are asked for, so no group is expanded into all pairs:
    that share a shingle is streamed: a node is paired with the run's first node and with the one before it. Pairs are
    verified; components of their links follow. A large group of near copies mostly is one component then.
 2. What is left are pairs of nodes in one run (of four or more, or cut by a range's end) but in different components.
-   Every node is put into its ``GROUPS`` largest runs that hold several components. A group's texts are brought together
+   Every node is put into its ``GROUPS`` largest runs that hold several components. A group's sets are brought together
    once, in blocks of some ``MEMBERS`` shingles and pairs of blocks where it is larger, and all its sets are intersected
    by an inverted index; of its links, a forest is returned.
 3. The remaining pairs, of nodes with no group in common, are joined by shingle and class of length (only neighbouring
    classes can link), filtered, and verified singly.
 
-Candidates name nodes by 64 bits, sets are equal if 128 bits are: two nodes of one name cost a verification and are never
-merged. Texts move once for each pair to the pair's first node (dealt by document and salted, so that one with many
-pairs is spread). Two different shingles are taken for the same with a chance of about 2^-64 for each pair compared.
+Candidates name nodes by 64 bits, sets are equal only if 128 bits are. A set moves once for each pair to the pair's first
+node (salted, so that one with many pairs is spread). Two different shingles are taken for the same with a chance of about 2^-64 for each pair compared.
 
 Defined cases: null and empty texts have no shingles and no links; with one to four words, the whole sequence is the
 only shingle; a row with a null id has a null component; rows that share an id are one vertex; an empty table gives an
@@ -45,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, delete, drop_path, file_system, rows_of, scratch, small_batches, sole, stored
+from .common import arrow, delete, drop_path, file_system, rows_of, scratch, sole, stored
 
 WORDS, SHARE = 5, 75
 #: Shingles of a chunk and of a bucket, more or less. On executors of 3 GB these serve some TB; rows between them number
@@ -119,65 +118,102 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def write_sets(docs: DataFrame, id_col: str, text: str, folder: str) -> DataFrame:
-    """Rows (id, n_shingles, node, more), node being null for empty sets, and a row (chunk, size) for each chunk of sets
-    written to ``folder``, size being its distinct shingles; the columns of the other kind of row are null.
+    """Rows (id, n_shingles, node, more, chunk), node being null for empty sets and chunk for sets that the task's chunk
+    has already, and a row (chunk, size) for each chunk written to ``folder``, size being its distinct shingles.
 
-    A chunk file holds the number of its sets and of their shingles, the sets' nodes and sizes, and their shingles."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    A chunk is a file of one Arrow batch: id, node, number and shingles of each set."""
+    kind, id_type = docs.schema[id_col].dataType.simpleString(), _arrow_type(docs, id_col)
     names = ["id", "n_shingles", "node", "more", "chunk", "size"]
 
     def run(batches):
         sole("jaccard", dict)  # what other operators remembered goes
         fs, base = file_system(folder)
-        seen, held, size = set(), [], 0
-
-        def put(ids_type):
-            nonlocal size
-            name = uuid.uuid4().hex
-            tokens = np.concatenate([s for _, s in held])
+        name, seen, held, size = 0, set(), [], 0
+
+        def put():
+            tokens = np.concatenate([s for *_, s in held])
+            columns = [pa.array([i for i, *_ in held], id_type), pa.array([v for _, v, _ in held], pa.int64()), pa.array([len(s) for *_, s in held], pa.int64())]
+            ends = np.cumsum([0, *(8 * len(s) for *_, s in held)])
+            columns.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(held), [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(tokens)]))
+            made = pa.RecordBatch.from_arrays(columns, ["id", "node", "n", "tokens"])
             fs.create_dir(base, recursive=True)
-            with fs.open_output_stream(f"{base}/{name}") as f:
-                f.write(struct.pack("<QQ", len(held), len(tokens)))
-                f.write(np.array([v for v, _ in held], "<i8").tobytes())
-                f.write(np.array([len(s) for _, s in held], "<i8").tobytes())
-                f.write(tokens.tobytes())
-            tokens.sort()
+            with fs.open_output_stream(f"{base}/{name}") as f, pa.ipc.new_stream(f, made.schema) as w:
+                w.write_batch(made)
+            tokens = np.sort(tokens)
             distinct = 1 + int((tokens[1:] != tokens[:-1]).sum())
             seen.clear()
             held.clear()
-            size = 0
-            empty = [pa.nulls(1, t) for t in (ids_type, pa.int64(), pa.int64(), pa.int64())]
+            empty = [pa.nulls(1, t) for t in (id_type, pa.int64(), pa.int64(), pa.int64())]
             return pa.RecordBatch.from_arrays([*empty, pa.array([name]), pa.array([distinct], pa.int64())], names)
 
-        ids = None
         for b in batches:
-            ids, sizes, first, second = b.column(0), [], [], []
-            for known, t in zip(ids.is_valid().to_pylist(), b.column(1).to_pylist(), strict=True):
+            found = []
+            for i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = shingles(t)
-                name = _name(s) if len(s) else (None, None)
-                sizes.append(len(s))
-                first.append(name[0])
-                second.append(name[1])
-                if known and len(s) and name not in seen:
-                    seen.add(name)
-                    held.append((name[0], s))
+                named = _name(s) if len(s) else (None, None)
+                own = None
+                if i is not None and len(s) and named not in seen:
+                    name = own = name or uuid.uuid4().int >> 65
+                    seen.add(named)
+                    held.append((i, named[0], s))
                     size += len(s)
-                    if size >= CHUNK:
-                        yield put(ids.type)
-            n = len(sizes)
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (sizes, first, second)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names)
+                found.append((len(s), *named, own))
+                if size >= CHUNK:
+                    yield put()
+                    name = size = 0
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(id_type), *(pa.array(x, pa.int64()) for x in zip(*found, strict=True)), pa.nulls(len(found), pa.int64())], names)
         if held:
-            yield put(ids.type)
+            yield put()
+
+    return docs.select(id_col, text).transform(arrow, run, f"id {kind}, n_shingles long, node long, more long, chunk long, size long")
+
+
+def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
+
 
-    return docs.select(id_col, text).transform(arrow, run, f"id {kind}, n_shingles long, node long, more long, chunk string, size long")
+def _read(fs, path: str) -> pa.RecordBatch:
+    with fs.open_input_file(path) as f:
+        return pa.ipc.open_stream(f.read_buffer()).read_next_batch()
 
 
 def _read_sets(fs, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The nodes, sizes and shingles of a chunk."""
-    with fs.open_input_file(path) as f:
-        data = f.read()
-    k, n = struct.unpack_from("<QQ", data)
-    return np.frombuffer(data, "<i8", k, 16), np.frombuffer(data, "<i8", k, 16 + 8 * k), np.frombuffer(data, "<u8", n, 16 + 16 * k)
+    held = _read(fs, path)
+    return held["node"].to_numpy(), held["n"].to_numpy(), np.frombuffer(held["tokens"].buffers()[2], "<u8")
+
+
+def fetch(wanted: DataFrame, folder: str, kind: str, tasks: int) -> DataFrame:
+    """``wanted`` with the columns id and tokens (bytes) of its node in its chunk. Each chunk is read by one task."""
+    out = wanted.withColumns({"id": F.lit(None).cast(kind), "tokens": F.lit(None).cast("binary")}).schema
+    names = out.names
+
+    def run(batches):
+        fs, base = file_system(folder)
+        name, held, places, ends = None, None, {}, None
+        for b in batches:
+            chunks = b.column(b.schema.get_field_index("chunk")).to_numpy()
+            nodes = b.column(b.schema.get_field_index("node")).to_pylist()
+            starts = np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1])) if len(chunks) else []
+            for a, z in zip(starts, [*starts[1:], len(chunks)], strict=True):
+                if chunks[a] != name:
+                    name, places = int(chunks[a]), {}
+                    held = _read(fs, f"{base}/{name}")
+                    sizes = held["n"].to_numpy()
+                    for k, v in enumerate(held["node"].to_pylist()):
+                        places.setdefault(v, []).append(k)
+                both = [(k, at) for k in range(a, z) for at in places[nodes[k]]]
+                ends = np.cumsum([sizes[at] for _, at in both])
+                at = 0
+                while at < len(both):  # some 8 MB at a time
+                    stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20))))
+                    left, right = (pa.array([x[k] for x in both[at:stop]], pa.int64()) for k in (0, 1))
+                    yield pa.RecordBatch.from_arrays([*b.take(left).columns, held["id"].take(right), held["tokens"].take(right).cast(pa.binary())], names)
+                    at = stop
+
+    return wanted.repartition(tasks, "chunk").sortWithinPartitions("chunk").transform(arrow, run, out)
 
 
 def _class(counts: np.ndarray) -> np.ndarray:
@@ -201,7 +237,7 @@ def frequencies(chunks: DataFrame, folder: str, bits: int, tasks: int) -> DataFr
                 for k in range(0, len(starts), 1000):
                     part = list(zip(starts[k : k + 1000].tolist(), ends[k : k + 1000].tolist(), strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(part)), pa.array(bucket[starts[k : k + 1000]], pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in part], pa.binary()) for x in (rest, counts))],
+                        [pa.array([name] * len(part), pa.int64()), pa.array(bucket[starts[k : k + 1000]], pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in part], pa.binary()) for x in (rest, counts))],
                         ["chunk", "bucket", "rest", "counts"],
                     )
 
@@ -215,7 +251,7 @@ def frequencies(chunks: DataFrame, folder: str, bits: int, tasks: int) -> DataFr
             found, k = _class(total)[at], 0
             for chunk, r, _ in held:
                 n = len(r) // 4
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([key], pa.int32()), pa.array([found[k : k + n].tobytes()], pa.binary())], ["chunk", "bucket", "classes"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([key], pa.int32()), pa.array([found[k : k + n].tobytes()], pa.binary())], ["chunk", "bucket", "classes"])
                 k += n
             held.clear()
 
@@ -229,13 +265,13 @@ def frequencies(chunks: DataFrame, folder: str, bits: int, tasks: int) -> DataFr
         if held:
             yield from solve()
 
-    asked = chunks.select("chunk").repartition(tasks).transform(arrow, ask, "chunk string, bucket int, rest binary, counts binary")
-    return asked.repartition(2 << bits, "bucket").sortWithinPartitions("bucket").transform(arrow, answer, "chunk string, bucket int, classes binary")
+    asked = chunks.select("chunk").repartition(tasks).transform(arrow, ask, "chunk long, bucket int, rest binary, counts binary")
+    return asked.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").transform(arrow, answer, "chunk long, bucket int, classes binary")
 
 
 def prefixes(answers: DataFrame, folder: str, tasks: int) -> DataFrame:
-    """(token, node, n, pos) for each prefix shingle of each set that other sets hold, too."""
-    names = ["token", "node", "n", "pos"]
+    """(token, node, n, pos, chunk) for each prefix shingle of each set that other sets hold, too."""
+    names = ["token", "node", "n", "pos", "chunk"]
 
     def rows(name, held, fs, base):
         nodes, sizes, tokens = _read_sets(fs, f"{base}/{name}")
@@ -250,7 +286,7 @@ def prefixes(answers: DataFrame, folder: str, tasks: int) -> DataFrame:
         need = sizes - -(-SHARE * sizes // 100) + 1
         fit = (pos < need[owner]) & (often[order] > 0)
         owner = owner[fit]
-        cols = [tokens[order[fit]].view(np.int64), nodes[owner], sizes[owner].astype(np.int32), pos[fit].astype(np.int32)]
+        cols = [tokens[order[fit]].view(np.int64), nodes[owner], sizes[owner].astype(np.int32), pos[fit].astype(np.int32), np.full(len(owner), name)]
         for k in range(0, len(owner), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in cols], names)
 
@@ -268,7 +304,7 @@ def prefixes(answers: DataFrame, folder: str, tasks: int) -> DataFrame:
             yield from rows(key, held, fs, base)
 
     dealt = answers.repartition(tasks, "chunk").sortWithinPartitions("chunk", "bucket").select("chunk", "classes")
-    return dealt.transform(arrow, run, "token long, node long, n int, pos int")
+    return dealt.transform(arrow, run, "token long, node long, n int, pos int, chunk long")
 
 
 def possible(n1, p1, n2, p2):
@@ -284,13 +320,19 @@ def first_pairs(entries: DataFrame) -> DataFrame:
     """Stream the runs of equal tokens: pairs with the run's first and previous node, and the rows of runs of four or more.
 
     Tasks hold ranges of (token, n, node); the rows of a task's first and last run, which other tasks may share, are given
-    too. Rows of the result: (token, seg, a, b, n, pos); pairs have a null token, rows of runs a null b, and seg is the task.
+    too. Rows of the result: (token, seg, a, ca, b, cb, n, pos); pairs, the first in the order of (n, node) as a, have a null
+    token, rows of runs a null b, and seg is the task.
     """
-    schema = pa.schema([("token", pa.int64()), ("seg", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    names = ["token", "seg", "a", "ca", "b", "cb", "n", "pos"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def rows_batch(**columns):
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in zip(names, types, strict=True)], names)
 
     def run(batches):
         # carried from batch to batch: the rows of the last run while it has three or fewer, else its first and last row
-        pairs, empty = set(), tuple(np.empty(0, np.int64) for _ in range(4))
+        pairs, empty = {}, tuple(np.empty(0, np.int64) for _ in range(5))
         held, going, opening = empty, None, True
         seg = TaskContext.get().partitionId()
 
@@ -302,14 +344,15 @@ def first_pairs(entries: DataFrame) -> DataFrame:
             return tuple(x[keep] for x in rows)
 
         def pair(rows, i, j):
-            _, v, n, p = rows
+            _, v, n, p, c = rows
             ok = possible(n[i], p[i], n[j], p[j]) & (v[i] != v[j])
-            pairs.update(zip(np.minimum(v[i], v[j])[ok].tolist(), np.maximum(v[i], v[j])[ok].tolist(), strict=True))
+            i, j = i[ok], j[ok]
+            pairs.update(zip(zip(v[i].tolist(), v[j].tolist(), strict=True), zip(c[i].tolist(), c[j].tolist(), strict=True), strict=True))
 
         def hot(rows):
-            t, v, n, p = rows
+            t, v, n, p, c = rows
             if len(t):
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), seg, np.int32)), pa.array(v), pa.nulls(len(t), pa.int64()), pa.array(n.astype(np.int32)), pa.array(p.astype(np.int32))], schema=schema)
+                yield rows_batch(token=t, seg=np.full(len(t), seg), a=v, ca=c, n=n, pos=p)
 
         def runs(rows, last):
             """Pairs and rows of whole runs; the last run may go on unless ``last``."""
@@ -339,8 +382,11 @@ def first_pairs(entries: DataFrame) -> DataFrame:
             yield from hot(tuple(x[np.repeat(given, sizes)] for x in rows))
 
         def spill():
-            yield from small_batches(schema, [(None, None, *x, None, None) for x in pairs], 20_000)
+            found = list(pairs.items())
             pairs.clear()
+            for k in range(0, len(found), 20_000):
+                part = found[k : k + 20_000]
+                yield rows_batch(a=[x[0][0] for x in part], b=[x[0][1] for x in part], ca=[x[1][0] for x in part], cb=[x[1][1] for x in part])
 
         for b in batches:
             rows = tuple(c.to_numpy().astype(np.int64) for c in b.columns)
@@ -365,51 +411,36 @@ def first_pairs(entries: DataFrame) -> DataFrame:
         yield from spill()
 
     order = ["token", "n", "node"]
-    return entries.repartitionByRange(*order).sortWithinPartitions(*order).transform(arrow, run, "token long, seg int, a long, b long, n int, pos int")
+    kinds = "token long, seg int, a long, ca long, b long, cb long, n int, pos int"
+    return entries.repartitionByRange(*order).sortWithinPartitions(*order).transform(arrow, run, kinds)
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """The links (u, v) of documents among pairs (a, b) of nodes, verified by whole texts; reps: (node, more, rep), rep being a document's id."""
-    kind = reps.schema["rep"].dataType.simpleString()
-    load = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("load")).select(F.col("a").alias("node"), F.ceil(F.col("load") / SPREAD).cast("int").alias("salts"))
-    load = load.join(reps, "node").select("node", "more", F.col("rep").alias("to"), "salts")
-    dealt = pairs.join(load.select(F.col("node").alias("a"), "to", "salts"), "a").select(F.col("b").alias("node"), "to", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
-    right = dealt.join(reps, "node").select("to", "salt", "role", "node", "more", "rep")
-    left = load.select("to", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "node", "more", F.col("to").alias("rep"))
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text"))
-    sent = left.unionByName(right).join(texts, "rep")
+def verify(pairs: DataFrame, fetched, id_type: pa.DataType, kind: str) -> DataFrame:
+    """The links (u, v) of documents among pairs (a, ca, b, cb) of nodes in chunks, verified by their whole sets."""
+    busy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("load")).where(F.col("load") > SPREAD).select("a", F.ceil(F.col("load") / SPREAD).cast("int").alias("salts"))
+    dealt = pairs.join(busy, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int"))
+    right = dealt.select(F.col("a").alias("to"), "salt", F.lit(1).alias("role"), F.col("b").alias("node"), F.col("cb").alias("chunk"))
+    left = dealt.groupBy(F.col("a").alias("to"), "salt").agg(F.min("ca").alias("chunk")).select("to", "salt", F.lit(0).alias("role"), F.col("to").alias("node"), "chunk")
 
     def run(batches):
-        key, base = None, {}
-        for to, salt, role, node, more, rep, text in rows_of(batches):
+        key, base = None, []
+        for to, salt, role, ids, tokens in rows_of(batches):
             found = []
             for k in range(len(to)):
                 if (to[k], salt[k]) != key:
-                    key, base = (to[k], salt[k]), {}
-                name = (node[k], more[k])
-                if role[k] == 0 and name in base:
-                    continue
-                s = shingles(text[k])
-                if not len(s) or _name(s) != name:  # another row with the same id
-                    continue
+                    key, base = (to[k], salt[k]), []
+                s = np.frombuffer(tokens[k], "<u8")
                 if role[k] == 0:
-                    base[name] = s
-                elif any(linked(x, s) for x in base.values()):
-                    found.append((to[k], rep[k]))
+                    base.append((ids[k], s))
+                else:
+                    found += [(i, ids[k]) for i, x in base if linked(x, s)]
             if found:
                 yield batch_of(found, id_type)
 
-    id_type = _arrow_type(reps, "rep")
-    sent = sent.select("to", "salt", "role", "node", "more", "rep", "text")
+    sent = fetched(left.unionByName(right)).select("to", "salt", "role", "id", "tokens")
     return sent.repartition("to", "salt").sortWithinPartitions("to", "salt", "role").transform(arrow, run, f"u {kind}, v {kind}").distinct()
 
 
-def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(df.schema[column].dataType)
-
-
 def batch_of(links: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], kind) for i in (0, 1)], ["u", "v"])
 
@@ -452,6 +483,7 @@ def _swept(spark: SparkSession):
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
+    kind, id_type = docs.schema[id_col].dataType.simpleString(), _arrow_type(docs, id_col)
     folder, passing = scratch(spark, "chunks"), []
 
     def held(df: DataFrame, name: str) -> DataFrame:
@@ -460,52 +492,52 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
     with _swept(spark):
         made = stored(write_sets(docs, id_col, text, folder), "sets")
-        rows = made.where("chunk IS NULL").select("id", "n_shingles", "node", "more")
-        known = docs.where(F.col(id_col).isNotNull())
+        rows = made.where("size IS NULL").select("id", "n_shingles", "node", "more", "chunk")
         vertices = rows.where("node IS NOT NULL AND id IS NOT NULL")
         reps = stored(vertices.groupBy("node", "more").agg(F.min("id").alias("rep")), "reps")
-        chunks = made.where("chunk IS NOT NULL").select("chunk", "size")
+        chunks = made.where("size IS NOT NULL").select("chunk", "size")
         n, total = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
         bits, tasks = max(0, (total // BUCKET).bit_length()), max(1, min(n, 16 * spark.sparkContext.defaultParallelism))
         entries = held(prefixes(frequencies(chunks, folder, bits, tasks), folder, 3 * tasks), "prefixes")
-        delete(spark, folder)
         found = held(first_pairs(entries), "pairs")
-        first = held(found.where("token IS NULL").select("a", "b").distinct(), "tried")
-        links = held(verify(first, reps, known, id_col, text), "links")
-        runs = found.where("token IS NOT NULL").select("token", "seg", F.col("a").alias("node"), "n", "pos")
-        links = _rest(runs, first, links, reps, known, id_col, text, held)
-        # an id that several sets have ties them together
+
+        def fetched(wanted: DataFrame) -> DataFrame:
+            return fetch(wanted, folder, kind, 3 * tasks)
+
+        first = held(found.where("token IS NULL").groupBy("a", "b").agg(F.min("ca").alias("ca"), F.min("cb").alias("cb")), "tried")
+        # documents of one set in several chunks, and sets that one id has, belong together
+        copies = vertices.where("chunk IS NOT NULL").join(reps, ["node", "more"]).where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
         torn = vertices.groupBy("id").agg(F.min(F.struct("node", "more")).alias("low"), F.max(F.struct("node", "more")).alias("high")).where("low != high").select("id")
         ties = vertices.join(torn, "id").join(reps, ["node", "more"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
-        roots = components(links.unionByName(ties))
+        links = held(verify(first, fetched, id_type, kind).unionByName(copies).unionByName(ties), "links")
+        runs = found.where("token IS NOT NULL").select("token", "seg", F.col("a").alias("node"), F.col("ca").alias("chunk"), "n", "pos")
+        roots = components(_rest(runs, first, links, reps, fetched, id_type, kind, held))
         for df in passing:
             drop_path(spark, df)
+        delete(spark, folder)
     named = reps.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("node", "more", F.coalesce("root", "rep").alias("root"))
     by_id = vertices.join(named, ["node", "more"]).groupBy("id").agg(F.min("root").alias("root"))
     return rows.join(by_id, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
 
 
-def verify_groups(members: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Links (u, v) that join components within groups. members: (token, weight, node, more, rep, part, groups), groups sorted."""
-    kind, id_type = members.schema["rep"].dataType.simpleString(), _arrow_type(members, "rep")
+def verify_groups(members: DataFrame, fetched, id_type: pa.DataType, kind: str) -> DataFrame:
+    """Links (u, v) that join components within groups. members: (token, weight, node, chunk, part, groups), groups sorted."""
     blocks = F.ceil(F.col("weight") / MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = members.select("token", "node", "more", "rep", "part", "groups", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    sent = spread.join(docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text")), "rep")
-    sent = sent.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "more", "rep", "part", "groups", "text")
+    spread = members.select("token", "node", "chunk", "part", "groups", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    wanted = spread.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "chunk", "part", "groups")
 
     def solve(key, rows):
         known: dict[tuple, tuple] = {}
-        for own, node, more, rep, part, groups, t in rows:
-            if (node, more) not in known and len(s := shingles(t)) and _name(s) == (node, more):
-                known[node, more] = (own, part, groups, s, rep)
-        nodes = list(known)
-        n, sizes = len(nodes), np.array([len(known[v][3]) for v in nodes])
+        for own, node, part, groups, i, tokens in rows:
+            known.setdefault((node, tokens), (own, part, groups, np.frombuffer(tokens, "<u8"), i))
+        nodes = list(known.values())
+        n, sizes = len(nodes), np.array([len(v[3]) for v in nodes])
         if n < 2:
             return
-        owns, number = np.array([known[v][0] for v in nodes]), {}
-        parts = np.array([number.setdefault(known[v][1], len(number)) for v in nodes])
-        _, inverse = np.unique(np.concatenate([known[v][3] for v in nodes]), return_inverse=True)
+        owns, number = np.array([v[0] for v in nodes]), {}
+        parts = np.array([number.setdefault(v[1], len(number)) for v in nodes])
+        _, inverse = np.unique(np.concatenate([v[3] for v in nodes]), return_inverse=True)
         holder = np.repeat(np.arange(n), sizes)
         order = np.argsort(inverse, kind="stable")
         posting, at = holder[order], np.concatenate([[0], np.cumsum(np.bincount(inverse))])
@@ -525,12 +557,12 @@ def verify_groups(members: DataFrame, docs: DataFrame, id_col: str, text: str) -
                 fit &= owns != owns[i]
             for j in np.flatnonzero(fit).tolist():
                 # a pair belongs to the first group that it has in common
-                if min(set(known[nodes[i]][2]) & set(known[nodes[j]][2])) != key[0]:
+                if min(set(nodes[i][2]) & set(nodes[j][2])) != key[0]:
                     continue
                 a, b = top(int(parts[i])), top(int(parts[j]))
                 if a != b:
                     root[a] = b
-                    yield known[nodes[i]][4], known[nodes[j]][4]
+                    yield nodes[i][4], nodes[j][4]
 
     def run(batches):
         key, held = None, []
@@ -544,10 +576,11 @@ def verify_groups(members: DataFrame, docs: DataFrame, id_col: str, text: str) -
         if links := list(solve(key, held)):
             yield batch_of(links, id_type)
 
+    sent = fetched(wanted).drop("chunk")
     return sent.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").transform(arrow, run, f"u {kind}, v {kind}").distinct()
 
 
-def _rest(runs: DataFrame, tried: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text: str, held) -> DataFrame:
+def _rest(runs: DataFrame, tried: DataFrame, links: DataFrame, reps: DataFrame, fetched, id_type: pa.DataType, kind: str, held) -> DataFrame:
     """All links, with those between nodes of one run that the first step left in different components."""
 
     def parted(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -559,17 +592,19 @@ def _rest(runs: DataFrame, tried: DataFrame, links: DataFrame, reps: DataFrame,
         mixed = whole.where("low != high").select("token", "size", "weight")
         return named.join(segs.select("token", "seg").join(mixed, "token"), ["token", "seg"])
 
-    names = held(parted(runs.join(reps, "node"), links), "parts")
+    names = held(parted(runs.join(reps.select("node", "rep"), "node"), links), "parts")
     largest = F.array_sort(F.collect_list(F.struct(-F.col("size"), "token")))
     groups = names.where(F.col("size") >= LEAST_RUN).groupBy("node").agg(F.array_sort(F.transform(F.slice(largest, 1, GROUPS), lambda x: x["token"])).alias("groups"))
     names = held(names.join(groups, "node", "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<long>"))), "grouped")
-    members = names.where(F.array_contains("groups", F.col("token"))).select("token", "weight", "node", "more", "rep", "part", "groups")
-    links = links.unionByName(held(verify_groups(members, docs, id_col, text), "links"))
+    members = names.where(F.array_contains("groups", F.col("token"))).select("token", "weight", "node", "chunk", "part", "groups")
+    links = links.unionByName(held(verify_groups(members, fetched, id_type, kind), "links"))
     # two sets that link have lengths of a ratio of at most 4 to 3, so their classes are the same or neighbours
     rest = parted(names.drop("part", "size", "weight"), links).withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.34))).cast("int"))
     x, y = rest.alias("x"), rest.withColumn("class", F.explode(F.array(F.col("class") - 1, "class", F.col("class") + 1))).alias("y")
     fits = possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.part") < F.col("y.part")) & fits & ~F.arrays_overlap("x.groups", "y.groups")
-    pairs = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    pairs = held(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-    return links.unionByName(held(verify(pairs, reps, docs, id_col, text), "links"))
+    one, two = (F.struct(F.col(f"{s}.n"), F.col(f"{s}.node"), F.col(f"{s}.chunk")) for s in "xy")
+    pairs = x.join(y, apart).select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q"))
+    pairs = pairs.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.min("p.chunk").alias("ca"), F.min("q.chunk").alias("cb"))
+    pairs = held(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "tried")
+    return links.unionByName(held(verify(pairs, fetched, id_type, kind), "links"))

@@ -63,28 +63,50 @@ def _entity(kind: int, s: Column) -> Column:
 SPAN = "struct<kind:int,start:int,end:int>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(values: Column, step) -> Column:
+    """For each number of an array what ``step`` (a sum or a maximum) makes of 0 and all before it.
+
+    An array grows by copying, so the numbers are taken in blocks of about the square root of their count: n * sqrt(n).
+    """
+
+    def grown(block: Column) -> Column:
+        first = F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("at"))
+        return F.aggregate(block, first, lambda s, v: F.struct(F.concat(s["a"], F.array(s["at"])).alias("a"), step(s["at"], v).cast("int").alias("at")))
+
+    def whole(width: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(values) - 1, width), lambda k: grown(F.slice(values, k + 1, width)))
+
+        def joined(b: Column) -> Column:
+            moved = lambda x, low: F.transform(x["a"], lambda v: step(low, v).cast("int"))
+            return _let(grown(F.transform(b, lambda x: x["at"]))["a"], lambda before: F.flatten(F.transform(b, lambda x, k: _let(F.get(before, k), lambda low: moved(x, low)))))
+
+        return _let(blocks, joined)
+
+    return F.when(F.size(values) > 0, _let(F.ceil(F.sqrt(F.size(values))).cast("int"), whole)).otherwise(F.array().cast("array<int>"))
+
+
 def _found(kind: int, text: Column) -> Column:
     """(spans, entities) of one kind: pieces between matches give the places."""
     pattern = PATTERNS[kind]
 
     def of(cut: Column) -> Column:
         pieces, matches = cut["p"], cut["m"]
-        first = F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("at"))
-        starts = F.aggregate(
-            F.sequence(F.lit(0), F.size(matches) - 1), first,
-            lambda s, i: F.struct(F.concat(s["a"], F.array((s["at"] + F.char_length(F.get(pieces, i))).cast("int"))).alias("a"), (s["at"] + F.char_length(F.get(pieces, i)) + F.char_length(F.get(matches, i))).cast("int").alias("at")),
-            lambda s: s["a"],
-        )
+        lengths = F.transform(matches, lambda m, i: (F.char_length(F.get(pieces, i)) + F.char_length(m)).cast("int"))
 
-        def located(at: Column) -> Column:
+        def located(before: Column) -> Column:
             def one(m: Column, i: Column) -> Column:
-                start, end = F.get(at, i), (F.get(at, i) + F.char_length(m)).cast("int")
-                return F.struct(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end")).alias("span"), _entity(kind, m).alias("entity"), _holds(kind, m).alias("holds"))
+                start = (F.get(before, i) + F.char_length(F.get(pieces, i))).cast("int")
+                return F.struct(F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.char_length(m)).cast("int").alias("end")).alias("span"), _entity(kind, m).alias("entity"), _holds(kind, m).alias("holds"))
 
             good = F.filter(F.transform(matches, one), lambda x: x["holds"])
-            return F.get(F.transform(F.array(good), lambda g: F.struct(F.transform(g, lambda x: x["span"]).alias("spans"), F.array_distinct(F.transform(g, lambda x: x["entity"])).alias("entities"))), F.lit(0))
+            return _let(good, lambda g: F.struct(F.transform(g, lambda x: x["span"]).alias("spans"), F.array_distinct(F.transform(g, lambda x: x["entity"])).alias("entities")))
 
-        return F.get(F.transform(F.array(starts), located), F.lit(0))
+        return _let(_let(lengths, lambda n: _scan(n, lambda a, v: a + v)), located)
 
     cut = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"))
     none = F.struct(F.array().cast(f"array<{SPAN}>").alias("spans"), F.array().cast("array<string>").alias("entities"))
@@ -156,30 +178,52 @@ def spelled(spans: Column) -> Column:
 
 def blanked(text: Column, spans: Column) -> Column:
     """The text with blanks in the place of each span."""
-    return replaced(text, spans, lambda s, at: F.repeat(F.lit(" "), s["end"] - F.greatest(at, s["start"])))
+    return replaced(text, spans, lambda s, at, word: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(at, s["start"]), F.lit(0))))
 
 
-def _named(s: Column, word: Column) -> Column:
-    return F.when(s["kind"] < 4, F.concat(F.lit("["), F.upper(F.get(F.array(*map(F.lit, KINDS)), s["kind"])), F.lit("]"))).when(word.rlike("[0-9]"), F.lit("[CODE]")).otherwise(F.lit("[TERM]"))
+def _named(s: Column, at: Column, word: Column) -> Column:
+    name = F.when(s["kind"] < 4, F.concat(F.lit("["), F.upper(F.get(F.array(*map(F.lit, KINDS)), s["kind"])), F.lit("]"))).when(word.rlike("[0-9]"), F.lit("[CODE]")).otherwise(F.lit("[TERM]"))
+    return F.when(s["start"] >= at, name).otherwise(F.lit(""))
 
 
-def replaced(text: Column, spans: Column, blank=None) -> Column:
-    """The text with each span, or run of overlapping spans, replaced by its kind's name in brackets.
+def replaced(text: Column, spans: Column, name=_named) -> Column:
+    """The text with each span replaced by what ``name`` gives for it, the end of those before it and its characters; by
+    default its kind in brackets, and nothing for one that overlaps with a span before it.
 
-    With ``blank``, by what that gives for a span and the end of those before; the rest of an overlapping span too.
+    A string is read from its start to find a place in it, so the text is cut into about as many parts as the square root
+    of the spans' count, and the spans of a part are replaced in it: time grows with length * sqrt(spans).
     """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def add(a: Column, s: Column) -> Column:
-        word = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        if blank is None:
-            out = F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), _named(s, word))).otherwise(a["out"])
-        else:
-            out = F.concat(a["out"], F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), blank(s, a["at"]))
-        return F.struct(out.alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+    def whole(ordered: Column) -> Column:
+        def placed(before: Column) -> Column:
+            """before: where the text of a span begins, the greatest end of all spans before it."""
+
+            def part(k: Column, width: Column) -> Column:
+                own, places = F.slice(ordered, k + 1, width), F.slice(before, k + 1, width)
+                low = F.get(before, k)
+                high = F.get(before, k + width)  # null behind the last span
+
+                def of(chunk: Column) -> Column:
+                    def one(s: Column, i: Column) -> Column:
+                        at = F.get(places, i)
+                        kept = F.substring(chunk, at - low + 1, F.greatest(s["start"] - at, F.lit(0)))
+                        return F.concat(kept, name(s, at, F.substring(chunk, s["start"] - low + 1, s["end"] - s["start"])))
+
+                    return F.array_join(F.transform(own, one), "")
+
+                # a span that overlaps with one of an earlier part starts before ``low``; nothing is named for it
+                return _let(F.substring(text, low + 1, F.coalesce(high, F.char_length(text)) - low), of)
+
+            def parts(width: Column) -> Column:
+                return F.array_join(F.transform(F.sequence(F.lit(0), F.size(ordered) - 1, width), lambda k: part(k, width)), "")
+
+            last = F.greatest(F.element_at(before, -1), F.element_at(ordered, -1)["end"])
+            return F.concat(_let(F.ceil(F.sqrt(F.size(ordered))).cast("int"), parts), F.substring(text, last + 1, F.char_length(text)))
+
+        return _let(_let(F.transform(ordered, lambda s: s["end"]), lambda e: _scan(e, F.greatest)), placed)
 
-    return F.aggregate(ordered, first, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, _let(ordered, whole)).otherwise(text)
 
 
 def sanitise(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:

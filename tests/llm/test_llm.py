@@ -582,3 +582,98 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none):
         assert rows(stage(spark, none, SMALL)) == [], name
     left = cp.near_duplicates(spark, odd, SMALL)
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 6, 7, 8]
+
+
+def test_op2_many_mentions(spark):
+    """Time grows little faster than the text: twice the mentions may take three times as long, not four."""
+    rng = random.Random(9)
+    mention = lambda k: rng.choice([f"u{k}@lab.example", f"10.0.{k % 256}.{k % 200}", "+49 30 1234567", "4539578763621486"])
+    times = []
+    for n in (25_000, 50_000):
+        text = " ".join(f"word é😀 {mention(k)}," for k in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.time()
+        found = pii.detect(df).select("spans", pii.replaced(F.col("doc.text"), F.col("spans")).alias("new"), pii.blanked(F.col("doc.text"), F.col("spans")).alias("blank")).first()
+        times.append(time.time() - start)
+        assert ",".join(f"{pii.KINDS[s.kind]}:{s.start}:{s.end}" for s in found.spans) == base(text)
+        new, blank, at = [], [], 0
+        for a, b, kind in sorted((s.start, s.end, s.kind) for s in found.spans):
+            if a >= at:
+                new += [text[at:a], f"[{pii.KINDS[kind].upper()}]"]
+            blank += [text[at:a], " " * max(0, b - max(a, at))]
+            at = max(at, b)
+        assert found.new == "".join(new) + text[at:] and found.blank == "".join(blank) + text[at:]
+    assert times[1] < 120 and times[1] < 3.5 * times[0] + 5
+
+
+def test_replaced_against_brute_force(spark):
+    rng = random.Random(12)
+    data = []
+    for k in range(200):
+        text = "".join(rng.choices("abé😀 \n1", k=rng.randint(0, 40)))
+        spans = [(rng.randint(0, 4), a, b) for _ in range(rng.randint(0, 12)) for a, b in [sorted((rng.randint(0, len(text)), rng.randint(0, len(text))))] if a < b]
+        data.append((k, text, spans))
+    df = spark.createDataFrame(data, "k long, text string, spans array<struct<kind:int,start:int,end:int>>")
+    found = {r.k: (r.new, r.blank) for r in df.select("k", pii.replaced(F.col("text"), F.col("spans")).alias("new"), pii.blanked(F.col("text"), F.col("spans")).alias("blank")).collect()}
+    for k, text, spans in data:
+        new, blank, at = [], [], 0
+        for a, b, kind in sorted((a, b, kind) for kind, a, b in spans):
+            if a >= at:
+                name = pii.KINDS[kind].upper() if kind < 4 else "CODE" if re.search("[0-9]", text[a:b]) else "TERM"
+                new += [text[at:a], f"[{name}]"]
+            else:
+                new.append(text[at:a])
+            blank += [text[at:a], " " * max(0, b - max(a, at))]
+            at = max(at, b)
+        assert found[k] == ("".join(new) + text[at:], "".join(blank) + text[at:])
+
+
+def test_op2_against_brute_force(spark):
+    """All spans by a plain reading of the method: df and j over whole texts, contexts, thresholds."""
+    import math
+
+    rng = random.Random(13)
+    people, common = [f"name{k}" for k in "abcdefgh"], [f"w{k}" for k in range(40)]
+    texts = []
+    for _ in range(400):
+        ws = rng.choices(common, k=rng.randint(3, 25))
+        if rng.random() < 0.3:
+            k = rng.randrange(8)
+            ws.insert(rng.randrange(len(ws)), f"{people[k]}@lab.example")
+            if rng.random() < 0.8:
+                ws.insert(rng.randrange(len(ws)), people[k].title() + rng.choice(["", ",", "-x"]))
+        elif rng.random() < 0.05:
+            ws.insert(rng.randrange(len(ws)), rng.choice(people))
+        texts.append(" ".join(ws))
+    texts += texts[:20] + ["", None, "only ten@lab.example here"]
+    n = len(texts)
+    terms, entities, words = [], [], []
+    for t in texts:
+        t = t or ""
+        found = [m.span() for m in re.finditer(PATTERNS[0][1], t)]
+        blank = "".join(" " if any(a <= i < b for a, b in found) else c for i, c in enumerate(t))
+        entities.append({t[a:b].lower() for a, b in found})
+        words.append([(m[0].lower(), m.span()) for m in re.finditer(r"[\w'-]+", blank)])
+        terms.append({w for w in re.split(r"[^\w'-]+", t.lower()) if w})
+    df_t = {w: sum(w in ts for ts in terms) for ws in words for w, _ in ws}
+    want = []
+    pairs = set()
+    for e in set().union(*entities):
+        rows_ = [k for k in range(n) if e in entities[k]]
+        if not 2 <= len(rows_) < n:
+            continue
+        for w in {w for k in rows_ for w, _ in words[k]}:
+            with_w = [k for k in rows_ if w in {x for x, _ in words[k]}]
+            near = set()
+            for k in with_w:
+                ws = [x for x, _ in words[k]]
+                near |= {tuple(ws[max(0, i - 5) : i + 6]) for i, x in enumerate(ws) if x == w}
+            bits = math.log2(n * len(with_w) / (len(rows_) * df_t[w])) if len(with_w) > 1 else -1
+            if re.search(r"[^\W\d_]", w) and len(with_w) >= 2 and len(near) > 1 and bits >= 0.8 * math.log2(n / len(rows_)):
+                pairs.add((e, w))
+    for k in range(n):
+        sought = {w for e, w in pairs if e in entities[k]}
+        want.append(sorted(span for w, span in words[k] if w in sought))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: sorted((s.start, s.end) for s in r.spans if s.kind == 4) for r in pii.find(df).collect()}
+    assert sum(map(len, want)) > 20 and found == dict(enumerate(want))

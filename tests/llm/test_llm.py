@@ -313,8 +313,8 @@ def test_long_attribute_values():
         assert template.main_text(page) == "before after"
     assert template.main_text("<body><div class='a>one</div><p>two</p>") == "one two"
     start = time.process_time()
-    template.parse("<a href=\"x' " * 40_000)
-    template.parse("<a b='" + "<a c=\"'" * 40_000)
+    template.Page("<a href=\"x' " * 40_000)
+    template.Page("<a b='" + "<a c=\"'" * 40_000)
     assert time.process_time() - start < 20
 
 
@@ -677,3 +677,61 @@ def test_op2_against_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     found = {r.doc_id: sorted((s.start, s.end) for s in r.spans if s.kind == 4) for r in pii.find(df).collect()}
     assert sum(map(len, want)) > 20 and found == dict(enumerate(want))
+
+
+def test_names_have_no_veto_over_articles():
+    article = "<article><h2 id='comment-on-law'>On law</h2><p>All about law.</p><p class='ad-free promotion'>Free.</p><div class='search-results'>Found</div></article>"
+    want = "On law All about law. Free. Found"
+    assert template.main_text(f"<body><div id='legal'>{article}</div></body>") == want
+    assert template.main_text(f"<body><div class='notice'>{article}</div></body>") == want
+    junk = "<nav>x</nav><div class='ad'>x</div><section class='comments'><article>Nice!</article></section><div id='cookie-notice'>x</div><div class='left-sidebar'>x</div><div class='social share-buttons'>x</div><p class='ad'>x</p><form>x</form>"
+    assert template.main_text(f"<body>{junk}<main><h1>H</h1>{junk}<p>Text</p></main><footer>x</footer></body>") == "H Text"
+
+
+SOUP = "<html><body><div class='x1'><div>{menu}</div></div><div class='x2'><div class='y'><div class='z{k}'>{parts}</div></div><div class='w'>{other}</div></div><div class='x3'>{end}</div></body></html>"
+
+
+def test_templates_decide_where_names_do_not(spark):
+    """Pages without telling names: a place of the template holds the text, on every page of hosts of three or more."""
+    rng = random.Random(21)
+    say = lambda n: " ".join(rng.choices(["law", "sea", "sun", "red", "old", "ten"], k=n)) + f" {rng.random()}."
+    pages, want = [], {}
+    for h, n in (("a", 12), ("b", 3), ("c", 2)):
+        for k in range(n):
+            parts = [say(rng.randint(5, 30)) for _ in range(rng.randint(1, 6))]
+            page = SOUP.format(k=k, menu="".join(f"<a href='/{j}'>{say(2)}</a> " for j in range(6)), parts="".join(f"<p>{p}</p>" for p in parts), other=say(2), end=say(2))
+            pages.append((len(pages), f"http://{h}.example/{k}", page))
+            want[len(pages) - 1] = " ".join(parts) if n >= template.LEAST_PAGES else None
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    found = {r.page_id: r.text for r in template.extract(df).collect()}
+    decided = sum(found[k] != template.main_text(page) for k, _, page in pages)
+    assert decided == 15
+    for k, text in want.items():
+        assert text is None or found[k] == text
+
+    # the template by brute force: vectors of tags over a host's pages, its places and their nesting
+    for h, n in (("a", 12), ("b", 3)):
+        parsed = [template.Page(page) for _, url, page in pages if url.startswith(f"http://{h}.")]
+        vectors: dict = {}
+        for j, p in enumerate(parsed):
+            for e in p.elements[1:]:
+                vectors.setdefault(e.path, [0] * n)[j] += 1
+            for path in p.voids:
+                vectors.setdefault(path, [0] * n)[j] += 1
+        once = {v for v, x in vectors.items() if max(x) == 1 and sum(x) >= max(template.LEAST_PAGES, template.LEAST_SHARE * n)}
+        chars = dict.fromkeys(once, 0)
+        parent = {}
+        for p in parsed:
+            for k, e in enumerate(p.elements):
+                if e.path in once:
+                    parent[e.path] = p.elements[e.parent].path
+                    chars[e.path] += sum(len(s) - links for s, _, i, links in p.blocks if k <= i < e.end)
+        place = 0
+        while inner := [v for v in once if parent[v] == place]:
+            nxt = max(inner, key=chars.get)
+            if place and chars[nxt] < template.MAIN_SHARE * chars[place]:
+                break
+            place = nxt
+        rows_ = [r for r in template.templates(df).collect() if r.host == f"{h}.example"]
+        assert [r.place for r in rows_] == [place]
+        assert parsed[0].elements[next(k for k, e in enumerate(parsed[0].elements) if e.path == place)].name == "div"

@@ -52,6 +52,8 @@ WORDS, SHARE = 5, 75
 CHUNK, BUCKET = 1 << 21, 1 << 22
 #: Pairs of one node that a task verifies at most.
 SPREAD = 500
+#: Nodes with more pairs than that which are broadcast at most (12 bytes each).
+FEW = 100_000
 #: Groups of a node, least rows of a run that makes a group, and shingles of a block.
 GROUPS, LEAST_RUN, MEMBERS = 6, 8, 1 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "<u8")
@@ -415,9 +417,12 @@ def first_pairs(entries: DataFrame) -> DataFrame:
     return entries.repartitionByRange(*order).sortWithinPartitions(*order).transform(arrow, run, kinds)
 
 
-def verify(pairs: DataFrame, fetched, id_type: pa.DataType, kind: str) -> DataFrame:
+def verify(pairs: DataFrame, fetched, id_type: pa.DataType, kind: str, held) -> DataFrame:
     """The links (u, v) of documents among pairs (a, ca, b, cb) of nodes in chunks, verified by their whole sets."""
     busy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("load")).where(F.col("load") > SPREAD).select("a", F.ceil(F.col("load") / SPREAD).cast("int").alias("salts"))
+    busy = held(busy, "busy")
+    if busy.count() <= FEW:  # else Spark sorts both sides
+        busy = F.broadcast(busy)
     dealt = pairs.join(busy, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int"))
     right = dealt.select(F.col("a").alias("to"), "salt", F.lit(1).alias("role"), F.col("b").alias("node"), F.col("cb").alias("chunk"))
     left = dealt.groupBy(F.col("a").alias("to"), "salt").agg(F.min("ca").alias("chunk")).select("to", "salt", F.lit(0).alias("role"), F.col("to").alias("node"), "chunk")
@@ -509,7 +514,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
         copies = vertices.where("chunk IS NOT NULL").join(reps, ["node", "more"]).where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
         torn = vertices.groupBy("id").agg(F.min(F.struct("node", "more")).alias("low"), F.max(F.struct("node", "more")).alias("high")).where("low != high").select("id")
         ties = vertices.join(torn, "id").join(reps, ["node", "more"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
-        links = held(verify(first, fetched, id_type, kind).unionByName(copies).unionByName(ties), "links")
+        links = held(verify(first, fetched, id_type, kind, held).unionByName(copies).unionByName(ties), "links")
         runs = found.where("token IS NOT NULL").select("token", "seg", F.col("a").alias("node"), F.col("ca").alias("chunk"), "n", "pos")
         roots = components(_rest(runs, first, links, reps, fetched, id_type, kind, held))
         for df in passing:
@@ -607,4 +612,4 @@ def _rest(runs: DataFrame, tried: DataFrame, links: DataFrame, reps: DataFrame,
     pairs = x.join(y, apart).select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q"))
     pairs = pairs.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.min("p.chunk").alias("ca"), F.min("q.chunk").alias("cb"))
     pairs = held(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "tried")
-    return links.unionByName(held(verify(pairs, fetched, id_type, kind), "links"))
+    return links.unionByName(held(verify(pairs, fetched, id_type, kind, held), "links"))

@@ -30,10 +30,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates; rows that repeat an id go, rows without an id stay."""
-    first = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group of near duplicates: that of least id (rows without an id are last), and of least hash of its
+    text where ids repeat. Rows that repeat both are one; rows of different texts under one id are told apart."""
+    place = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    text = F.when(F.col("text").isNull(), "-").otherwise(F.hex(F.xxhash64("text")))
+    keyed = docs.withColumn("__key", F.concat(F.coalesce(place, F.lit("none")), F.lit(":"), text))
+    first = jaccard.join(keyed, "__key").where("__key = component_id").select("__key").distinct()
+    return keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -578,10 +578,63 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none):
     import corpus_pipeline as cp
 
     for name, stage in cp.STAGES[:-1]:
-        assert stage(spark, odd, SMALL).columns == odd.columns, name
+        after = stage(spark, odd, SMALL)
+        assert after.columns == odd.columns, name
+        found = after.collect()
+        if name in ("language", "quality"):
+            assert {tuple(r) for r in found} <= {tuple(r) for r in odd.collect()}, name
         assert rows(stage(spark, none, SMALL)) == [], name
     left = cp.near_duplicates(spark, odd, SMALL)
-    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 6, 7, 8]
+    assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in left.collect()) == [(1, ""), (2, ""), (3, odd.where("doc_id = 3").first().text[:5]), (4, "one t"), (6, " \n\t "), (7, "123 !"), (8, "a@b.c"), (8, "other")]
+    assert {r.doc_id for r in cp.rules(spark, odd, SMALL).collect()} <= {3}
+    done = sorted(((r.doc_id or 0, r.text or "", r.n_chars) for r in cp.personal_data(spark, odd, SMALL).collect()), key=str)
+    assert len(done) == odd.count() and any(t.startswith("[EMAIL] <|") and n == len(t) for _, t, n in done)
+    assert sorted(t for i, t, _ in done if i not in (8,)) == sorted(r.text or "" for r in odd.collect() if r.doc_id != 8)
+    packed = cp.sequences(spark, odd, SMALL).collect()
+    assert sum(p.start == 0 for p in packed) == odd.count()
+
+
+def test_op8_on_odd_rows(spark, odd):
+    found = quality.ledger(odd).collect()
+    assert len(found) == odd.count()
+    for r in found:
+        t = r.doc.text or ""
+        ws = re.findall("[^\x20\x09-\x0d]+", t)
+        assert (r.n_words, r.word_chars, r.doc.component_id) == (len(ws), sum(map(len, ws)), 7)
+
+
+def test_shared_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace
+
+    from relspark.llm import common
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        common.shared_dir(far)
+
+
+def test_once_only_shingles_are_told(spark, tmp_path):
+    """Rare-first is real: under 5 % of the shingles that one set holds count as more frequent, whatever the buckets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    folder = f"file://{tmp_path}/chunks"
+    made = jaccard.stored(jaccard.write_sets(docs, "doc_id", "text", folder), "sets")
+    chunks = made.where("size IS NOT NULL").select("chunk", "size")
+    entries = jaccard.prefixes(jaccard.frequencies(chunks, folder, 3, 4), folder, 4)
+    found = {(r.token, r.n, r.pos) for r in entries.collect()}
+    held: dict = {}
+    sets = {tuple(jaccard.shingles(t).tolist()) for t, in rows(docs.select("text")) if t}
+    for s in sets:
+        for x in s:
+            held[x] = held.get(x, 0) + 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    dealt, once = {t for t, _, _ in found}, [x for x, n in held.items() if n == 1]
+    assert len(once) > 100_000 and sum(signed(x) in dealt for x in once) < 0.05 * len(once)
+    # and no set's prefix lacks a shingle that others hold
+    for s in sets:
+        order = sorted(s, key=lambda x: (held[x], x))
+        need = len(s) - -(-75 * len(s) // 100) + 1
+        for x in order[:need]:
+            assert held[x] == 1 or signed(x) in dealt
 
 
 def test_op2_many_mentions(spark):

@@ -15,7 +15,7 @@ __all__ = [
     "cast_as_integer", "cast_as_string", "concat", "cos", "datetime", "day", "div", "div_float", "exp", "finite", "format_", "glob_regex",
     "hour", "if_then_else", "index_of", "like", "ln", "local_to_utc", "log", "lower", "minute", "mod", "month", "mul_float", "not_", "now",
     "now_utc", "or_", "power", "regex_like", "second", "serialize", "set_component", "sin", "sqrt", "starts_with", "strfind_b", "strlen", "strlen_b", "sub_float",
-    "substr", "substr_b", "tuple_", "tuple_at", "tuple_extend", "tuple_project", "tuple_remove", "tuple_rename", "tuple_union", "upper", "weekday", "xor", "year",
+    "posix_regex", "substr", "substr_b", "tuple_", "tuple_at", "tuple_extend", "tuple_project", "tuple_remove", "tuple_rename", "tuple_union", "upper", "weekday", "xor", "year",
 ]
 
 
@@ -79,6 +79,29 @@ def starts_with(s, prefix) -> Column:
     return F.startswith(_c(s), _c(prefix))
 
 
+#: Named character classes and Java's names of them.
+POSIX = {
+    "alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "punct": r"\p{Punct}",
+    "graph": r"\p{Graph}", "print": r"\p{Print}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "xdigit": r"\p{XDigit}", "space": r"\s",
+}
+
+
+def posix_regex(pattern: str) -> str:
+    """A pattern with named classes inside brackets in Java's notation; there, brackets, && and backslashes are escaped."""
+
+    def bracket(m: re.Match) -> str:
+        negated, first, body = m[1], m[2], m[3]
+        out = []
+        for part in re.split(r"(\[:[a-z]+:\])", body):
+            if part[:2] == "[:" and part[2:-2] in POSIX:
+                out.append(POSIX[part[2:-2]])
+            else:
+                out.append(re.sub(r"([\[&\\])", r"\\\1", part))
+        return f"[{negated}{'\\]' if first else ''}{''.join(out)}]"
+
+    return re.sub(r"(?<!\\)\[(\^?)(\]?)((?:\[:[a-z]+:\]|[^\]])*)\]", bracket, pattern)
+
+
 def glob_regex(pattern: str) -> str:
     """The anchored regular expression of a glob: ? one character, * any run, [..] a class; nothing escapes."""
     out, k = [], 0
@@ -100,13 +123,19 @@ def glob_regex(pattern: str) -> str:
     return f"(?s)^{''.join(out)}\\z"
 
 
-def like(s, pattern: str) -> Column:
-    return _c(s).rlike(glob_regex(pattern))
+def like(s, pattern) -> Column:
+    """Whether a glob fits the whole string; one that rows give is translated in the plan."""
+    if isinstance(pattern, str):
+        return _c(s).rlike(glob_regex(pattern))
+    p = F.regexp_replace(pattern, r"([\\.^$|(){}+&])", r"\\$1")
+    for old, new in ((r"\[(?![!^]?.[^\]]*\])", r"\\["), (r"\[(?:!|\\\^)", "[^"), (r"\*", ".*"), (r"\?", ".")):
+        p = F.regexp_replace(p, old, new)
+    return F.rlike(_c(s), F.concat(F.lit("(?s)^"), p, F.lit("\\z")))
 
 
 def regex_like(s, pattern) -> Column:
-    """Whether the pattern is found anywhere."""
-    return F.rlike(_c(s), _c(pattern))
+    """Whether the pattern is found anywhere; classes such as [:digit:] are of ASCII."""
+    return F.rlike(_c(s), F.lit(posix_regex(pattern)) if isinstance(pattern, str) else _c(pattern))
 
 
 def lower(s) -> Column:
@@ -156,9 +185,10 @@ def div_float(a, b) -> Column:
 
 
 def div(a, b) -> Column:
-    """Integer division that truncates; by zero it is an error."""
+    """Integer division that truncates, 64 bits wide; by zero it is an error."""
     a, b = _c(a), _c(b)
-    return guarded(b != 0, F.call_function("div", a, F.when(b == 0, F.lit(1)).otherwise(b)).cast("int"), "int")
+    some = F.when(b == 0, F.lit(1)).otherwise(b)
+    return guarded(b != 0, F.call_function("div", a, some), "long")
 
 
 def mod(a, b) -> Column:
@@ -232,8 +262,14 @@ def if_then_else(test, yes, no) -> Column:
 
 
 def cast_as_integer(a) -> Column:
-    """Floats are truncated; what is out of range or not a number is an error."""
-    return _c(a).cast("int")
+    """Floats are truncated; what is out of range or not a number, blanks included, is an error."""
+    a = _c(a)
+    return F.when(_blank(a), _fail("invalid_argument_error", "int")).otherwise(a.cast("int"))
+
+
+def _blank(a: Column) -> Column:
+    """Whether a string's number would have white space around it."""
+    return a.cast("string").rlike(r"^\s|\s$")
 
 
 def cast_as_float(a) -> Column:

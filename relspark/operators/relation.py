@@ -19,6 +19,8 @@ from ..types import heading, ordered, same_heading, type_name
 from .aggregates import Aggregate
 
 Key = frozenset
+#: Rounds of a transitive closure that are kept apart at most.
+ROUNDS = 16
 
 
 def _least(keys: Iterable[frozenset]) -> list[frozenset]:
@@ -168,8 +170,21 @@ class Relation:
         return Relation(df, keys)
 
     def divide(self, other: Relation, per: Relation) -> Relation:
-        """Small divide: tuples for which every joinable tuple of ``other`` gives a combination matched in ``per``."""
-        return self.not_matching(self.join(other).not_matching(per))
+        """Small divide: tuples for which every joinable tuple of ``other`` gives a combination matched in ``per``.
+
+        Where the two have no attribute in common, every tuple is joinable: the distinct tuples of ``other`` that a tuple is
+        matched with in ``per`` are counted and compared with how many there are, without making the product.
+        """
+        mine, others = self._common(per), other._common(per)
+        if self._common(other) or not mine or not others:
+            return self.not_matching(self.join(other).not_matching(per))
+        wanted = other.project(*others)
+        held = per.project(*mine, *others).matching(wanted).df.groupBy(*[F.col(f"`{n}`").alias(f"__{k}") for k, n in enumerate(mine)]).agg(F.count(F.lit(1)).alias("__n"))
+        match = F.lit(True)
+        for k, n in enumerate(mine):
+            match = match & (F.col(f"`{n}`") == F.col(f"__{k}"))
+        rows = self.df.join(held, match, "left").where(F.coalesce("__n", F.lit(0)) == wanted.df.agg(F.count(F.lit(1))).scalar())
+        return Relation(rows.select(*self._cols()), self.keys)
 
     # summarizing
 
@@ -212,7 +227,9 @@ class Relation:
         """
         a = F.col(f"`{self._known([attribute])[0]}`")
         counts = self.df.groupBy(a.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-        parts = counts.repartitionByRange("__v").withColumn("__p", F.spark_partition_id())
+        # stored, as the ranges must be the same in both branches below
+        _checkpoints(self.df.sparkSession)
+        parts = counts.repartitionByRange("__v").withColumn("__p", F.spark_partition_id()).checkpoint()
         before = F.sum("__c").over(W.partitionBy("__p").orderBy("__v")) - F.col("__c")
         totals = parts.groupBy("__p").agg(F.sum("__c").alias("__t"))
         base = totals.select("__p", (F.sum("__t").over(W.orderBy("__p")) - F.col("__t")).alias("__b"))
@@ -254,7 +271,8 @@ class Relation:
     def tclose(self) -> Relation:
         """Transitive closure of a relation of two attributes of one type, in rounds over what is new.
 
-        Each round is written by checkpoint() to the shared folder, so lineage stays short and a lost executor costs nothing.
+        Each round writes only what is new, by checkpoint() to the shared folder, so lineage stays short and a lost executor
+        costs nothing; what was found is the union of the rounds, put into one every ``ROUNDS`` of them.
         """
         if len(self.df.columns) != 2 or len({f.dataType.simpleString() for f in self.df.schema.fields}) != 1:
             raise InvalidArgument("tclose needs two attributes of the same type")
@@ -262,10 +280,14 @@ class Relation:
         _checkpoints(self.df.sparkSession)
         step = self.df.select(F.col(f"`{a}`").alias("__m"), F.col(f"`{b}`").alias(b))
         found = new = self.df.checkpoint()
+        rounds = 0
         while not new.isEmpty():
             next_ = new.select(F.col(f"`{a}`").alias(a), F.col(f"`{b}`").alias("__m")).join(step, "__m").select(a, b).distinct()
             new = next_.join(found, [a, b], "left_anti").checkpoint()
-            found = found.unionByName(new).checkpoint()
+            found = found.unionByName(new)
+            rounds += 1
+            if rounds % ROUNDS == 0:
+                found = found.checkpoint()
         return Relation(found)
 
     # tests and values
@@ -326,11 +348,14 @@ class Relation:
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """A folder for checkpoint(): spark.checkpoint.dir; only where it is unset, one for this session."""
+    """A folder for checkpoint(): spark.checkpoint.dir; only where it is unset in local mode, one for this session."""
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/relspark-{uuid.uuid4().hex}")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise InvalidArgument("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or f"{tempfile.gettempdir()}/relspark-{uuid.uuid4().hex}")
 
 
 def relation(spark: SparkSession, rows: Iterable, schema: str | T.StructType, keys: Iterable[Iterable[str]] | None = None) -> Relation:

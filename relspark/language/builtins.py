@@ -91,15 +91,10 @@ def find(name: str, kinds: str):
     return None
 
 
-def like(s, pattern):
-    """``pattern``: a Python string."""
-    return fn.like(s, pattern)
-
-
 def index_in(k: int, n: int) -> int:
     if not 0 <= k < n:
         raise InvalidArgument(f"index {k} of an array of {n}")
     return k
 
 
-__all__ = ["FAST", "OPERATORS", "TYPES", "F", "find", "index_in", "letter", "like"]
+__all__ = ["FAST", "OPERATORS", "TYPES", "F", "find", "index_in", "letter"]

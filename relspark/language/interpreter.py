@@ -104,10 +104,10 @@ class Session:
     def set_var(self, name: str, value) -> None:
         self.scopes[0][name] = value if isinstance(value, (Relation, Val)) else Val(type_of(value), value)
 
-    def attach(self, folder: str, *names: str) -> Session:
-        """Parquet tables as read-only names, without copying them."""
+    def attach(self, folder: str, *names: str, keys: dict | None = None) -> Session:
+        """Parquet tables as read-only names, without copying them; ``keys``: candidate keys by name."""
         for n in names:
-            self.scopes[0][n] = table(self.spark, folder, n)
+            self.scopes[0][n] = table(self.spark, folder, n, (keys or {}).get(n))
         return self
 
     # names and types
@@ -345,9 +345,9 @@ class Session:
             return v if name == "=" else self.apply("not", [v])
         if name in ("like",):
             s, pattern = self.scalars(n[2], scope)
-            if not pattern.known or not isinstance(pattern.value, str):
-                raise NotSupported("LIKE needs a pattern known before the rows are read")
-            return Val(T.BooleanType(), col=builtins.like(s.column(), pattern.value))
+            if not isinstance(pattern.t, T.StringType) or not isinstance(s.t, T.StringType):
+                raise TypeMismatch("LIKE needs strings")
+            return Val(T.BooleanType(), col=fn.like(s.column(), pattern.value if pattern.known else pattern.column()))
         args = self.scalars(n[2], scope)
         if name in ("<", "<=", ">", ">=") and self.ops.get("cmp"):
             try:
@@ -377,6 +377,8 @@ class Session:
             raise OperatorNotFound(f"{name}({', '.join(type_name(a.t) for a in args)})")
         result, f = found
         t = builtins.TYPES[result]
+        if name == "regex_like" and args[1].known:
+            return Val(t, col=f(args[0].column(), args[1].value))
         if result == "i" and any(isinstance(a.t, T.LongType) for a in args):
             t = T.LongType()
         if fast and all(a.known for a in args):
@@ -462,7 +464,16 @@ class Session:
         return Val(T.IntegerType(), col=fn.index_of(a.column(), x.column()))
 
     def f_format(self, pattern, *args, scope=None):
-        return Val(T.StringType(), col=fn.format_(self.force(pattern).value, *[a.column() for a in args]))
+        wanted = self.force(pattern).value
+        if not isinstance(wanted, str):
+            raise TypeMismatch("FORMAT needs a string")
+        specs = [m[0][-1] for m in re.finditer(r"%[-+ 0#]*\d*(?:\.\d+)?([doxXuseEfgG])|%%", wanted) if m[0] != "%%"]
+        if len(specs) > len(args):
+            raise InvalidArgument("FORMAT: an argument is missing")
+        for spec, a in zip(specs, args, strict=False):
+            if builtins.letter(a.t) != ("s" if spec == "s" else "d" if spec in "eEfgG" else "i"):
+                raise TypeMismatch(f"FORMAT: %{spec} of {type_name(a.t)}")
+        return Val(T.StringType(), col=fn.format_(wanted, *[a.column() for a in args]))
 
     def f_serial(self, scope=None):
         return SERIAL
@@ -1239,6 +1250,8 @@ def _mentions_before(node) -> bool:
     return any(map(_mentions_before, node))
 
 
-def rows(spark: SparkSession, folder: str, names: list[str], expression: str) -> DataFrame:
-    """The rows of an expression over a folder's tables."""
-    return Session(spark).attach(folder, *names).evaluate(expression).df
+def rows(spark: SparkSession, folder: str, names: list[str], expression: str, keys: dict | None = None, script: str = "") -> DataFrame:
+    """The rows of an expression over a folder's tables, after a script."""
+    session = Session(spark).attach(folder, *names, keys=keys)
+    session.execute(script)
+    return session.evaluate(expression).df

@@ -10,16 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators.relation import Relation
 
-#: Candidate keys of the driver's tables; lineitem has none but all attributes.
-KEYS = {
-    "region": [["r_regionkey"]], "nation": [["n_nationkey"]], "customer": [["c_custkey"]], "supplier": [["s_suppkey"]],
-    "part": [["p_partkey"]], "orders": [["o_orderkey"]], "events": [["event_id"]],
-}
-
-
-def table(spark: SparkSession, folder: str, name: str) -> Relation:
-    """A Parquet table; its rows are distinct. Spark pushes projections and conditions into the scan."""
-    return Relation(spark.read.parquet(f"{folder}/{name}.parquet"), KEYS.get(name))
+def table(spark: SparkSession, folder: str, name: str, keys=None) -> Relation:
+    """A Parquet table of a folder. Spark pushes projections and conditions into the scan; without keys, duplicates go."""
+    return read_parquet(spark, f"{folder}/{name}.parquet", keys)
 
 
 def read_parquet(spark: SparkSession, path: str, keys=None) -> Relation:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import errors
 from .. import functions as fn
 from ..database import Database, View
 from ..operators import ALL, ANY, AVG, COUNT, MAX, MIN, SUM, Relation, dee, dum, relation
@@ -14,6 +15,7 @@ from ..operators.aggregates import nested_avg, nested_max, nested_sum
 from ..sources import table, to_json
 from ..userdefined import UserType, macro
 from . import text_queries
+from .tables import KEYS
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -26,7 +28,7 @@ class Tables:
         self.spark, self._folder = spark, folder
 
     def __getattr__(self, name: str) -> Relation:
-        return table(self.spark, self._folder, name)
+        return table(self.spark, self._folder, name, KEYS.get(name))
 
 
 def query(sql: str | None = None):
@@ -294,7 +296,7 @@ def regex_like(t):
 @query("SELECT c_custkey, (c_nationkey - 12) // 5 AS q, (c_nationkey - 12) % 5 AS m, abs(c_nationkey - 12) AS ab FROM customer")
 def int_math(t):
     k = F.col("c_nationkey") - 12
-    return t.customer.extend({"q": fn.div(k, 5), "m": fn.mod(k, 5), "ab": fn.abs_(k)}).project("c_custkey", "q", "m", "ab")
+    return t.customer.extend({"q": fn.div(k, 5).cast("int"), "m": fn.mod(k, 5), "ab": fn.abs_(k)}).project("c_custkey", "q", "m", "ab")
 
 
 @query("SELECT p_partkey, round(sqrt(p_retailprice),6) AS sq, round(ln(p_retailprice),6) AS l, round(log10(p_retailprice),6) AS lg FROM part")
@@ -402,13 +404,107 @@ def json_round_trip(t):
     return to_json(t.region).select(F.from_json("json", "r_regionkey int, r_name string").alias("r")).select("r.*")
 
 
-@query()
+_NAMES = "SELECT column_name AS name, lower(CASE column_type WHEN 'BIGINT' THEN 'long' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'float' WHEN 'TIMESTAMP' THEN 'datetime' ELSE column_type END) AS type FROM (DESCRIBE {})"
+
+
+@query(_NAMES.format("orders"))
 def heading_of(t):
     return t.orders.heading()
 
 
-@query()
+@query(f"SELECT name AS attrname, 'region' AS tablename, type, CAST(row_number() OVER (ORDER BY name <> 'r_regionkey', name) - 1 AS INTEGER) AS i_fno FROM ({_NAMES.format('region')})")
 def catalog_tables(t):
     db = Database(t.spark)
     db.private("region", t.region, [["r_regionkey"]])
     return db["sys_tableattrs"]
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(minute(l_shipdate) AS INTEGER) AS mi, CAST(second(l_shipdate) AS INTEGER) AS se, l_extendedprice + 1.5 AS plus, -l_extendedprice AS neg, -l_linenumber AS ineg FROM lineitem GROUP BY ALL")
+def getters_and_signs(t):
+    d = F.col("l_shipdate")
+    new = {"mi": fn.minute(d), "se": fn.second(d), "plus": fn.add_float(F.col("l_extendedprice"), 1.5), "neg": -F.col("l_extendedprice"), "ineg": -F.col("l_linenumber")}
+    return t.lineitem.extend(new).project("l_orderkey", "l_linenumber", *new)
+
+
+@query("SELECT o_orderkey, make_timestamp(1999, month(o_orderdate), 1, 7, 0, 0.0) AS d FROM orders")
+def datetime_setters(t):
+    d = F.col("o_orderdate")
+    for part, value in (("day", 1), ("year", 1999), ("hour", 7), ("minute", 0), ("second", 0)):
+        d = fn.set_component(d, part, value)
+    return t.orders.extend({"d": d}).project("o_orderkey", "d")
+
+
+@query("SELECT p_partkey, substring(p_name, 2, 3) AS mid, coalesce(nullif(strpos(substring(p_name, 3), 'e'), 0) + 1, -1) AS at, hex(encode(p_brand)) AS hx FROM part")
+def string_bytes(t):
+    n = F.col("p_name")
+    new = {"mid": fn.substr_b(n, 1, 3), "at": fn.strfind_b(n, "e", 2).cast("long"), "hx": F.hex(fn.cast_as_binary(F.col("p_brand")))}
+    return t.part.extend(new).project("p_partkey", *new)
+
+
+@query("SELECT n_nationkey, 'long' AS kind, n_nationkey AS v, n_regionkey = 0 AS same FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_regionkey FROM nation)")
+def serialize_and_arrays(t):
+    k = F.col("n_nationkey").cast("long")
+    text = F.decode(fn.serialize(k), "UTF-8")
+    new = {
+        "kind": F.when(F.get_json_object(text, "$.type") == "bigint", "long").otherwise("other"), "v": F.get_json_object(text, "$.value").cast("long"),
+        "same": fn.array_(F.col("n_regionkey"), F.lit(0)) == fn.array_(F.lit(0), F.col("n_regionkey")),
+    }
+    return t.nation.extend(new).project("n_nationkey", *new)
+
+
+@query("SELECT p_partkey, regexp_matches(p_brand, '[[:digit:]]$') AS d, regexp_matches(p_name, '^[[:alpha:] ]+$') AS a, p_type LIKE '%' || substr(p_name, 1, 1) || '%' AS l FROM part")
+def patterns(t):
+    n = F.col("p_name")
+    new = {"d": fn.regex_like(F.col("p_brand"), "[[:digit:]]$"), "a": fn.regex_like(n, "^[[:alpha:] ]+$"), "l": fn.like(F.col("p_type"), F.concat(F.lit("*"), fn.substr(n, 0, 1), F.lit("*")))}
+    return t.part.extend(new).project("p_partkey", *new)
+
+
+@query("SELECT o_orderkey, o_orderkey * 9000000000 // 7 AS q FROM orders")
+def wide_division(t):
+    return t.orders.extend({"q": fn.div(F.col("o_orderkey") * F.lit(9000000000), 7)}).project("o_orderkey", "q")
+
+
+@query("SELECT * FROM region UNION ALL SELECT 10 + r_regionkey, 'X' || r_name FROM region UNION ALL SELECT 30, 'last'")
+def insert_deltas(t):
+    """INSERTs append; a tuple that is there already is no error."""
+    db = Database(t.spark)
+    db.private("region", t.region, [["r_regionkey"]])
+    more = t.region.update({"r_regionkey": F.col("r_regionkey") + 10, "r_name": F.concat(F.lit("X"), F.col("r_name"))})
+    db.assign(db.insert("region", more))
+    db.assign(db.insert("region", t.region.where("r_regionkey < 2")))
+    db.assign(db.insert("region", db.tuples("region", [{"r_regionkey": 30, "r_name": "last"}])))
+    return db["region"]
+
+
+@query("SELECT n_regionkey, n_nationkey FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 99, n_nationkey FROM nation WHERE n_nationkey % 2 = 1")
+def update_through_projection(t):
+    db = Database(t.spark)
+    db.private("nation", t.nation, [["n_nationkey"]])
+    db.virtual("short", View("nation", [("project", ["n_nationkey", "n_regionkey"])]))
+    db.assign(db.update("short", "n_nationkey % 2 = 1", {"n_regionkey": F.lit(99)}))
+    return db["short"]
+
+
+@query("SELECT s_suppkey AS id, s_name FROM supplier WHERE s_suppkey BETWEEN 1 AND 5 UNION ALL SELECT 900000 + s_suppkey, 'new' FROM supplier WHERE s_suppkey <= 3")
+def insert_through_views(t):
+    db = Database(t.spark)
+    db.private("s", t.supplier.project("s_suppkey", "s_name").where("s_suppkey <= 5"), [["s_suppkey"]])
+    db.virtual("named", View("s", [("rename", {"s_suppkey": "id"}), ("where", "id > 0")]))
+    db.assign(db.insert("named", t.supplier.where("s_suppkey <= 3").update({"s_name": F.lit("new"), "s_suppkey": F.col("s_suppkey") + 900000}).project("s_suppkey", "s_name").rename({"s_suppkey": "id"})))
+    return db["named"]
+
+
+@query("SELECT count(*) AS n, CAST(sum(CASE WHEN r_regionkey = 2 THEN 1 ELSE 0 END) AS BIGINT) AS two, 3 AS errors FROM region WHERE r_regionkey <> 4")
+def strict_assignments(t):
+    """D_INSERT of a tuple that is there, I_DELETE of one that isn't, and a key that another tuple has are errors."""
+    db = Database(t.spark)
+    db.private("r", t.region, [["r_regionkey"]])
+    four, caught = t.region.where("r_regionkey = 4"), 0
+    db.assign(db.i_delete("r", four))
+    clash = db.tuples("r", [{"r_regionkey": 2, "r_name": "other"}])
+    for change in (lambda: db.i_delete("r", four), lambda: db.d_insert("r", t.region.where("r_regionkey = 2")), lambda: db.insert("r", clash)):
+        try:
+            db.assign(change())
+        except (errors.NotFound, errors.ElementExists, errors.KeyViolation):
+            caught += 1
+    return db["r"].df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("r_regionkey") == 2, 1).otherwise(0)).alias("two"), F.lit(caught).alias("errors"))

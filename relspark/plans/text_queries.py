@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..language.interpreter import rows
+from .tables import KEYS
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
@@ -66,9 +67,104 @@ TEXTS: dict[str, tuple[str, str]] = {
 }
 
 
+#: name -> (script, expression, SQL)
+SCRIPTS: dict[str, tuple[str, str, str]] = {
+    "script_variables": (
+        """
+        var kept real rel {k int, name string} key {k} default {name 'none'};
+        kept := (nation {n_nationkey, n_name}) rename {n_nationkey as k, n_name as name};
+        insert kept tup {k 100};
+        d_insert kept tup {k 101, name 'one'};
+        update kept where k < 3 {name := name || '!'};
+        delete kept where k >= 20 and k < 25;
+        i_delete kept rel {tup {k 101, name 'one'}};
+        var numbered real rel {no int, name string} key {no} default {no serial()};
+        insert numbered tup {name 'a'}; insert numbered tup {name 'b'};
+        rename var numbered as lines; var gone private init rel {tup {x 1}}; drop var gone;
+        """,
+        "kept union (lines rename {no as k} where k < 3)",
+        """SELECT n_nationkey AS k, n_name || CASE WHEN n_nationkey < 3 THEN '!' ELSE '' END AS name FROM nation WHERE n_nationkey < 20
+           UNION SELECT 100, 'none' UNION SELECT 1, 'a' UNION SELECT 2, 'b'""",
+    ),
+    "script_transition_constraint": (
+        """
+        var stock real init (region {r_regionkey}) key {r_regionkey}; var seen real rel {what string} key {what};
+        constraint never_less is_empty(stock' minus stock);
+        try delete stock where r_regionkey = 1; catch e predicate_violation_error; insert seen tup {what 'kept'}; end try;
+        insert stock rel {tup {r_regionkey 77}};
+        begin tx; insert seen tup {what 'undone'}; rollback;
+        begin tx; insert seen tup {what 'done'}; commit;
+        insert seen tup {what cast_as_string(count(stock))};
+        """,
+        "seen",
+        "SELECT 'kept' AS what UNION ALL SELECT 'done' UNION ALL SELECT CAST(count(*) + 1 AS VARCHAR) FROM region",
+    ),
+    "script_operators": (
+        """
+        var out real rel {k string, v int} key {k};
+        operator twice(n int) returns int; return 2 * n; end operator;
+        operator twice(s string) returns int; return 2 * strlen(s); end operator;
+        operator add(total int, by int) updates {total}; total := total + by; end operator;
+        operator sum_to(n int) returns int; var s int; var i int; s := 0; for i := 1 to n; s := s + i; end for; return s; end operator;
+        operator first_of(least int) returns rel {n_nationkey int}; return (nation where n_nationkey < least) {n_nationkey}; end operator;
+        package math; operator cube(n int) returns int; return n * n * n; end operator; end package;
+        var n int; n := 5; add(n, 3); call add(n, 1);
+        var f operator(int) returns int; f := sum_to;
+        insert out rel {tup {k 'updated', v n}, tup {k 'int', v twice(4)}, tup {k 'string', v twice('abc')}, tup {k 'called', v f(10)}, tup {k 'package', v math.cube(3)}};
+        insert out tup {k 'rows', v cast_as_integer(cast_as_float(count(first_of(7))))};
+        """,
+        "out",
+        "SELECT * FROM (VALUES ('updated', 9), ('int', 8), ('string', 6), ('called', 55), ('package', 27)) AS t(k, v) UNION ALL SELECT 'rows', CAST(count(*) AS INTEGER) FROM nation WHERE n_nationkey < 7",
+    ),
+    "script_control": (
+        """
+        var out real rel {k int, name string} key {k}; var t tup {n_nationkey int, n_name string}; var k int; k := 0;
+        walk: for t in (nation where n_regionkey = 2) {n_nationkey, n_name} order (n_name desc);
+          if k >= 3 then leave walk; end if;
+          case when k = 0 then insert out tup {k 0, name 'first ' || t.n_name}; when k = 1 then insert out tup {k 1, name t["n_name"]}; else insert out tup {k 2, name lower(t.n_name)}; end case;
+          k := k + 1;
+        end for;
+        while k < 6; k := k + 1; end while;
+        try raise not_found_error('lost'); catch e not_found_error; insert out tup {k 10 + k, name e.msg}; end try;
+        try io.put(cast_as_integer(' 12')); catch e invalid_argument_error; insert out tup {k 20, name 'strict'}; end try;
+        insert out tup {k 21, name if array(1, 2) = array(1, 2) then 'same' else 'other'};
+        """,
+        "out",
+        """SELECT CAST(r - 1 AS INTEGER) AS k, CASE r WHEN 1 THEN 'first ' || n_name WHEN 2 THEN n_name ELSE lower(n_name) END AS name
+           FROM (SELECT n_name, row_number() OVER (ORDER BY n_name DESC) AS r FROM nation WHERE n_regionkey = 2) WHERE r <= 3
+           UNION ALL SELECT 16, 'lost' UNION ALL SELECT 20, 'strict' UNION ALL SELECT 21, 'same'""",
+    ),
+    "script_types": (
+        """
+        type span possrep {low int, high int} constraint low <= high init span(0, 0); implement type span; end implement;
+        var out private rel {k int, s span} key {k};
+        insert out (extend nation {n_nationkey, n_regionkey} : {s := span(n_regionkey, n_nationkey + 5)}) {n_nationkey, s} rename {n_nationkey as k};
+        index by_k out (k); drop index by_k;
+        """,
+        "(extend out : {low := s.low, wide := the_high(s) - the_low(s)}) {k, low, wide}",
+        "SELECT n_nationkey AS k, n_regionkey AS low, n_nationkey + 5 - n_regionkey AS wide FROM nation",
+    ),
+    "script_text_and_forms": (
+        """
+        var out private rel {k string, v string} key {k};
+        insert out rel {tup {k 'form', v net.form_to_tuple('a=1%202&b=x').a}, tup {k 'escaped', v net.hescape('<a & b>')}};
+        insert out tup {k 'date', v cast_as_string(add_seconds(datetime(2016, 2, 28, 23, 59, 30), 45))};
+        var d datetime; d := datetime(2015, 3, 1, 12, 0, 0); d.year := 2016; the_minute(d) := 30;
+        insert out tup {k 'set', v cast_as_string(d)};
+        insert out tup {k 'signs', v cast_as_string(-3 + +5) || ' ' || cast_as_string(1.5 + 2.25)};
+        insert out tup {k 'bytes', v substr_b('hello', 1, 3) || cast_as_string(strfind_b('hello', 'l', 3))};
+        """,
+        "out",
+        """SELECT * FROM (VALUES ('form', '1 2'), ('escaped', '&lt;a &amp; b&gt;'), ('date', '2016-02-29T00:00:15'), ('set', '2016-03-01T12:30:00'),
+           ('signs', '2 3.75'), ('bytes', 'ell3')) AS t(k, v)""",
+    ),
+}
+
+
 def queries() -> dict:
-    return {n: (lambda spark, folder, e=e: rows(spark, folder, TABLES, e)) for n, (e, _) in TEXTS.items()}
+    found = {n: (lambda spark, folder, e=e: rows(spark, folder, TABLES, e, KEYS)) for n, (e, _) in TEXTS.items()}
+    return found | {n: (lambda spark, folder, s=s, e=e: rows(spark, folder, TABLES, e, KEYS, s)) for n, (s, e, _) in SCRIPTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: sql for n, (_, sql) in TEXTS.items()}
+    return {n: sql for n, (*_, sql) in {**TEXTS, **SCRIPTS}.items()}

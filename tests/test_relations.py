@@ -177,3 +177,71 @@ def test_user_types_and_operators(spark):
     assert op(1) == 2 and op("a") == "a!"
     with pytest.raises(errors.OperatorNotFound):
         op(1.5)
+
+
+def test_divide_makes_no_product(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n in (0, 1, 3):
+            a, b = [(k, k % 2) for k in range(6)], [(k,) for k in range(n)]
+            p = [x for x in itertools.product(range(6), range(4)) if rng.random() < 0.7]
+            left, right, per = relation(spark, a, "a int, c int"), relation(spark, b, "b int"), relation(spark, p, "a int, b int")
+            r = left.divide(right, per)
+            assert {tuple(t) for t in r.load()} == {t for t in a if all((t[0], k) in p for (k,) in b)}
+            assert "CartesianProduct" not in r.explain() and "NestedLoop" not in r.explain()
+            per = per.project("a")  # nothing of the divisor in it
+            assert {tuple(t) for t in left.divide(right, per).load()} == {t for t in a if not b or t[0] in {x for x, _ in p}}
+        assert "CartesianProduct" not in left.count_below("c", "n").explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_closure_of_a_long_chain(spark):
+    n = 40
+    r = relation(spark, [(k, k + 1) for k in range(n)], "a int, b int").tclose()
+    assert r.df.count() == n * (n + 1) // 2
+
+
+def test_inserts_append(spark, tmp_path):
+    from relspark import database
+    from relspark.database import Database
+    from relspark.errors import KeyViolation
+
+    db = Database(spark, f"file://{tmp_path}")
+    db.real("r", relation(spark, [(k, f"n{k}") for k in range(50)], "k int, s string"), [["k"]])
+    first = set(db["r"].df.inputFiles())
+    db.assign(db.insert("r", db.tuples("r", [{"k": 100, "s": "x"}])))
+    assert first < set(db["r"].df.inputFiles())  # the old snapshot is still read, not written anew
+    with pytest.raises(KeyViolation):
+        db.assign(db.insert("r", db.tuples("r", [{"k": 7, "s": "other"}])))
+    with pytest.raises(KeyViolation):
+        db.assign(db.insert("r", db.tuples("r", [{"k": 200, "s": "x"}, {"k": 200, "s": "y"}])))
+    db.assign(db.insert("r", db.tuples("r", [{"k": 7, "s": "n7"}])))
+    assert db["r"].df.count() == 51
+    for k in range(201, 201 + database.PARTS + 2):
+        db.assign(db.insert("r", db.tuples("r", [{"k": k, "s": "x"}])))
+    assert db["r"].df.count() == 51 + database.PARTS + 2 and db.relvars["r"].parts <= 4
+    many = relation(spark, [(k, "m") for k in range(1000, 1300)], "k int, s string")
+    db.assign(db.insert("r", many))
+    with pytest.raises(KeyViolation):
+        db.assign(db.insert("r", many.update({"s": F.lit("z")})))
+
+
+def test_strict_scalars(spark):
+    from relspark import functions as fn
+
+    df = spark.createDataFrame([("a]b", "x-1", "[0-9]*")], "s string, t string, p string")
+    found = df.select(
+        fn.regex_like(F.col("t"), "^[[:alpha:]]-[[:digit:][:space:]]$"), fn.regex_like(F.col("s"), "[]]"), fn.regex_like(F.col("t"), "[^[:alnum:]-]"), fn.regex_like(F.col("t"), r"\d"),
+        fn.like(F.lit("7up"), F.col("p")), fn.like(F.lit("up"), F.col("p")), fn.like(F.lit("a.b"), F.lit("a.?")), fn.like(F.lit("axb"), F.lit("a.?")), fn.like(F.lit("b"), F.lit("[!a]")), fn.like(F.lit("[x"), F.lit("[x")),
+        fn.div(F.lit(9000000000), 2), fn.div(F.lit(-7), 2),
+    ).first()
+    assert list(found) == [True, True, False, True, True, False, True, False, True, True, 4500000000, -3]
+    for text in (" 12", "12 ", "1x", ""):
+        with pytest.raises(Exception, match=r"invalid_argument_error|CAST_INVALID"):
+            spark.range(1).select(fn.cast_as_integer(F.lit(text))).collect()

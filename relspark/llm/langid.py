@@ -5,8 +5,8 @@ in a lexicon; prefixes and suffixes; character n-grams; capital and accent signs
 code-switched texts are labelled word by word; a text's language is the label with the largest sum of probabilities,
 its score the mean of them, and its confidence the mean of each word's largest probability, whatever its label.
 
-Training takes a bounded sample (``TRAIN_ROWS`` labelled rows of least hash, ``TRAIN_CHARS`` characters from a hashed
-place of each), joined into sequences that switch between languages, and maximises the likelihood by Adagrad. Defined
+Training takes a bounded sample (about ``TRAIN_ROWS`` distinct labelled texts, as many of each label, of least hash, and
+``TRAIN_CHARS`` characters from a hashed place of each), joined into sequences that switch between languages, and maximises the likelihood by Adagrad. Defined
 cases: a text that is null or has no letter is ``und`` with score 0; without labelled rows everything is ``und``;
 words are runs of letters, those of more than ``LONG`` are successive positions of ``LONG`` letters each, so that text
 without spaces is labelled letter for letter; very long texts are labelled whole; an empty table gives an empty result.
@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow, sole
 
-
 #: Bounds of the training sample, and passes over it.
 TRAIN_ROWS, TRAIN_CHARS, EPOCHS = 1500, 400, 25
+#: Rows of a label at least, and labels at most.
+LEAST_OF_LABEL, LABELS = 30, 500
 #: Word positions that one forward-backward pass holds, and remembered words in a worker.
 CELLS, MEMO = 400_000, 200_000
 #: Letters of one position, and words whose features are held at once.
@@ -51,7 +52,6 @@ def features(word: str) -> list[str]:
     return [*grams, *ends, s, "A" if body[0].isupper() else "a", "0" if body.isascii() else "1"]
 
 
-
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False):
     """Label probabilities of padded sequences, the longest first.
 
@@ -105,7 +105,6 @@ class Model:
         return np.concatenate(out)
 
 
-
 def fit(samples: list[tuple[str, list[str]]], epochs: int = EPOCHS, seed: int = 7) -> Model:
     """The field's weights from (label, words) pieces."""
     labels = sorted({l for l, _ in samples})
@@ -215,13 +214,26 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
-    """Fit on at most ``rows`` labelled rows that aren't held out, ``chars`` characters each: that bounds what the driver gets."""
+    """Fit on labelled rows that aren't held out, ``chars`` characters of each: that bounds what the driver gets.
+
+    Every label has the same part of ``rows``, ``LEAST_OF_LABEL`` at least, so that a rare one is learned, too; of copies of
+    a text one counts. The ``LABELS`` most frequent labels are learned.
+    """
     n = F.char_length(text)
-    piece = F.substring(F.col(text), (1 + F.pmod(F.xxhash64(F.lit("at"), id_col), F.greatest(n - chars, F.lit(1)))).cast("int"), F.lit(chars))
-    sample = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col)).select(F.col(lang).alias("l"), piece.alias("t"), F.xxhash64(id_col, text).alias("h"))
-    share = min(1.0, 1.5 * rows / max(1, sample.count()))  # so that tasks don't send much more than is kept
-    sample = sample.where(F.pmod("h", F.lit(1 << 31)) < int(share * (1 << 31))).orderBy(F.pmod("h", F.lit(1 << 31)), "h", "l").limit(rows)
-    found = [(r.l, ws) for r in sample.collect() if (ws := _words(r.t)[1:-1] or _words(r.t))]
+    piece = F.substring(F.col(text), (1 + F.pmod(F.xxhash64(F.lit("at"), text), F.greatest(n - chars, F.lit(1)))).cast("int"), F.lit(chars))
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col)).select(F.col(lang).alias("l"), F.xxhash64(lang, text).alias("h"), piece.alias("t"))
+    labels = known.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "l").limit(LABELS).collect()
+    if not labels:
+        return Model([], {}, np.zeros((1, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
+    quota = max(LEAST_OF_LABEL, rows // len(labels))
+    # least hashes, and some more than wanted, so that tasks don't send much more than is kept
+    share = F.create_map(*[F.lit(x) for r in labels for x in (r.l, min(1 << 31, (3 * quota << 30) // max(1, r.texts) + 1))])
+    sample = known.where(F.pmod("h", F.lit(1 << 31)) < share[F.col("l")]).groupBy("l", "h").agg(F.min("t").alias("t"))
+    pieces: dict[str, list] = {}
+    for r in sorted(sample.collect(), key=lambda r: (r.l, r.h % (1 << 31), r.h)):
+        if len(held := pieces.setdefault(r.l, [])) < quota and (ws := _words(r.t)[1:-1] or _words(r.t)):
+            held.append((r.l, ws))
+    found = [x for held in pieces.values() for x in held]
     return fit(found) if found else Model([], {}, np.zeros((1, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
 
 
@@ -247,5 +259,3 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str =
 
     done = source.transform(arrow, run, out)
     return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__confidence").alias("confidence"))
-
-

@@ -448,6 +448,18 @@ def test_op7(spark, odd, none):
     assert labels[:8] == ["en"] * 8 and labels[-8:] == ["de"] * 8
 
 
+def test_rare_languages_and_copies(spark):
+    """A language of a hundredth of the rows is learned beside one text that is copied a thousand times."""
+    rng = random.Random(3)
+    say = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(3, 7))) for _ in range(n))
+    hot = say("aeiou", 30)
+    data = [hot] * 1000 + [say("aeiou", 30) for _ in range(300)]
+    rows_ = [(k, t, "v") for k, t in enumerate(data)] + [(5000 + k, say("bcdfg", 30), "c") for k in range(13)] + [(6000, None, "n"), (6001, "x", None)]
+    model = langid.train(spark.createDataFrame(rows_, "doc_id long, text string, lang string"), rows=100)
+    assert model.labels == ["c", "v"]
+    assert [x[0] for x in langid.Labeller(model).texts([say("bcdfg", 9), say("aeiou", 9)])] == ["c", "v"]
+
+
 def test_text_without_spaces_counts_whole():
     model = langid.fit([("a", ["abab", "baab", "abba"] * 30), ("z", ["zyzy", "yzzy", "zyyz"] * 30)])
     run = "".join(random.Random(3).choices(["ab", "ba"], k=20) + random.Random(4).choices(["zy", "yz"], k=400))
@@ -788,3 +800,22 @@ def test_templates_decide_where_names_do_not(spark):
         rows_ = [r for r in template.templates(df).collect() if r.host == f"{h}.example"]
         assert [r.place for r in rows_] == [place]
         assert parsed[0].elements[next(k for k, e in enumerate(parsed[0].elements) if e.path == place)].name == "div"
+
+
+def test_shards_open_with_other_readers(spark, odd, tmp_path):
+    import tarfile
+
+    found = media.store(odd.repartition(3), f"file://{tmp_path}/shards").collect()
+    image_io, streams = spark._jvm.javax.imageio.ImageIO, spark._jvm.java.io
+    texts = {len((t or "").encode()): (t or "").encode() for t, in rows(odd.select("text"))}
+    seen = 0
+    for path in tmp_path.glob("shards/*.tar"):
+        with tarfile.open(path) as tar:
+            for member in tar:
+                png = tar.extractfile(member).read()
+                assert member.name == f"{hashlib.sha256(png).hexdigest()}.png"
+                image = image_io.read(streams.ByteArrayInputStream(png))
+                stored = bytes(image.getRaster().getDataBuffer().getData())
+                assert image.getWidth() * image.getHeight() == len(stored) and stored.rstrip(b"\0") in {t.rstrip(b"\0") for t in texts.values()}
+                seen += 1
+    assert seen >= len({r.digest for r in found})

@@ -7,8 +7,10 @@ program defines is expanded into the plan when its arguments are Columns, so no
 from __future__ import annotations
 
 import math
+import os
 import re
 import sys
+import time
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
@@ -484,6 +486,15 @@ class Session:
     def f_io_put_line(self, v=None, scope=None):
         self.output.append(("" if v is None else text(self.host(v))) + "\n")
 
+    def f_os_getenv(self, name, scope=None):
+        found = os.environ.get(self.force(name).value)
+        if found is None:
+            raise NotFound(self.force(name).value)
+        return Val(T.StringType(), found)
+
+    def f_os_sleep(self, seconds, scope=None):
+        time.sleep(self.force(seconds).value)
+
     def f_net_form_to_tuple(self, form, scope=None):
         found = form_to_tuple(self.force(form).value)
         return Val(type_of(found), found)
@@ -814,7 +825,7 @@ class Session:
 
     def enter(self, v: dict, args: list, name: str):
         if isinstance(v["body"], tuple) and v["body"][:1] == ("extern",):
-            raise NotSupported(f"{name} is implemented outside the language")
+            return self.outside(v, args, name)
         over_rows = any(isinstance(a, Val) and not a.known for a in args)
         if self._depth > (_DEEPEST_PLAN if over_rows else _DEEPEST):
             raise NotSupported(f"{name} calls itself too deeply, or without end over rows")
@@ -836,6 +847,18 @@ class Session:
             self._depth -= 1
             self.scopes.pop()
 
+    def outside(self, v: dict, args: list, name: str) -> Val:
+        """An operator implemented by the JVM: 'Java' names a class and its static method, 'SQL' a function of the session."""
+        _, language, target = v["body"]
+        if v["returns"] is None:
+            raise NotSupported(f"{name} updates its arguments outside the language")
+        t, columns = self.declared(v["returns"]).t, [a.column() for a in args]
+        if language.lower() == "sql":
+            return Val(t, col=F.call_function(target, *columns).cast(t))
+        if language.lower() != "java" or "." not in target:
+            raise NotSupported(f"operators in {language}")
+        return Val(t, col=F.reflect(*map(F.lit, target.rsplit(".", 1)), *columns).cast(t))
+
     def symbolic(self, body: tuple):
         """The value a body returns where arguments are Columns: branches become conditional Columns."""
         for k, s in enumerate(body):

@@ -144,6 +144,15 @@ SCRIPTS: dict[str, tuple[str, str, str]] = {
         "(extend out : {low := s.low, wide := the_high(s) - the_low(s)}) {k, low, wide}",
         "SELECT n_nationkey AS k, n_regionkey AS low, n_nationkey + 5 - n_regionkey AS wide FROM nation",
     ),
+    "script_extern": (
+        """
+        operator pad(s string, n int, with_ string) returns string extern 'SQL' 'lpad';
+        operator greatest_of(a int, b int) returns int extern 'Java' 'java.lang.Math.max';
+        var seen private init rel {tup {n_nationkey 500, p pad('x', 3, '-'), m greatest_of(3, 8)}} key {n_nationkey};
+        """,
+        "((extend nation : {p := pad(n_name, 4, '*'), m := greatest_of(n_nationkey, 11)}) {n_nationkey, p, m}) union seen",
+        "SELECT n_nationkey, lpad(n_name, 4, '*') AS p, greatest(n_nationkey, 11) AS m FROM nation UNION ALL SELECT 500, '--x', 8",
+    ),
     "script_text_and_forms": (
         """
         var out private rel {k string, v string} key {k};

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+import datetime as dt
 import html
+import json
 from urllib.parse import parse_qsl
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relation import Relation
@@ -42,6 +45,25 @@ def to_json(r: Relation) -> DataFrame:
     return r.df.select(F.to_json(F.struct(*r.attributes)).alias("json"))
 
 
+def json_text(value) -> str:
+    """Any value as JSON: relations and arrays as arrays, tuples as objects, binaries in base 64, datetimes in ISO form."""
+
+    def of(v):
+        if isinstance(v, Relation):
+            return [of(t) for t in v.each()]
+        if isinstance(v, Row):
+            v = v.asDict()
+        if isinstance(v, dict):
+            return {n: of(x) for n, x in v.items()}
+        if isinstance(v, (list, tuple)):
+            return [of(x) for x in v]
+        if isinstance(v, (bytes, bytearray)):
+            return base64.b64encode(v).decode()
+        return v.isoformat() if isinstance(v, dt.datetime) else v
+
+    return json.dumps(of(value), ensure_ascii=False)
+
+
 def put(r: Relation) -> str:
     """A relation as text, its tuples in order of their text."""
     return "RELATION{" + ", ".join(sorted("TUPLE{" + ", ".join(f"{k} {v!r}" for k, v in sorted(t.asDict().items())) + "}" for t in r.each())) + "}"

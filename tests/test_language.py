@@ -184,3 +184,40 @@ def test_defaults_serial_public_and_recursion(spark):
     assert s.evaluate("p = r") is True and s.evaluate("fib(10)") == 55
     with pytest.raises(errors.NotSupported):
         s.evaluate("extend r : {f := fib(i)}")
+
+
+def test_endpoint(spark):
+    import json
+    import threading
+    import urllib.error
+    import urllib.parse
+    import urllib.request
+
+    from relspark.sources.rest import server
+
+    s = Session(spark)
+    s.execute("var r private init rel {tup {a 1, d datetime(2016, 2, 3, 4, 5, 6), g rel {tup {x 'é'}}}} key {a};")
+    http = server({"db": s.evaluate})
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    get = lambda e: json.loads(urllib.request.urlopen(f"http://127.0.0.1:{http.server_port}/{urllib.parse.quote(e)}").read())  # noqa: E731, S310
+    try:
+        assert get("db/r") == [{"a": 1, "d": "2016-02-03T04:05:06", "g": [{"x": "é"}]}]
+        assert get("db/count(r) + 1") == 2 and get("db/array('a', 'b')") == ["a", "b"]
+        for path, status in (("db/nothing", 400), ("db/1 +", 400), ("other/r", 404)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                get(path)
+            assert e.value.code == status
+    finally:
+        http.shutdown()
+
+
+def test_outside_operators_and_environment(spark, monkeypatch):
+    s = Session(spark)
+    monkeypatch.setenv("RELSPARK_TEST", "here")
+    assert s.evaluate("os.getenv('RELSPARK_TEST')") == "here"
+    with pytest.raises(errors.NotFound):
+        s.evaluate("os.getenv('RELSPARK_NOT_SET')")
+    s.execute("operator up(s string) returns string extern 'SQL' 'upper'; operator no(s string) returns string extern 'C' 'x';")
+    assert s.evaluate("up('ab') || 'c'") == "ABc"
+    with pytest.raises(errors.NotSupported):
+        s.evaluate("no('a')")

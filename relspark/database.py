@@ -3,16 +3,22 @@
 A real variable is a Parquet snapshot; assigning writes a new snapshot and moves a pointer, so a statement takes effect
 as a whole or not at all. Private variables live in the session. A transaction is a copy of the pointers. Constraints
 are checked against the state that an assignment would give, before the pointers move.
+
+With a folder, a database outlives its process: whenever a statement or the outermost transaction has taken effect, the
+pointers of its real variables, its indexes and the definitions that sessions give it are written as the next version of a
+catalog file; :meth:`Database.reopen` takes the last version. What a transaction hasn't committed is never written.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .errors import ElementExists, InvalidArgument, InUse, KeyViolation, NameUnknown, NotFound, NoTransaction, NotSupported, PredicateViolation
 from .operators.relation import Relation
@@ -73,8 +79,59 @@ class Database:
         self.indexes: dict[str, tuple[str, list[str]]] = {}
         self.operators: dict[str, object] = {}
         self.user_types: dict[str, object] = {}
+        #: Definitions of views, constraints, operators and types by statements, in order, for :meth:`reopen`.
+        self.definitions: list[str] = []
+        self._version = 0
         self._stack: list[dict[str, Relvar]] = []
 
+    # the catalog file
+
+    def _file(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _publish(self) -> None:
+        """Write the next version of the catalog, under another name first."""
+        if not self.path or self._stack:
+            return
+        variables = {}
+        for name, v in self.relvars.items():
+            if v.real:
+                defaults = {a: {"serial": True} if d is SERIAL else {"value": d} for a, d in v.defaults.items()}
+                variables[name] = {"schema": v.value.df.schema.json(), "files": v.value.df.inputFiles(), "keys": [sorted(k) for k in v.keys], "defaults": defaults, "parts": v.parts}
+        data = json.dumps({"name": self.name, "variables": variables, "indexes": self.indexes, "definitions": self.definitions}, default=str)
+        fs, temp = self._file(f".catalog-{uuid.uuid4().hex}")
+        out = fs.create(temp)
+        out.write(bytearray(data.encode()))
+        out.close()
+        self._version += 1
+        if not fs.rename(temp, self._file(f"catalog-{self._version:09d}.json")[1]):
+            raise InUse(f"{self.path}: another process has written version {self._version}")
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, path: str) -> Database:
+        """The database of a folder, as its last catalog says."""
+        db = cls(spark, path)
+        fs, folder = db._file("")
+        versions = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("catalog-"))
+        if not versions:
+            raise NotFound(path)
+        db._version = int(versions[-1][8:-5])
+        data = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/{versions[-1]}", wholetext=True).collect()))
+        db.name, db.definitions = data["name"], data["definitions"]
+        db.indexes = {n: (var, attributes) for n, (var, attributes) in data["indexes"].items()}
+        for name, v in data["variables"].items():
+            schema = T.StructType.fromJson(json.loads(v["schema"]))
+            df = spark.read.schema(schema).parquet(*v["files"]) if v["files"] else spark.createDataFrame([], schema)
+            defaults = {a: SERIAL if "serial" in d else d["value"] for a, d in v["defaults"].items()}
+            db.relvars[name] = Relvar(Relation(df, v["keys"]), v["keys"], defaults, True, v["parts"])
+        return db
+
+    def define(self, statement: str) -> None:
+        """Keep a definition for the sessions of a reopened database."""
+        self.definitions.append(statement)
+        self._publish()
+
     # variables
 
     def real(self, name: str, value: Relation, keys: list[list[str]] | None = None, defaults: dict | None = None) -> None:
@@ -94,6 +151,7 @@ class Database:
         self._check_keys(name, value, keys)
         var.value = self._kept(name, value, keys)
         self.relvars[name] = var
+        self._publish()
 
     def virtual(self, name: str, view: View | Callable[[Database], Relation]) -> None:
         self._free(name)
@@ -131,6 +189,7 @@ class Database:
         for kind in (self.relvars, self.views, self.public):
             if name in kind:
                 del kind[name]
+                self._publish()
                 return
         raise NameUnknown(name)
 
@@ -140,11 +199,13 @@ class Database:
         if old not in kind:
             raise NameUnknown(old)
         kind[new] = kind.pop(old)
+        self._publish()
 
     def index(self, name: str, var: str, attributes: list[str]) -> None:
         """Kept in the catalog; the next snapshot of the variable is sorted by it, so that row groups can be skipped."""
         self.relvars[var].value._known(attributes)
         self.indexes[name] = (var, attributes)
+        self._publish()
 
     def drop_index(self, name: str) -> None:
         if self.indexes.pop(name, None) is None:
@@ -203,6 +264,7 @@ class Database:
         except BaseException:
             self.relvars = before
             raise
+        self._publish()
 
     def _appended(self, name: str, var: Relvar, tuples: Relation) -> Relvar:
         """The variable with new tuples beside its snapshots. The source is evaluated once; only keys of new tuples are
@@ -386,6 +448,7 @@ class Database:
         if not self._stack:
             raise NoTransaction
         self._stack.pop()
+        self._publish()
 
     def rollback(self) -> None:
         if not self._stack:

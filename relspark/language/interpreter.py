@@ -6,6 +6,8 @@ program defines is expanded into the plan when its arguments are Columns, so no
 
 from __future__ import annotations
 
+import ast
+import contextlib
 import math
 import os
 import re
@@ -66,6 +68,10 @@ def error_value(e: BaseException) -> dict:
     return {"__error": kind, "msg": message}
 
 
+#: Statements that a reopened database runs again.
+_DEFINING = frozenset(["view", "constraint", "operator", "type", "implement", "package", "map", "drop"])
+
+
 class _Type:
     """A declared type: a Spark type, and whether it is a relation's or an operator's."""
 
@@ -86,6 +92,12 @@ class Session:
         self._outer = False
         self._depth = 0
         self._package = ""
+        for s in map(ast.literal_eval, self.db.definitions):
+            if s[0] == "drop":  # of a variable, the catalog knows already
+                with contextlib.suppress(RelError):
+                    self.run(s)
+            else:
+                self.run(s)
 
     # the host's side
 
@@ -94,6 +106,8 @@ class Session:
         start = len(self.output)
         for s in parse_script(script):
             self.run(s)
+            if s[0] in _DEFINING and self.db.path:
+                self.db.define(repr(s))
         return "".join(self.output[start:])
 
     def evaluate(self, expression: str):

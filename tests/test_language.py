@@ -221,3 +221,32 @@ def test_outside_operators_and_environment(spark, monkeypatch):
     assert s.evaluate("up('ab') || 'c'") == "ABc"
     with pytest.raises(errors.NotSupported):
         s.evaluate("no('a')")
+
+
+def test_a_database_is_reopened(spark, tmp_path):
+    from relspark.database import Database
+
+    path = f"file://{tmp_path}/db"
+    s = Session(spark, Database(spark, path))
+    s.execute(
+        """var r real rel {no int, name string, size int} key {no} default {no serial(), size 7};
+        insert r rel {tup {name 'a'}}; insert r tup {name 'b', size 20};
+        operator twice(n int) returns int; return 2 * n; end operator;
+        var big virtual (extend r : {double := twice(size)}) where double > 20;
+        constraint small is_empty(r where size > 99); index by_size r (size);
+        type money possrep {cents int} constraint cents >= 0 init money(0); implement type money; end implement;
+        var gone real init rel {tup {x 1}}; drop var gone; operator lost() returns int; return 1; end operator; drop operator lost;
+        begin tx; insert r tup {name 'c'}; commit; begin tx; insert r tup {name 'never'};"""
+    )
+    t = Session(spark, Database.reopen(spark, path))
+    assert {(x.no, x.name, x.size) for x in t.evaluate("r").load()} == {(1, "a", 7), (2, "b", 20), (3, "c", 7)}
+    assert [x.double for x in t.evaluate("big").load()] == [40] and t.evaluate("money(5).cents") == 5
+    t.execute("insert r tup {name 'd', size 50};")
+    with pytest.raises(errors.PredicateViolation):
+        t.execute("update r {size := 100};")
+    with pytest.raises(errors.RelError):
+        t.evaluate("lost()")
+    again = Session(spark, Database.reopen(spark, path))
+    assert again.evaluate("count(r)") == 4 and again.evaluate("max(r, no)") == 4 and again.db.indexes == {"by_size": ("r", ["size"])}
+    with pytest.raises(errors.NotFound):
+        Database.reopen(spark, f"file://{tmp_path}")

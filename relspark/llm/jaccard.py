@@ -49,7 +49,7 @@ from .common import arrow, delete, drop_path, file_system, rows_of, scratch, sol
 WORDS, SHARE = 5, 75
 #: Shingles of a chunk and of a bucket, more or less. On executors of 3 GB these serve some TB; rows between them number
 #: chunks times buckets, so a larger corpus wants both larger, in proportion to the executors' memory.
-CHUNK, BUCKET = 1 << 21, 1 << 22
+CHUNK, BUCKET = 1 << 20, 1 << 21
 #: Pairs of one node that a task verifies at most.
 SPREAD = 500
 #: Nodes with more pairs than that which are broadcast at most (12 bytes each).

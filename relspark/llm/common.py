@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import mmap
 import os
 import posixpath
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -41,9 +43,20 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow``, for ``DataFrame.transform``, with the package shipped."""
+    """``mapInArrow``, for ``DataFrame.transform``, with the package shipped and memory given back after each task."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_tidied(function), schema)
+
+
+def _tidied(function):
+    def run(batches):
+        begin_task()
+        try:
+            yield from function(batches)
+        finally:
+            end_task()
+
+    return run
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -134,6 +147,60 @@ def sole(key, make):
     return _sole[key]
 
 
+class _Idle:
+    """Gives back what a worker doesn't use: free memory after each task, memos too when no task came for ``SECONDS``.
+
+    Spark keeps workers of ended stages beside those of the running one; this keeps their memory from adding up.
+    """
+
+    SECONDS = 2
+
+    def __init__(self) -> None:
+        self.lock, self.tasks, self.timer = threading.Lock(), 0, None
+
+    def begin(self) -> None:
+        with self.lock:
+            self.tasks += 1
+            if self.timer is not None:
+                self.timer.cancel()
+                self.timer = None
+
+    def end(self) -> None:
+        self.give_back()
+        with self.lock:
+            self.tasks -= 1
+            if not self.tasks and _sole:
+                self.timer = threading.Timer(self.SECONDS, self.forget)
+                self.timer.daemon = True
+                self.timer.start()
+
+    def forget(self) -> None:
+        with self.lock:
+            if self.tasks:
+                return
+            _sole.clear()
+        gc.collect()
+        self.give_back()
+
+    @staticmethod
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+
+_idle = _Idle()
+
+
+def begin_task() -> None:
+    _idle.begin()
+
+
+def end_task() -> None:
+    _idle.end()
+
+
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:
     """Each batch as one list per column."""
     for b in batches:

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from relspark.llm import bitplane, bpe, jaccard, langid, media, packing, pii, quality, queries, template, transducer, urls
+from relspark.llm import bitplane, bpe, common, jaccard, langid, media, packing, pii, quality, queries, template, transducer, urls
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, component_id long"
@@ -819,3 +819,16 @@ def test_shards_open_with_other_readers(spark, odd, tmp_path):
                 assert image.getWidth() * image.getHeight() == len(stored) and stored.rstrip(b"\0") in {t.rstrip(b"\0") for t in texts.values()}
                 seen += 1
     assert seen >= len({r.digest for r in found})
+
+
+def test_idle_workers_forget(monkeypatch):
+    monkeypatch.setattr(common._Idle, "SECONDS", 0.05)
+    monkeypatch.setattr(common, "_sole", {"memo": 1})
+    common.begin_task()
+    common.end_task()
+    common.begin_task()  # the next task comes in time
+    time.sleep(0.2)
+    assert common._sole
+    common.end_task()
+    time.sleep(0.5)
+    assert not common._sole

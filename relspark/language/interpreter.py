@@ -16,7 +16,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,10 @@ from ..types import spark_type, type_name
 from ..userdefined import Operator, UserType
 from . import builtins
 from .syntax import parse_expression, parse_script
-from .values import Correlated, Frame, Val, default, literal, plain, selector, struct_type, text, type_of
+from .values import Correlated, Frame, Range, Val, default, literal, plain, selector, struct_type, text, type_of
 
+#: Comparisons, and what they are with their sides exchanged.
+_TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
 #: Calls within calls: of operators over values, and of operators expanded into a plan.
 _DEEPEST, _DEEPEST_PLAN = 500, 25
 
@@ -234,6 +236,17 @@ class Session:
             raise NotSupported("a correlated relation as a value")
         return v
 
+    def over_rows(self, r: Relation, nodes, scope: Frame | None) -> tuple[Relation, list[Val]]:
+        """Expressions over a relation's rows, and the rows with the counts by ranges that they take."""
+        frame = self.frame(r.df.schema, scope)
+        frame.counts = {}
+        found = [self.nest(self.eval(x, frame)) for x in nodes]
+        if any(isinstance(v, Correlated) for v in found):
+            raise NotSupported("a correlated relation as a value")
+        for name, c in frame.counts.items():
+            r = r.count_values(c.order, c.attribute, c.values, name)
+        return r, found
+
     # expressions
 
     def eval(self, node, scope: Frame | None = None):
@@ -466,7 +479,8 @@ class Session:
 
     def f_is_empty(self, r, scope=None):
         if isinstance(r, Correlated):
-            return Val(T.BooleanType(), col=~r.df.exists())
+            counted = self.counted(r, scope)
+            return Val(T.BooleanType(), col=~r.df.exists() if counted is None else counted == 0)
         if isinstance(r, Relation):
             return Val(T.BooleanType(), r.is_empty()) if scope is None else Val(T.BooleanType(), col=~r.df.exists())
         return Val(T.BooleanType(), col=F.size(r.column()) == 0)
@@ -534,6 +548,8 @@ class Session:
             value = r.aggregate(a)
             t = T.DoubleType() if kind == "avg" else type_of(value) if of is None or builtins.letter(of.t) == "i" else of.t
             return Val(t, float(value) if isinstance(t, T.DoubleType) else value)
+        if kind == "count" and (counted := self.counted(r, scope)) is not None:
+            return Val(T.LongType(), col=counted)
         t = {"count": T.LongType(), "avg": T.DoubleType()}.get(kind) or (T.LongType() if kind == "sum" and builtins.letter(of.t) == "i" else of.t)
         found = r.df.select(a.column().alias("v")).scalar()
         if kind == "avg":
@@ -621,21 +637,60 @@ class Session:
     def r_where(self, r, n, scope):
         before, self._outer = self._outer, False
         try:
-            test = self.over(n[2], r.df.schema, scope)
+            wide, (test,) = self.over_rows(r, [n[2]], scope)
             if not isinstance(test.t, T.BooleanType):
                 raise TypeMismatch("WHERE needs a truth value")
-            return Correlated(self.sealed(r, scope).where(test.column()), r.df.schema) if self._outer else r.where(test.column())
+            kept = self.sealed(wide, scope).where(test.column())
+            if wide is not r:
+                kept = kept.select(*[F.col(f"`{a}`") for a in r.attributes])
+            return Correlated(kept, r.df.schema, self.range(r, n[2], scope)) if self._outer else Relation(kept, r.keys)
         finally:
             self._outer = before
 
+    def range(self, r: Relation, condition, scope: Frame | None) -> Range | None:
+        """What a condition says of the form value < attribute of the outer row, with others on the tuple alone; else None."""
+        if scope is None or scope.counts is None or self.ops.get("cmp"):
+            return None
+        parts = [condition]
+        while wide := next((p for p in parts if p[:2] == ("op", "and")), None):
+            parts = [x for p in parts for x in (p[2] if p is wide else (p,))]
+        outer = lambda x: x[0] == "name" and x[1] in scope.attributes and x[1] not in r.attributes
+        compared = [p for p in parts if p[0] == "op" and p[1] in _TURNED and any(map(outer, p[2]))]
+        if len(compared) != 1:
+            return None
+        _, order, (a, b) = compared[0]
+        if outer(a):
+            a, b, order = b, a, _TURNED[order]
+        self._outer = False
+        wide, (value, *tests) = self.over_rows(r, [a, *[p for p in parts if p is not compared[0]]], scope)
+        if self._outer or value.known or builtins.letter(value.t) != builtins.letter(scope.attributes[b[1]]):
+            return None
+        df = wide.df
+        for t in tests:
+            df = df.where(t.column())
+        return Range(scope, b[1], order, df.select(value.column()))
+
+    @staticmethod
+    def counted(r, scope: Frame | None) -> Column | None:
+        """How many tuples a correlated relation has, if ranges tell."""
+        if not isinstance(r, Correlated) or r.range is None or r.range.frame is not scope:
+            return None
+        name = f"__count{len(scope.counts)}"
+        scope.counts[name] = r.range
+        return F.col(name)
+
     def r_rename(self, r, n, scope):
         return r.rename(dict(n[2]))
 
     def r_extend(self, r, n, scope):
-        return r.extend({a: self.over(e, r.df.schema, scope).column() for a, e in n[2]})
+        wide, found = self.over_rows(r, [e for _, e in n[2]], scope)
+        made = wide.extend({a: v.column() for (a, _), v in zip(n[2], found, strict=True)})
+        return made if wide is r else made.remove(*[a for a in wide.attributes if a not in r.attributes])
 
     def r_update(self, r, n, scope):
-        return r.update({a: self.over(e, r.df.schema, scope).column() for a, e in n[2]})
+        wide, found = self.over_rows(r, [e for _, e in n[2]], scope)
+        made = wide.update({a: v.column() for (a, _), v in zip(n[2], found, strict=True)})
+        return made if wide is r else made.remove(*[a for a in wide.attributes if a not in r.attributes])
 
     def r_union(self, r, n, scope):
         return self._two(r, n, scope, "union")

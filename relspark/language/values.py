@@ -35,16 +35,31 @@ class Correlated:
 
     df: DataFrame
     schema: T.StructType
+    range: Range | None = None
+
+
+@dataclass
+class Range:
+    """What a correlated condition says that compares one value of each tuple with an attribute of the outer row."""
+
+    frame: Frame
+    attribute: str
+    order: str
+    values: DataFrame
 
 
 @dataclass
 class Frame:
-    """The attributes that an expression sees: of a DataFrame's rows, or of an element of a nested relation."""
+    """The attributes that an expression sees: of a DataFrame's rows, or of an element of a nested relation.
+
+    ``counts``: counts by ranges that the rows are joined with, by the name of their column; None where they can't be.
+    """
 
     attributes: dict[str, T.DataType]
     get: object
     rows: bool = True
     parent: Frame | None = None
+    counts: dict[str, Range] | None = None
 
 
 def struct_type(fields: dict[str, T.DataType]) -> T.StructType:

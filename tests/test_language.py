@@ -4,6 +4,7 @@ import pytest
 
 from relspark import errors
 from relspark.language import Session, parse_expression
+from relspark.operators import Relation
 
 SCRIPTS = {
     "join": (
@@ -250,3 +251,27 @@ def test_a_database_is_reopened(spark, tmp_path):
     assert again.evaluate("count(r)") == 4 and again.evaluate("max(r, no)") == 4 and again.db.indexes == {"by_size": ("r", ["size"])}
     with pytest.raises(errors.NotFound):
         Database.reopen(spark, f"file://{tmp_path}")
+
+
+@pytest.mark.parametrize("order", ["<", "<=", ">", ">="])
+def test_counts_by_an_inequality_are_not_products(spark, order):
+    py = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}[order]
+    turned = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}[order]
+    mine = [(1, 5.0), (2, 5.0), (3, -0.0), (4, 9.5), (5, None), (6, -3.0), (7, 0.0)]
+    others = [(1, 5.0, 1), (2, 9.5, 2), (3, 0.0, 3), (4, 5.0, 4), (5, 7.0, 5), (6, None, 6)]
+    s = Session(spark)
+    s.set_var("r", Relation(spark.createDataFrame(mine, "id int, v double"), [["id"]]))
+    s.set_var("o", Relation(spark.createDataFrame(others, "k int, w double, n bigint"), [["k"]]))
+    count = lambda x, test=lambda *_: True, value=lambda k, w, n: w: sum(x is not None and o[1] is not None and test(*o) and py(value(*o), x) for o in others)
+    few = s.evaluate(f"r where count(o where w {order} v) < 2")
+    assert {t.id for t in few.load()} == {i for i, v in mine if count(v) < 2} and few.attributes == ["id", "v"] and few.keys == [frozenset(["id"])]
+    several = s.evaluate(f"extend r : {{all_ := count(o where w {order} v), some := count(o where k > 1 and v {turned} w), none := is_empty(o where n {order} id)}}")
+    assert {tuple(t) for t in several.load()} == {(i, v, count(v), count(v, lambda k, *_: k > 1), not any(py(o[2], i) for o in others)) for i, v in mine}
+    changed = s.evaluate(f"update r : {{v := cast_as_float(count((o where k < 6) where w * 2.0 {order} v))}}")
+    assert {tuple(t) for t in changed.load()} == {(i, float(count(v, value=lambda k, w, n: 2 * w))) for i, v in mine}
+    for x in (few, several, changed):
+        assert "NestedLoop" not in x.explain() and "CartesianProduct" not in x.explain()
+    assert s.evaluate(f"count(r where count((o where k > 9) where w {order} v) = 0)") == len(mine)
+    nested = s.evaluate(f"r where count(o where count(r rename {{id as i, v as x}} where x < w) > 2 and w {order} v) > 0")
+    kept = [o for o in others if o[1] is not None and sum(v is not None and v < o[1] for _, v in mine) > 2]
+    assert {t.id for t in nested.load()} == {i for i, v in mine if v is not None and any(py(o[1], v) for o in kept)}

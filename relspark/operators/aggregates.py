@@ -5,6 +5,7 @@ AVG over nothing is undefined; within SUMMARIZE a group without tuples has 0.0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -100,3 +101,26 @@ def nested_all(rva, of) -> Column:
 
 def nested_any(rva, of) -> Column:
     return F.exists(rva, of)
+
+
+@dataclass(frozen=True)
+class Nested:
+    """An aggregate over a relation-valued attribute's tuples; ``of``: from a tuple to what is aggregated."""
+
+    kind: str
+    rva: str
+    of: Callable[[Column], Column] | None = None
+
+    def column(self) -> Column:
+        """From the nested relation."""
+        rva = F.col(f"`{self.rva}`")
+        if self.kind == "count":
+            return nested_count(rva)
+        return {"sum": nested_sum, "avg": nested_avg, "max": nested_max, "min": nested_min, "all": nested_all, "any": nested_any}[self.kind](rva, self.of)
+
+    def beside(self, one: Column) -> Column:
+        """The same value as an aggregate of the tuples that a group is nested from, at least one; ``one``: such a tuple."""
+        if self.kind == "count":
+            return F.count(F.lit(1)).cast("int")
+        value = self.of(one)
+        return Aggregate(self.kind, value.cast("double") if self.kind == "avg" else value).column()

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from .. import errors
 from .. import functions as fn
 from ..database import Database, View
-from ..operators import ALL, ANY, AVG, COUNT, MAX, MIN, SUM, Relation, dee, dum, relation
-from ..operators.aggregates import nested_avg, nested_max, nested_sum
+from ..operators import ALL, ANY, AVG, COUNT, MAX, MIN, SUM, Nested, Relation, dee, dum, relation
 from ..sources import table, to_json
 from ..userdefined import UserType, macro
 from . import text_queries
@@ -212,8 +211,8 @@ def group_ungroup(t):
 @query("SELECT c_nationkey, CAST(SUM(c_custkey) AS BIGINT) AS s, MAX(c_acctbal) AS mx, round(AVG(CAST(c_custkey AS DOUBLE)), 6) AS a FROM customer GROUP BY c_nationkey")
 def rva_aggregates(t):
     grouped = t.customer.project("c_custkey", "c_nationkey", "c_acctbal").group(["c_custkey", "c_acctbal"], "g")
-    new = {"s": nested_sum(F.col("g"), lambda x: x["c_custkey"]), "mx": nested_max(F.col("g"), lambda x: x["c_acctbal"]), "a": F.round(nested_avg(F.col("g"), lambda x: x["c_custkey"]), 6)}
-    return grouped.extend(new).remove("g")
+    new = {"s": Nested("sum", "g", lambda x: x["c_custkey"]), "mx": Nested("max", "g", lambda x: x["c_acctbal"]), "a": Nested("avg", "g", lambda x: x["c_custkey"])}
+    return grouped.extend(new).update({"a": F.round("a", 6)}).remove("g")
 
 
 @query("WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey*7+3)%25 AS b FROM nation), t(a,b) AS (SELECT a,b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b=e.a) SELECT a, b FROM t")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from relspark import errors
 from relspark import functions as fn
 from relspark.database import SERIAL, Database, View
-from relspark.operators import ALL, ANY, AVG, COUNT, MAX, MIN, SUM, dee, dum, relation
+from relspark.operators import ALL, ANY, AVG, COUNT, MAX, MIN, SUM, Nested, Relation, dee, dum, relation
+from relspark.operators.relation import canonical
 from relspark.userdefined import Operator, UserType
 
 
@@ -80,6 +81,38 @@ def test_nesting(rel):
     assert t.group([], "g").where("size(g) = 0").df.count() == 3
 
 
+def test_nesting_compares_no_pairs(spark, rel):
+    nan = float("nan")
+    t = rel([(1, 0.0, 1), (1, -0.0, 1), (1, nan, 1), (1, nan, 1), (1, 0.0, 2), (2, 3.0, 3)], "k int, x double, n int", [["k", "x", "n"]])
+    g = t.group(["x", "n"], "g")
+    assert {r.k: [(e.n, abs(e.x) if e.x == e.x else "nan") for e in r.g] for r in g.load()} == {1: [(1, 0.0), (1, "nan"), (2, 0.0)], 2: [(3, 3.0)]}
+    assert "array_distinct" not in g.explain()
+    lit = spark.range(1).select(canonical(F.expr("array(named_struct('a', 2), named_struct('a', 1), named_struct('a', 2))")), canonical(F.expr("array()").cast("array<struct<a:int>>")), canonical(F.lit(None).cast("array<struct<a:int>>")))
+    assert [None if c is None else [e.a for e in c] for c in lit.first()] == [[1, 2], [], None]
+    zeros = spark.range(1).select(canonical(F.expr("array(named_struct('a', 0D), named_struct('a', -0D), named_struct('a', double('NaN')), named_struct('a', double('NaN')))")))
+    assert len(zeros.first()[0]) == 2
+    big = Relation(spark.range(60000).selectExpr("id % 2 AS k", "id AS v", "id % 7 AS w")).group(["v", "w"], "g")
+    assert sorted(tuple(r) for r in big.df.selectExpr("k", "size(g)", "g[29999].v").collect()) == [(0, 30000, 59998), (1, 30000, 59999)]
+
+
+def test_aggregates_beside_a_nested_relation(rel):
+    t = rel([(1, 5, 1.5), (1, -2, 4.0), (1, 8, 4.0), (2, 3, -1.0)], "k int, n int, x double", [["n"]])
+    n, x = lambda e: e["n"], lambda e: e["x"]
+    new = {
+        "c": Nested("count", "g"), "s": Nested("sum", "g", n), "hi": Nested("max", "g", x), "lo": Nested("min", "g", n), "a": Nested("avg", "g", n),
+        "every": Nested("all", "g", lambda e: e["n"] > 0), "some": Nested("any", "g", lambda e: (e["n"] > 0) & (e["x"] > 3)),
+    }
+    g = t.group(["n", "x"], "g")
+    beside = g.extend({**new, "twice": F.col("k") * 2})
+    stored = Relation(g.df.select("*"), g.keys).extend({**new, "twice": F.col("k") * 2})
+    assert beside.df.columns == ["k", "g", *new, "twice"] and beside.keys == [frozenset(["k"])]
+    assert [f.dataType for f in beside.df.schema] == [f.dataType for f in stored.df.schema]
+    assert sorted(beside.load()) == sorted(stored.load())
+    assert {r.k: tuple(r[a] for a in new) for r in beside.load()} == {1: (3, 11, 4.0, -2, 11 / 3, False, True), 2: (1, 3, -1.0, 3, 3.0, True, False)}
+    assert "collect_set" not in beside.remove("g").df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" in beside.df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rename_extend_update(rel):
     t = rel([(1, 2)], "a int, b int", [["a"]])
     assert t.rename({"a": "b", "b": "a"}).load()[0].asDict() == {"b": 1, "a": 2}

@@ -243,6 +243,8 @@ class Session:
         found = [self.nest(self.eval(x, frame)) for x in nodes]
         if any(isinstance(v, Correlated) for v in found):
             raise NotSupported("a correlated relation as a value")
+        if frame.counts and r.is_empty():  # no tuple is counted for, so none may raise an error
+            return Relation(r.df.withColumns({name: F.lit(0).cast("long") for name in frame.counts}), r.keys), found
         for name, c in frame.counts.items():
             r = r.count_values(c.order, c.attribute, c.values, name)
         return r, found

@@ -1,6 +1,7 @@
 """Scripts of the text language and what they print; queries, host variables, and errors of syntax and types."""
 
 import pytest
+from pyspark.errors import PySparkException
 
 from relspark import errors
 from relspark.language import Session, parse_expression
@@ -272,6 +273,9 @@ def test_counts_by_an_inequality_are_not_products(spark, order):
     for x in (few, several, changed):
         assert "NestedLoop" not in x.explain() and "CartesianProduct" not in x.explain()
     assert s.evaluate(f"count(r where count((o where k > 9) where w {order} v) = 0)") == len(mine)
+    with pytest.raises(PySparkException, match="invalid_argument_error"):
+        s.evaluate(f"r where count(o where w * 2.0 {order} v) = 0").load()
+    assert s.evaluate(f"(r where id > 99) where count(o where w * 2.0 {order} v) = 0").load() == []
     nested = s.evaluate(f"r where count(o where count(r rename {{id as i, v as x}} where x < w) > 2 and w {order} v) > 0")
     kept = [o for o in others if o[1] is not None and sum(v is not None and v < o[1] for _, v in mine) > 2]
     assert {t.id for t in nested.load()} == {i for i, v in mine if v is not None and any(py(o[1], v) for o in kept)}

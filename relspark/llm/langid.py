@@ -16,6 +16,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -27,10 +30,12 @@ from .common import arrow, sole
 TRAIN_ROWS, TRAIN_CHARS, EPOCHS = 1500, 400, 25
 #: Rows of a label at least, and labels at most.
 LEAST_OF_LABEL, LABELS = 30, 500
-#: Word positions that one forward-backward pass holds, and remembered words in a worker.
-CELLS, MEMO = 400_000, 200_000
-#: Letters of one position, and words whose features are held at once.
-LONG, BLOCK = 40, 20_000
+#: Probabilities (words times labels) that one forward-backward pass over whole texts wants, and remembered words in a worker.
+CELLS, MEMO = 600_000, 200_000
+#: Words of a piece of a text, and labels with which texts are cut into pieces.
+CUT, FEW = 128, 8
+#: Letters of one position, words whose features are held at once, and codes of n-grams that are numbered by an array.
+LONG, BLOCK, CODES = 40, 20_000, 1 << 22
 _runs = re.compile(r"[^\W\d_]+").findall
 
 
@@ -42,10 +47,15 @@ def _words(text: str) -> list[str]:
     return [p for r in runs for p in ([r] if len(r) <= LONG else [("-" if k else "") + r[max(0, k - 2) : k + LONG] + ("-" if k + LONG < len(r) else "") for k in range(0, len(r), LONG)])]
 
 
+def _marked(word: str) -> str:
+    """A word in lower case between its boundary marks, which cut ends don't have."""
+    return ("" if word[0] == "-" else "^") + word.strip("-").lower() + ("" if word[-1] == "-" else "$")
+
+
 def features(word: str) -> list[str]:
     """The features of a word between its boundary marks: its n-grams, affixes among them, and the word itself."""
     body, later, cut = word.strip("-"), word[0] == "-", word[-1] == "-"
-    s = ("" if later else "^") + body.lower() + ("" if cut else "$")
+    s = _marked(word)
     n = len(s)
     grams = [s[k : k + 2] for k in range(later, n - 1)] + [s[k : k + 3] for k in range(n - 2)]
     ends = ([] if later else [s[:4]]) + ([] if cut else [s[-4:], s[-5:]])
@@ -88,21 +98,148 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray,
     return (gamma, counts, firsts) if pairs else gamma
 
 
+def probabilities(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Label probabilities of the words of sequences that lie one after the other, all of one word at least.
+
+    emit: positive weights of (words, labels), of which a row's largest is near 1. Sequences are cut at every ``CUT`` words:
+    the products of weights and moves over the pieces are made for all pieces together, a step at a time, then they carry
+    what goes before and after each piece along its sequence, and all pieces are walked together. With more than ``FEW``
+    labels, whose products would cost more than that saves, sequences are walked whole.
+    """
+    n, kind = emit.shape[1], emit.dtype
+    move, first = np.exp(trans).astype(kind), np.exp(start).astype(kind)
+    size = CUT if n <= FEW else int(lengths.max())
+    pieces = -(-lengths // size)
+    owner = np.repeat(np.arange(len(lengths)), pieces)
+    rank = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    sizes = np.minimum(lengths[owner] - size * rank, size)
+    order = np.argsort(-sizes, kind="stable")
+    alive = np.searchsorted(-sizes[order], -np.arange(1, sizes.max() + 1), side="right")
+    # where each word stands, in the order of the walk: all first words of pieces, then all second ones and so on
+    firsts = (np.cumsum(sizes) - sizes)[order]
+    begins = np.cumsum(alive) - alive
+    where = firsts[np.arange(len(emit)) - np.repeat(begins, alive)] + np.repeat(np.arange(len(alive)), alive)
+    emit = emit[where]
+    before, behind = np.tile(first, (len(owner), 1)), np.ones((len(owner), n), kind)
+    if len(owner) > len(lengths):
+        products = np.empty((len(owner), n, n), kind)
+        products[order] = _products(emit, alive, move)
+        _carry(before, behind, products, pieces, move)
+    done = np.empty_like(emit)
+    done[where] = _walk(emit, alive, move, before[order], behind[order])
+    return done
+
+
+def _products(emit: np.ndarray, alive: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """For each piece in the order of the walk, the product of its words' weights with the moves between them, up to a factor."""
+    n, after = len(move), np.cumsum(alive).tolist()
+    ones = np.ones((n * n, 1), emit.dtype)
+    out = np.eye(n, dtype=emit.dtype) * emit[: after[0], None, :]
+    for low, high in zip(after, after[1:], strict=False):
+        x = out[: high - low]
+        np.multiply((x.reshape(-1, n) @ move).reshape(x.shape), emit[low:high, None, :], out=x)
+        flat = x.reshape(-1, n * n)
+        flat /= flat @ ones
+    return out
+
+
+def _carry(before: np.ndarray, behind: np.ndarray, products: np.ndarray, pieces: np.ndarray, move: np.ndarray) -> None:
+    """Fill in what goes before a sequence's later pieces and behind its earlier ones."""
+    starts = np.cumsum(pieces) - pieces
+    ats = [starts[pieces > k] + k for k in range(1, int(pieces.max()))]
+    for at in ats:
+        x = (before[at - 1, None] @ products[at - 1])[:, 0] @ move
+        before[at] = x / x.sum(1, keepdims=True)
+    for at in reversed(ats):
+        x = (products[at] @ behind[at, :, None])[..., 0] @ move.T
+        behind[at - 1] = x / x.sum(1, keepdims=True)
+
+
+def _walk(emit: np.ndarray, alive: np.ndarray, move: np.ndarray, before: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Label probabilities of the words of pieces, the longest first, ``alive`` of which have a word in each place."""
+    ones, back, after = np.ones((len(move), 1), emit.dtype), np.ascontiguousarray(move.T), np.cumsum(alive).tolist()
+    alpha = np.empty_like(emit)
+    last = alpha[: after[0]]
+    np.multiply(emit[: after[0]], before, out=last)
+    last /= last @ ones
+    for low, high in zip(after, after[1:], strict=False):
+        a = alpha[low:high]
+        np.matmul(last[: high - low], move, out=a)
+        a *= emit[low:high]
+        a /= a @ ones
+        last = a
+    for low, high in zip(after[-2::-1], after[:0:-1], strict=True):
+        b = behind[: high - low]
+        alpha[low:high] *= b
+        b *= emit[low:high]
+        b[:] = b @ back
+        b /= b @ ones
+    alpha[: after[0]] *= behind
+    alpha /= alpha @ ones
+    return alpha
+
+
+class _Grams:
+    """The numbers of the features of ``size`` characters, which are told by the numbers of their characters."""
+
+    def __init__(self, known: dict[str, int], size: int, alphabet: dict[str, int]) -> None:
+        self.none, base = len(known), len(alphabet) + 1
+        code = lambda f: sum(alphabet[c] * base**k for k, c in enumerate(reversed(f)))
+        found = sorted((code(f), n) for f, n in known.items() if len(f) == size)
+        self.codes, self.numbers = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ((-1,), (self.none,))))
+        self.array = None
+        if base**size <= CODES:
+            self.array = np.full(base**size, self.none, np.int32)
+            self.array[self.codes] = self.numbers
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        if self.array is not None:
+            return self.array[codes]
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.numbers[at], self.none)
+
+
 class Model:
     """Labels, the number of each feature, weights (features and a last row of zeros x labels), transitions and first-label weights."""
 
     def __init__(self, labels: list[str], known: dict[str, int], weights: np.ndarray, trans: np.ndarray, start: np.ndarray) -> None:
         self.labels, self.known, self.weights, self.trans, self.start = labels, known, weights, trans, start
+        self.tables = None
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        """The summed weights of each word's features; features that training didn't see weigh nothing."""
-        get, last = self.known.get, len(self.known)
-        out = []
-        for at in range(0, len(words), BLOCK):
-            found = [[get(f, last) for f in features(w)] for w in words[at : at + BLOCK]]
-            firsts = np.cumsum([0, *map(len, found[:-1])])
-            out.append(np.add.reduceat(self.weights[np.array([k for f in found for k in f], np.int64)], firsts))
-        return np.concatenate(out)
+        """The summed weights of each word's :func:`features`, found for many words together; those that training didn't see weigh nothing."""
+        if self.tables is None:
+            alphabet = {c: k for k, c in enumerate(sorted(set().union(*(f for f in self.known if 2 <= len(f) <= 3))), 1)}
+            letters = np.zeros(0x110000, np.int32)
+            letters[[ord(c) for c in alphabet]] = list(alphabet.values())
+            self.tables = letters, len(alphabet) + 1, _Grams(self.known, 2, alphabet), _Grams(self.known, 3, alphabet)
+        return np.concatenate([self._emissions(words[at : at + BLOCK]) for at in range(0, len(words), BLOCK)])
+
+    def _emissions(self, words: list[str]) -> np.ndarray:
+        letters, base, twos, threes = self.tables
+        get, none, take = self.known.get, len(self.known), lambda k: self.weights.take(k, 0)
+        whole = "-" not in "".join(words)
+        bodies, marked = (words, [f"^{w.lower()}$" for w in words]) if whole else ([w.strip("-") for w in words], list(map(_marked, words)))
+        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+        ends = np.cumsum(sizes)
+        firsts = ends - sizes
+        c = letters[np.frombuffer("".join(marked).encode("utf-32-le"), "<u4")].astype(np.int64)
+        c = np.concatenate([c, np.zeros(2, np.int64)])
+        pairs = c[:-2] * base + c[1:-1]
+        two, three = twos(pairs), threes(pairs * base + c[2:])
+        two[ends - 1] = three[ends - 1] = three[np.maximum(ends - 2, firsts)] = none
+        affixes = [np.array([get(s[k], none) for s in marked]) for k in (slice(4), slice(-4, None), slice(-5, None))]
+        if not whole:
+            later, cut = (np.array([w[k] == "-" for w in words]) for k in (0, -1))
+            two[firsts[later]] = affixes[0][later] = affixes[1][cut] = affixes[2][cut] = none
+        out = np.add.reduceat(take(two) + take(three), firsts)
+        for held in affixes:
+            out += take(held)
+        out += take([get(s, none) for s in marked])
+        big, small, plain, other = (get(f, none) for f in "Aa01")
+        out += take([big if b[0].isupper() else small for b in bodies])
+        out += take([plain if b.isascii() else other for b in bodies])
+        return out
 
 
 def fit(samples: list[tuple[str, list[str]]], epochs: int = EPOCHS, seed: int = 7) -> Model:
@@ -161,52 +298,60 @@ class Labeller:
         self.reset()
 
     def reset(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.emission = np.zeros((1024, len(self.model.labels)), np.float32)
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        rows = self.rows
-        if new := list({w for w in words if w not in rows}):
-            k = len(rows)
-            rows.update(zip(new, range(k, k + len(new)), strict=True))
-            while len(rows) > len(self.emission):
-                self.emission = np.concatenate([self.emission, np.zeros_like(self.emission)])
-            e = self.model.emissions(new)
-            self.emission[k : k + len(new)] = np.maximum(e - e.max(1, keepdims=True), -30)
-        return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
+        #: Words by number, in that order; those from ``done`` on have no emission yet.
+        self.rows: dict[str, int] = defaultdict(count().__next__)
+        self.done, self.emission = 0, np.zeros((1024, len(self.model.labels)), np.float32)
 
     def words(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Label probabilities of each word, for each list of words."""
-        return self._run(texts, lambda g, n: g[:n])
+        return [g if len(g) else None for lengths, gamma in self._passes(texts) for g in np.split(gamma, np.cumsum(lengths)[:-1])]
 
-    def texts(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+    def texts(self, texts: Iterable[str | None]) -> list[tuple[str, float, float]]:
         """(label, score, confidence) of each text."""
-        cut = [_words(t) if t else [] for t in texts]
-        cut = [ws if ws and any(w.strip("-").isalpha() for w in ws) else [] for ws in cut]
-        sums = self._run(cut, lambda g, n: (g[:n].sum(0, dtype=np.float64) / n, g[:n].max(1).mean(dtype=np.float64)))
-        unit = lambda x: float(min(1.0, max(0.0, x)))
-        return [("und", 0.0, 0.0) if s is None else (self.model.labels[int(s[0].argmax())], unit(s[0].max()), unit(s[1])) for s in sums]
-
-    def _run(self, cut: list[list[str]], take) -> list:
-        out: list = [None] * len(cut)
-        if not self.model.labels:
-            return out
-        order = sorted((k for k in range(len(cut)) if cut[k]), key=lambda k: -len(cut[k]))
-        at = 0
-        while at < len(order):
-            longest = len(cut[order[at]])
-            part = order[at : at + max(1, CELLS // longest)]
-            if len(self.rows) > MEMO:
-                self.reset()
-            lengths = np.array([len(cut[k]) for k in part])
-            ids = np.zeros((len(part), longest), np.int64)
-            ids[np.arange(longest)[None] < lengths[:, None]] = self.numbers([w for k in part for w in cut[k]])
-            gamma = forward_backward(self.emission[ids], lengths, self.model.trans, self.model.start)
-            for j, k in enumerate(part):
-                out[k] = take(gamma[j], int(lengths[j]))
-            at += len(part)
+        cut = (_words(t) if t else [] for t in texts)
+        cut = (ws if ws and any(w.strip("-").isalpha() for w in ws) else [] for ws in cut)
+        out: list[tuple[str, float, float]] = []
+        for lengths, gamma in self._passes(cut):
+            some = np.flatnonzero(lengths)
+            n, found = lengths[some], [("und", 0.0, 0.0)] * len(lengths)
+            if len(some):
+                firsts = np.cumsum(n) - n
+                sums = np.add.reduceat(gamma, firsts, dtype=np.float64) / n[:, None]
+                sure = np.add.reduceat(gamma.max(1), firsts, dtype=np.float64) / n
+                for k, label, score, confidence in zip(some.tolist(), sums.argmax(1).tolist(), np.clip(sums.max(1), 0, 1).tolist(), np.clip(sure, 0, 1).tolist(), strict=True):
+                    found[k] = self.model.labels[label], score, confidence
+            out += found
         return out
 
+    def _passes(self, cut: Iterable[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The numbers of words of successive texts, and the label probabilities of all their words in a row."""
+        labels, held, total = len(self.model.labels), [], 0
+        for ws in cut:
+            held.append(np.fromiter(map(self.rows.__getitem__, ws), np.int64, len(ws)) if labels else np.zeros(0, np.int64))
+            total += len(held[-1])
+            if total * labels >= CELLS:
+                yield self._pass(held)
+                held, total = [], 0
+                if len(self.rows) > MEMO:
+                    self.reset()
+        if held:
+            yield self._pass(held)
+        if len(self.rows) > MEMO:
+            self.reset()
+
+    def _pass(self, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.rows) > len(self.emission):
+            self.emission = np.concatenate([self.emission, np.zeros_like(self.emission)])
+        if new := list(islice(self.rows, self.done, None)):
+            e = self.model.emissions(new)
+            self.emission[self.done : len(self.rows)] = np.exp(np.maximum(e - e.max(1, keepdims=True), -30))
+            self.done = len(self.rows)
+        lengths, ids = np.fromiter(map(len, held), np.int64, len(held)), np.concatenate(held)
+        gamma = np.zeros((len(ids), len(self.model.labels)), np.float32)
+        if len(ids):
+            gamma = probabilities(self.emission.take(ids, 0), lengths[lengths > 0], self.model.trans, self.model.start)
+        return lengths, gamma
+
 
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a row is kept from training: crc32 of the id as text leaves 1 when divided by 3 (null ids: false)."""
@@ -253,7 +398,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str =
         labeller = sole(("language", key), lambda: Labeller(shared.value))
         schema = to_arrow_schema(out)
         for b in batches:
-            found = [x for k in range(0, b.num_rows, 500) for x in labeller.texts(b.column(0).slice(k, 500).to_pylist())]
+            found = labeller.texts(chain.from_iterable(b.column(0).slice(k, 500).to_pylist() for k in range(0, b.num_rows, 500)))
             extra = [pa.array([x[0] for x in found], pa.string()), *[pa.array([x[k] for x in found], pa.float64()) for k in (1, 2)]]
             yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(b.columns[1:], schema, strict=False)], *extra], schema=schema)
 

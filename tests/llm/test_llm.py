@@ -473,6 +473,45 @@ def test_text_without_spaces_counts_whole():
     assert langid.features("Abc") == ["^a", "ab", "bc", "c$", "^ab", "abc", "bc$", "^abc", "abc$", "^abc$", "^abc$", "A", "0"]
 
 
+def test_words_and_pieces_are_taken_together(monkeypatch):
+    """New words' emissions and long texts' probabilities as word by word and step by step, without a call for each word or step."""
+    rng, ran = random.Random(5), np.random.default_rng(5)
+    say = lambda letters, n: ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(n)]
+    model = langid.fit([(l, say(x, 40)) for l, x in (("a", "abcİß"), ("b", "bcdΣé"), ("c", "defgh")) for _ in range(20)])
+    texts = [" ".join(say("abcdefghİßΣéQ中", n)) for n in (0, 1, 2, 127, 128, 129, 256, 3000, 5)] + ["ab" * 100 + " Zy", "½ 12", None]
+    cut = [langid._words(t or "") for t in texts]
+    summed = lambda w: sum(model.weights[model.known[f]] for f in langid.features(w) if f in model.known)
+    words = sorted({w for ws in cut for w in ws})
+    sums = np.array([summed(w) + np.zeros(3) for w in words])
+    number, wants = {w: k for k, w in enumerate(words)}, []
+    for ws in cut:
+        e = sums[[number[w] for w in ws]].reshape(1, -1, 3)
+        wants.append(langid.forward_backward(np.maximum(e - e.max(2, keepdims=True), -30), np.array([len(ws)]), model.trans, model.start)[0] if ws else None)
+
+    def single(*_):
+        raise AssertionError("word by word")
+
+    monkeypatch.setattr(langid, "features", single)
+    monkeypatch.setattr(langid, "forward_backward", single)
+    for codes, cells, few in ((1 << 22, 2_800_000, 8), (0, 900, 8), (1 << 22, 2_800_000, 2)):
+        for name, value in (("CODES", codes), ("CELLS", cells), ("FEW", few)):
+            monkeypatch.setattr(langid, name, value)
+        model.tables = None
+        assert np.allclose(model.emissions(words), sums, atol=1e-4)
+        for got, want in zip(langid.Labeller(model).words(cut), wants, strict=True):
+            assert (got is None and want is None) or np.allclose(got, want, atol=1e-4)
+        for (label, score, _), want, ws in zip(langid.Labeller(model).texts(iter(texts)), wants, cut, strict=True):
+            assert (label, score) == ("und", 0.0) if not any(w.strip("-").isalpha() for w in ws) else label == model.labels[want.sum(0).argmax()] and abs(score - want.mean(0).max()) < 1e-4
+    lengths = np.array([700, 3, 128, 1])
+    scores, trans = -30 * ran.random((4, 700, 3)) ** 2, ran.normal(size=(3, 3)) * 4
+    scores -= scores.max(2, keepdims=True)
+    monkeypatch.undo()
+    want = langid.forward_backward(scores, lengths[np.argsort(-lengths)], trans, np.zeros(3))
+    flat = np.concatenate([scores[k, :n] for k, n in enumerate(np.sort(lengths)[::-1])])
+    got = langid.probabilities(np.exp(flat).astype(np.float32), np.sort(lengths)[::-1], trans, np.zeros(3))
+    assert np.allclose(got, np.concatenate([want[k, :n] for k, n in enumerate(np.sort(lengths)[::-1])]), atol=1e-4)
+
+
 # op9
 
 

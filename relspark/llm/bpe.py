@@ -11,7 +11,9 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import cache
+from functools import cache, cached_property
+
+import numpy as np
 
 from .common import sole
 
@@ -21,6 +23,8 @@ SPACE = "\t-\r \x85\xa0  -     　"
 PLAIN = re.compile("[^\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]")
 #: The letters among plain characters and what they become in lower case; their only digits are 0 to 9.
 LETTERS = "A-Za-z\xaa\xb5\xbaÀ-ÖØ-öø-ʯⱥⱦ"
+#: Bytes of a word at most that is merged together with others (63 places are told apart), and such words at a time.
+SHORT, ABREAST = 60, 8192
 #: Words that a worker remembers at most, in two generations.
 MEMO = 600_000
 
@@ -123,6 +127,73 @@ class Rules:
                 heapq.heappush(heap, (f[0], before[k], ids[before[k]], ids[k]))
         return array("I", [i for i, live in zip(ids, alive, strict=True) if live]).tobytes()
 
+    @cached_property
+    def _arrays(self):
+        """Pairs by their codes with ranks, the new id of each rank, ids of bytes, and ranks of pairs of bytes; the rank 1 << 24 stands for none."""
+        base, found = self.size + 1, sorted((a * (self.size + 1) + b, rank) for (a, b), (rank, _) in self.pairs.items())
+        codes, ranks = (np.array(x, np.int64) for x in zip(*[*found, (1 << 62, 1 << 24)], strict=True))
+        new = np.zeros(max((r for r, _ in self.pairs.values()), default=0) + 1, np.int32)
+        for rank, made in self.pairs.values():
+            new[rank] = made
+        first = np.array(self.first, np.int32)
+        ids = np.repeat(first.astype(np.int64), 256) * base + np.tile(first, 256)
+        at = np.searchsorted(codes, ids)
+        return codes, ranks, new, first, np.where(codes[at] == ids, ranks[at], 1 << 24)
+
+    def merge_many(self, words: list[str]) -> list[bytes]:
+        """What ``merge`` gives for each word: in each step all words make their own next merge."""
+        if self.end or None in self.first:
+            return [self.merge(w) if len(w) < 48 else self.merge_long(w) for w in words]
+        data = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        order = np.argsort(sizes, kind="stable")
+        short = int(np.searchsorted(sizes[order], SHORT, side="right"))
+        out: list = [b""] * len(words)
+        for k in order[short:].tolist():
+            out[k] = self.merge_long(words[k])
+        for low in range(0, short, ABREAST):
+            some = order[low : min(low + ABREAST, short)]
+            for k, ids in zip(some.tolist(), self._abreast([data[k] for k in some.tolist()], sizes[some]), strict=True):
+                out[k] = ids
+        return out
+
+    def _abreast(self, data: list[bytes], sizes: np.ndarray) -> list[bytes]:
+        codes, ranks, made, first, byte_pairs = self._arrays
+        n, height, none = len(data), int(sizes.max(initial=0)) + 2, 1 << 30
+        # a column for each word; a row for each byte, with an empty row above and below
+        row, col = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1, np.repeat(np.arange(n), sizes)
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        ids = np.full((height, n), self.size, np.int32)
+        ids[row, col] = first[raw]
+        # the smallest key of a column is the leftmost pair of the least rank
+        keys = np.full((height, n), none, np.int64)
+        inner = np.flatnonzero(row < sizes[col])
+        rank = byte_pairs[raw[inner].astype(np.int64) << 8 | raw[inner + 1]]
+        keys[row[inner], col[inner]] = rank << 6 | row[inner]
+        cells = np.arange(height * n).reshape(height, n)
+        after, before = (cells + n).ravel(), (cells - n).ravel()
+        ids, flat = ids.ravel(), keys.ravel()
+        while True:
+            best = keys.min(0)
+            at = np.flatnonzero(best < none)
+            if not len(at):
+                break
+            best = best[at]
+            i = (best & 63) * n + at
+            j, p = after[i], before[i]
+            k, new = after[j], made[best >> 6]
+            ids[i], ids[j], flat[j] = new, -1, none
+            after[i], before[k] = k, i
+            left = np.concatenate([i, p])
+            pair = ids[left].astype(np.int64) * (self.size + 1) + np.concatenate([ids[k], new])
+            where = np.searchsorted(codes, pair)
+            flat[left] = np.where(codes[where] == pair, ranks[where] << 6 | left // n, none)
+        kept = ids.reshape(height, n)[1:-1].T
+        live = (kept >= 0) & (kept < self.size)
+        ends = (4 * np.cumsum(live.sum(1))).tolist()
+        block = kept[live].astype("<u4").tobytes()
+        return [block[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def token_bytes(self) -> list[bytes]:
         """The bytes of each id (of byte-level vocabularies without word ends)."""
         back = {c: b for b, c in enumerate(self.chars)}
@@ -153,16 +224,25 @@ class _Memo(dict):
         super().__init__()
         self.look, self.bound, self.old = look, bound // 2, {}
 
+    def fill(self, words: list[str], look) -> None:
+        """Remember words that aren't, with what ``look`` gives for all of them together."""
+        new = [w for w in words if len(w) < 64 and w not in self and w not in self.old]
+        for w, v in zip(new, look(new), strict=True):
+            self._keep(w, v)
+
     def __missing__(self, word: str) -> bytes:
         v = self.old.pop(word, None)
         if v is None:
             v = self.look(word)
+        self._keep(word, v)
+        return v
+
+    def _keep(self, word: str, v: bytes) -> None:
         if len(word) < 64:
             if len(self) >= self.bound:
                 self.old = self.copy()
                 self.clear()
             self[word] = v
-        return v
 
 
 class Encoder:

@@ -4,7 +4,8 @@ Frequent words of the corpus are compiled, with their id outputs, into the small
 equal suffixes share states. Each arc carries the number of words that sort before it, so that the sum along a path is
 the word's rank, and the rank leads to its ids. Executors get the compiled form as a file, which their workers map. All
 distinct words of some texts walk the automaton together, a byte at a step, so every word of every text is looked up in
-it first; the words that it does not hold are merged exactly by rank, and only these are remembered.
+it first; the words that it does not hold are merged exactly by rank, those of many texts together, and only these are
+remembered.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text; special-token strings inside a text
 become their id; rows with repeated or null ids stay as they are; an empty table gives an empty result.
@@ -31,6 +32,8 @@ LEXICON_WORDS = 50_000
 LEAST_COUNT, LONGEST = 2, 40
 #: Characters of the texts whose words are looked up together.
 TOGETHER = 4_000_000
+#: Ids that are decoded at a time.
+BLOCK = 50_000
 
 
 class _State:
@@ -187,6 +190,7 @@ class LexiconEncoder:
             self.seen[1] += len(words) - found.count(None)
             if None in found:
                 merged = self.merged
+                merged.fill([w for w, v in zip(words, found, strict=True) if v is None], self.rules.merge_many)
                 for w, v in zip(words, found, strict=True):
                     if v is None:
                         table[w] = merged[w]
@@ -237,13 +241,24 @@ def build_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LE
 
 
 @cache
-def _decoder(path: str) -> list[bytes]:
-    return rules(path).token_bytes()
+def _decoder(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all ids in a row, and where each id's begin and how many they are."""
+    parts = rules(path).token_bytes()
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
 def decode(path: str, ids: bytes) -> bytes:
     """The UTF-8 of the text that the ids stand for; broken sequences become U+FFFD."""
-    data = b"".join(map(_decoder(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    letters, firsts, sizes = _decoder(path)
+    parts, every = [], np.frombuffer(ids, "<u4")
+    for low in range(0, len(every), BLOCK):
+        found = every[low : low + BLOCK]
+        n = sizes[found]
+        where = np.repeat(firsts[found] - np.cumsum(n) + n, n)
+        where += np.arange(len(where))
+        parts.append(letters[where].tobytes())
+    data = b"".join(parts)
     try:
         data.decode()
     except UnicodeDecodeError:

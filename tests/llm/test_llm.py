@@ -74,6 +74,29 @@ def test_long_words_merge_alike():
         assert spec.merge(w) == spec.merge_long(w)
 
 
+def test_words_are_merged_together(monkeypatch):
+    """Words that the lexicon doesn't hold are merged as one by one, without a call for each; long and odd ones, too."""
+    spec = bpe.rules(queries.tokenizer("byte_bpe_50k.json"))
+    rng = random.Random(7)
+    words = list({"".join(rng.choices("thenandiox é中Σ😀1.", k=rng.randint(1, 24))) for _ in range(3000)} | {"aaaaaaa", "a" * 60, "b" * 61, "é" * 30, "é" * 31, " the" * 40, ""})
+    want = [spec.merge(w) for w in words]
+    monkeypatch.setattr(bpe, "ABREAST", 700)
+    assert spec.merge_many(words) == want and spec.merge_many([]) == []
+    other = bpe.rules(queries.tokenizer("word_bpe_49k.json"))
+    assert other.merge_many(["the", "zzgh"]) == [other.merge("the"), other.merge("zzgh")]
+    texts = ["the<|endoftext|>quixotic zyxwv " * 3, None, "", "中文 zyxwv " + "q" * 500]
+    tok = library("byte_bpe_50k.json")
+    enc = transducer.LexiconEncoder(spec, transducer.Lexicon(transducer.compile_lexicon({"the": spec.merge("the")})))
+    calls = []
+    monkeypatch.setattr(bpe.Rules, "merge", lambda self, word: calls.append(word))
+    got = list(enc.texts(texts))
+    assert not calls and [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(transducer, "BLOCK", 5)
+    cut = np.frombuffer(got[3], "<u4")[:-1].astype("<u4")
+    for ids in (*(np.frombuffer(x, "<u4") for x in got), cut, cut[1:], cut[2:]):
+        assert transducer.decode(spec.path, ids.tobytes()).decode() == tok.decode(ids.tolist(), skip_special_tokens=False)
+
+
 def test_lexicon_is_minimal_and_exact():
     words = {w: bytes([k, 0, 0, 0]) for k, w in enumerate(["taps", "tops", "tap", "top", "été", "a"])}
     lex = transducer.Lexicon(transducer.compile_lexicon(words))
